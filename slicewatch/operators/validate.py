@@ -72,8 +72,9 @@ def parse_decisions(raw: DataFrame, raw_col: str = "raw") -> DataFrame:
         F.when(fallback, "escalate").otherwise(text["decision"]).alias("decision"),
         F.when(fallback, F.lit("scoring failed; handed to a person")).otherwise(text["reasoning"]).alias("reasoning"),
         F.when(fallback, 0.0).otherwise(conf).alias("confidence"),
-        F.when(~fallback, delay).cast("int").alias("delay_hours"),
-        F.when(~fallback, disc).cast("int").alias("discount_pct"),
+        # a non-whole value is reported as invalid and not carried (no silent truncation)
+        F.when(~fallback & (delay == F.floor(delay)), delay).cast("int").alias("delay_hours"),
+        F.when(~fallback & (disc == F.floor(disc)), disc).cast("int").alias("discount_pct"),
         F.when(fallback, F.lit(None).cast("string")).otherwise(F.nullif(problems, F.lit(""))).alias("invalid_reason"),
     )
     return out.withColumn("is_valid", F.col("invalid_reason").isNull())

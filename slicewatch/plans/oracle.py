@@ -505,3 +505,78 @@ SELECT labels, hits, labels - hits AS missed, events, events_on_labels,
 FROM (SELECT count(*) AS labels, count_if(hit) AS hits FROM bt),
      (SELECT count(*) AS events FROM dev),
      (SELECT count(DISTINCT event_id) AS events_on_labels FROM pairs)"""
+
+
+def _kind(f: str) -> str:
+    t = f"json_type(j, '$.{f}')"
+    return (f"CASE WHEN {t} IS NULL THEN 'missing' WHEN {t} = 'NULL' THEN 'null' WHEN {t} = 'VARCHAR' THEN 'string' "
+            f"WHEN {t} = 'BOOLEAN' THEN 'boolean' WHEN {t} IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN 'number' ELSE 'other' END")
+
+
+def _num(f: str) -> str:
+    return (f"CASE WHEN k_{f} IN ('number', 'string') THEN TRY_CAST(json_extract_string(j, '$.{f}') AS DOUBLE) "
+            f"WHEN k_{f} = 'boolean' THEN CASE WHEN json_extract_string(j, '$.{f}') = 'true' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END")
+
+
+def _int_problem(f: str) -> str:
+    bad_type = f"k_{f} NOT IN ('missing', 'null', 'number', 'boolean', 'string')"
+    not_whole = f"(n_{f} IS NULL OR isnan(n_{f}) OR n_{f} <> floor(n_{f}))"
+    return f"CASE WHEN {bad_type} OR (k_{f} NOT IN ('missing', 'null') AND {not_whole}) THEN '{f} is not an integer' END"
+
+
+_ALLOWED = "('retry_now', 'retry_delayed', 'send_discount', 'send_reminder', 'reroute_gateway', 'escalate', 'give_up')"
+_FIELDS = ("transaction_id", "decision", "reasoning", "confidence", "delay_hours", "discount_pct")
+
+CTES["rawd"] = """
+rawd0 AS (SELECT transaction_id AS tid, epoch_us(ts) AS t_us, CAST(TRY_CAST(transaction_id AS BIGINT) % 16 AS INTEGER) AS k,
+                 retry_count_so_far FROM lnk),
+rawd1 AS (
+  SELECT tid, t_us, k,
+    CASE WHEN k = 15 THEN 'not json' ELSE '{' || concat_ws(', ',
+      '"transaction_id": ' || CASE WHEN k = 8 THEN tid ELSE '"' || tid || '"' END,
+      '"decision": "' || CASE WHEN k = 3 THEN 'retry_later' WHEN retry_count_so_far >= 3 THEN 'give_up' ELSE 'retry_now' END || '"',
+      CASE WHEN k = 1 THEN NULL ELSE '"reasoning": ' || CASE WHEN k = 11 THEN 'null' WHEN k = 14 THEN '""' ELSE '"reason ' || tid || '"' END END,
+      CASE WHEN k = 2 THEN NULL ELSE '"confidence": ' || CASE WHEN k = 0 THEN '"0.8"' WHEN k = 4 THEN '1.0001' WHEN k = 9 THEN 'true' ELSE '0.9' END END,
+      '"delay_hours": ' || CASE k WHEN 5 THEN '4.0' WHEN 6 THEN '"4"' WHEN 7 THEN '4.5' WHEN 12 THEN '"4.5"' ELSE 'null' END,
+      '"discount_pct": ' || CASE WHEN k = 13 THEN 'true' ELSE 'null' END,
+      CASE WHEN k = 10 THEN '"note": "extra"' END) || '}' END AS raw
+  FROM rawd0),
+rawd AS (
+  SELECT t_us * 4 + c AS seq, CASE WHEN c = 2 THEN 'x' || tid ELSE tid END AS transaction_id, 'agent' AS policy, raw
+  FROM rawd1, (SELECT unnest([0, 1, 2]) AS c) cs
+  WHERE c = 0 OR (c = 1 AND k = 0) OR (c = 2 AND k = 5))"""
+
+CTES["parsed"] = f"""
+pj AS (SELECT *, coalesce(json_valid(raw), false) AS okjson FROM rawd),
+pj2 AS (SELECT *, CASE WHEN okjson THEN raw ELSE '{{}}' END AS j FROM pj),
+pk AS (SELECT *, {", ".join(f"{_kind(f)} AS k_{f}" for f in _FIELDS)} FROM pj2),
+pn AS (SELECT *, {", ".join(f"{_num(f)} AS n_{f}" for f in ("confidence", "delay_hours", "discount_pct"))},
+         json_extract_string(j, '$.decision') AS t_decision FROM pk),
+parsed AS (
+  SELECT seq, transaction_id, policy, raw,
+    CASE WHEN raw IS NULL THEN 'escalate' ELSE t_decision END AS decision,
+    n_confidence AS confidence,
+    CAST(CASE WHEN n_delay_hours = floor(n_delay_hours) THEN n_delay_hours END AS INTEGER) AS delay_hours,
+    CAST(CASE WHEN n_discount_pct = floor(n_discount_pct) THEN n_discount_pct END AS INTEGER) AS discount_pct,
+    nullif(concat_ws('; ',
+      CASE WHEN NOT okjson OR json_type(j) <> 'OBJECT' THEN 'not a JSON object' END,
+      {", ".join(f"CASE WHEN k_{f} <> 'string' THEN '{f} must be a string' END" for f in ("transaction_id", "decision", "reasoning"))},
+      CASE WHEN k_confidence IN ('missing', 'null') THEN 'confidence is required'
+           WHEN n_confidence IS NULL OR isnan(n_confidence) OR n_confidence < 0 OR n_confidence > 1 THEN 'confidence must be within [0, 1]' END,
+      {_int_problem("delay_hours")},
+      {_int_problem("discount_pct")},
+      CASE WHEN k_decision = 'string' AND t_decision NOT IN {_ALLOWED} THEN 'decision is not an allowed value' END
+    ), '') AS invalid_reason
+  FROM pn),
+routed AS (
+  SELECT p.*, p.invalid_reason IS NULL AS is_valid, t.transaction_id IS NOT NULL AS known,
+    row_number() OVER (PARTITION BY p.transaction_id, p.policy
+                       ORDER BY CASE WHEN t.transaction_id IS NOT NULL AND p.invalid_reason IS NULL THEN 0 ELSE 1 END, p.seq) AS rn
+  FROM parsed p LEFT JOIN lnk t ON p.transaction_id = t.transaction_id)"""
+
+SQL["decision_validation"] = _with("lnk").rstrip() + "," + CTES["rawd"] + "," + CTES["parsed"] + """
+SELECT seq, transaction_id, is_valid, invalid_reason,
+  CASE WHEN NOT known THEN 'skipped_unknown_transaction' WHEN NOT is_valid THEN 'skipped_invalid_decision_schema'
+       WHEN rn > 1 THEN 'skipped_duplicate' ELSE 'execute' END AS status,
+  decision, confidence, delay_hours, discount_pct
+FROM routed"""
