@@ -89,7 +89,7 @@ def detect_events(health: DataFrame, p: Params = Params(), cut: bool = False) ->
     )
     if cut:
         from slicewatch.session import cut_lineage
-        ev = cut_lineage(ev)
+        ev = cut_lineage(ev, "runs")
     return number_events(ev).select(*EVENT_COLUMNS)
 
 

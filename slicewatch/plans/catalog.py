@@ -25,6 +25,7 @@ from slicewatch.operators.policies import prompt_expr
 from slicewatch.operators.root_cause import peer_rates, window_summary
 from slicewatch.operators.rules import enforce
 from slicewatch.params import Params
+from slicewatch.session import cut_lineage
 from slicewatch.plans.raw_decisions import raw_decisions
 from slicewatch.plans.diagnose import Diagnosis, diagnose_tables, params_for
 from slicewatch.plans.run import policy_decisions, run_all, run_policy
@@ -56,7 +57,7 @@ def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both policies run once over every transaction (baseline batch 0, agent batch 1)."""
     k = _key(spark, sf_dir, "wide")
     if k not in _CACHE:
-        _CACHE[k] = run_all(diagnosis(spark, sf_dir).linked, query_params(sf_dir))
+        _CACHE[k] = cut_lineage(run_all(diagnosis(spark, sf_dir).linked, query_params(sf_dir)), "run")
     return _CACHE[k]
 
 

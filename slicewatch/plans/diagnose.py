@@ -46,17 +46,19 @@ class Diagnosis:
 
 def health_from_tables(spark: SparkSession, sf_dir: str, p: Params, cut: bool = True) -> DataFrame:
     h = health_rollup(attempts(spark, sf_dir), p.grain_hours)
-    return cut_lineage(h) if cut else h
+    return cut_lineage(h, "health") if cut else h
 
 
 def diagnose(health: DataFrame, txns: DataFrame, p: Params = Params(), cut: bool = True) -> Diagnosis:
     events = detect_events(health, p, cut=cut)
     rc = root_cause(events, health, p)
     if cut:
-        rc = cut_lineage(rc)
+        rc = cut_lineage(rc, "events")
     linked = link(txns, rc, p, carry=RC_CARRY + ("window_end",))
-    linked = linked.withColumnRenamed("window_end", "event_window_end")
-    return Diagnosis(health, rc, with_after_recovery_probability(linked))
+    linked = with_after_recovery_probability(linked.withColumnRenamed("window_end", "event_window_end"))
+    if cut:
+        linked = cut_lineage(linked, "transactions")
+    return Diagnosis(health, rc, linked)
 
 
 def diagnose_tables(spark: SparkSession, sf_dir: str, p: Params | None = None, cut: bool = True) -> Diagnosis:
