@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slicewatch.functions.timeutil import epoch_micros
 from slicewatch.params import Params
 
 DECISION_COLUMNS = ("transaction_id", "policy", "decision", "reasoning", "confidence", "delay_hours", "discount_pct")
@@ -60,12 +61,16 @@ def rule_policy(linked: DataFrame, p: Params = Params(), policy: str = "agent",
     outage. Unlinked: by failure type, customer tier and retry count. Never asks for a retry past
     the cap.
     """
+    for name, typ in (("best_peer", "string"), ("best_peer_rate", "double"), ("event_window_end", "timestamp_ntz"),
+                      ("degradation_linked", "boolean")):
+        if name not in linked.columns:
+            linked = linked.withColumn(name, F.lit(None).cast(typ))
     rc = F.col("retry_count_so_far")
     ft = F.col("failure_type")
     tier = F.col("customer_history")
     linked_flag = F.coalesce(F.col("degradation_linked"), F.lit(False))
     healthy_peer = F.coalesce(F.col("best_peer_rate") >= F.lit(p.healthy_threshold), F.lit(False))
-    hours_left = F.ceil(F.timestamp_diff("MINUTE", F.col("ts"), F.col("event_window_end")) / F.lit(60.0)).cast("int")
+    hours_left = F.ceil((epoch_micros("event_window_end") - epoch_micros("ts")) / F.lit(3.6e9)).cast("int")
     wait_out = F.greatest(F.lit(p.cooldown_hours), F.coalesce(hours_left, F.lit(p.cooldown_hours)))
     capped = rc >= F.lit(p.max_retries)
     valued = tier.isin("high_value", "at_risk")

@@ -93,7 +93,7 @@ def run_all(linked: DataFrame, p: Params = Params(), policies=("baseline", "agen
     frames = [run_builtin(pol, linked, p, prior_outcomes, batch_seq=i) for i, pol in enumerate(policies)]
     out = frames[0]
     for f in frames[1:]:
-        out = out.unionByName(f)
+        out = out.unionByName(f, allowMissingColumns=True)
     return out
 
 
