@@ -293,3 +293,64 @@ def q_backtest_summary(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)
 }
+
+
+# ---------------------------------------------------------------- streaming (replays of the events table)
+def _health_sink(spark, sf_dir):
+    from slicewatch.streaming.rollup_stream import run_rollup
+    k = _key(spark, sf_dir, "stream-health")
+    if k not in _CACHE:
+        _CACHE[k] = run_rollup(spark, f"{sf_dir.rstrip('/')}/events.parquet", query_params(sf_dir).grain_hours)
+    return _CACHE[k]
+
+
+def _events_table(spark, sf_dir):
+    from slicewatch.streaming.rollup_stream import scratch
+    k = _key(spark, sf_dir, "events-table")
+    if k not in _CACHE:
+        path = scratch(spark, "events")
+        diagnosis(spark, sf_dir).events.write.parquet(path)
+        _CACHE[k] = path
+    return _CACHE[k]
+
+
+def q_stream_rollup(spark, sf_dir):
+    """Closed cells of the streaming rollup (watermark = one grain)."""
+    return spark.read.parquet(_health_sink(spark, sf_dir))
+
+
+def q_stream_events(spark, sf_dir):
+    """Events detected incrementally from the streamed health cells (closed runs only)."""
+    from slicewatch.streaming.detect_state import detect_stream
+    from slicewatch.streaming.rollup_stream import scratch
+    src = _health_sink(spark, sf_dir)
+    hs = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
+    sink = scratch(spark, "stream-events")
+    q = (detect_stream(hs, query_params(sf_dir)).writeStream.format("parquet").outputMode("append")
+         .option("checkpointLocation", sink + "-ckpt").option("path", sink).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(sink).drop("slice_event_seq")
+
+
+def q_stream_linkage(spark, sf_dir):
+    """S3: failed payments linked per micro-batch against the stored events table."""
+    from slicewatch.streaming.link_stream import run_link_stream
+    sink = run_link_stream(spark, f"{sf_dir.rstrip('/')}/events.parquet", _events_table(spark, sf_dir), query_params(sf_dir))
+    return spark.read.parquet(sink).select(
+        "transaction_id", "payment_method", "bank_gateway", "ts", "event_id", "degradation_linked",
+        "ground_truth_recovery_probability_after_recovery")
+
+
+def q_stream_decisions(spark, sf_dir):
+    """Outcomes written exactly once by the streaming decision sink."""
+    from slicewatch.sources import store
+    from slicewatch.streaming.link_stream import run_decision_stream
+    from slicewatch.streaming.rollup_stream import scratch
+    root = scratch(spark, "store")
+    run_decision_stream(spark, f"{sf_dir.rstrip('/')}/events.parquet", _events_table(spark, sf_dir), root,
+                        query_params(sf_dir))
+    return store.read_table(spark, root, "outcomes").select(
+        "transaction_id", "policy", "success", "amount_recovered", "discount_cost", "action_cost", "net_recovered")
+
+
+QUERIES.update({name[2:]: fn for name, fn in list(globals().items()) if name.startswith("q_stream_")})

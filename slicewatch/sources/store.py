@@ -67,8 +67,11 @@ def write_run(wide: DataFrame, root: str, run_id: str, events: DataFrame | None
         "audit_log": audit,
     }
     for name, df in out.items():
+        # dynamic overwrite of this run's partitions only: rewriting the same run_id is idempotent,
+        # earlier runs are never touched
         (df.withColumn("run_id", F.lit(run_id)).withColumn("policy", F.coalesce(F.col("policy"), F.lit("none")))
-         .write.mode("append").partitionBy("policy", "run_id").parquet(_path(root, name)))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("policy", "run_id").parquet(_path(root, name)))
     return {"wide": w, **out}
 
 
@@ -76,6 +79,8 @@ def run_and_store(spark: SparkSession, linked: DataFrame, root: str, run_id: str
                   policies=("baseline", "agent"), events: DataFrame | None = None) -> dict[str, DataFrame]:
     """Run the policies, skipping (transaction, policy) pairs that already have a stored outcome."""
     prior = read_table(spark, root, "outcomes")
+    if prior is not None:
+        prior = prior.where(F.col("run_id") != run_id)
     wide = run_all(linked, p, policies, prior_outcomes=prior)
     return write_run(wide, root, run_id, events)
 

@@ -1,0 +1,109 @@
+"""Incremental degradation detection with per-slice state (applyInPandasWithState).
+
+State per slice is bounded: the last ``baseline_rows`` rates, the open run's sums, its first and
+last timestamps, and the count of events emitted. An event is emitted when its run closes (the
+next row does not breach); a run still open at the end of the input stays in state. The
+arithmetic follows the batch job (rates summed as 10-place decimals, means in double), so the
+stream's closed events equal the batch events whose run is followed by another row.
+"""
+
+from __future__ import annotations
+
+import math
+from decimal import ROUND_HALF_UP, Decimal
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming.state import GroupStateTimeout
+
+from slicewatch.params import Params
+
+OUTPUT_SCHEMA = ("payment_method string, bank_gateway string, window_start timestamp_ntz, window_end timestamp_ntz, "
+                 "baseline_rate double, current_rate double, severity string, z_score double, n_rows long, "
+                 "slice_event_seq long")
+STATE_SCHEMA = ("hist array<double>, run_start_us long, run_last_us long, run_n long, "
+                "s_base string, s_rate string, s_z string, n_events long")
+
+Q10, Q12 = Decimal("1e-10"), Decimal("1e-12")
+
+
+def _dec(x: float, q: Decimal) -> Decimal:
+    return Decimal(repr(float(x))).quantize(q, rounding=ROUND_HALF_UP)
+
+
+def _round(x: float, digits: int) -> float:
+    return float(_dec(x, Q12).quantize(Decimal(1).scaleb(-digits), rounding=ROUND_HALF_UP))
+
+
+def _severity(drop: float, p: Params) -> str:
+    if drop >= p.severity_critical:
+        return "critical"
+    if drop >= p.severity_high:
+        return "high"
+    if drop >= p.severity_medium:
+        return "medium"
+    return "low"
+
+
+def _baseline(hist: list, p: Params):
+    vals = [_dec(v, Q10) for v in hist if v is not None and not math.isnan(v)]
+    n = len(vals)
+    if n < p.baseline_min_periods:
+        return None, None
+    s, q = float(sum(vals)), float(sum(v * v for v in vals))
+    var = (q - s * s / n) / (n - 1)
+    return s / n, math.sqrt(max(var, 0.0))
+
+
+def detector(p: Params = Params()):
+    grain = pd.Timedelta(hours=p.grain_hours)
+
+    def fn(key, pdfs, state):
+        method, gateway = key
+        if state.exists:
+            hist, start_us, last_us, run_n, s_base, s_rate, s_z, n_events = state.get
+            hist = list(hist)
+            run_start = None if start_us is None else pd.Timestamp(int(start_us), unit="us")
+            run_last = None if last_us is None else pd.Timestamp(int(last_us), unit="us")
+            s_base, s_rate, s_z = Decimal(s_base), Decimal(s_rate), Decimal(s_z)
+        else:
+            hist, run_start, run_last, run_n, s_base, s_rate, s_z, n_events = [], None, None, 0, Decimal(0), Decimal(0), Decimal(0), 0
+        rows = pd.concat(list(pdfs)).sort_values("ts")
+        out = []
+        for ts, rate in zip(rows["ts"], rows["success_rate"]):
+            rate = None if rate is None or (isinstance(rate, float) and math.isnan(rate)) else float(rate)
+            base, std = _baseline(hist, p)
+            breach = False
+            if base is not None and rate is not None:
+                drop = base - rate
+                z = drop / max(std if std is not None else p.std_fill, p.std_floor)
+                breach = drop >= p.min_drop or z >= p.z_threshold
+            if breach:
+                if run_n == 0:
+                    run_start = ts
+                run_last, run_n = ts, run_n + 1
+                s_base += _dec(base, Q12)
+                s_rate += _dec(rate, Q12)
+                s_z += _dec(z, Q12)
+            else:
+                if run_n >= p.min_run_rows:
+                    mb, mr, mz = float(s_base) / run_n, float(s_rate) / run_n, float(s_z) / run_n
+                    n_events += 1
+                    out.append((method, gateway, run_start, pd.Timestamp(run_last) + grain, _round(mb, 4), _round(mr, 4),
+                                _severity(mb - mr, p), _round(mz, 2), run_n, n_events))
+                run_start, run_last, run_n = None, None, 0
+                s_base = s_rate = s_z = Decimal(0)
+            hist = (hist + [rate])[-p.baseline_rows:]
+        def us(t):
+            return None if t is None else int(pd.Timestamp(t).value // 1000)
+        state.update((hist, us(run_start), us(run_last), run_n, str(s_base), str(s_rate), str(s_z), n_events))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT_SCHEMA.split(", ")])
+
+    return fn
+
+
+def detect_stream(health_stream: DataFrame, p: Params = Params()) -> DataFrame:
+    """Closed-cell health stream → degradation events (append)."""
+    h = health_stream.select("payment_method", "bank_gateway", "ts", "success_rate")
+    return h.groupBy("payment_method", "bank_gateway").applyInPandasWithState(
+        detector(p), OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
