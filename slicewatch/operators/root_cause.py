@@ -1,14 +1,19 @@
 """Explain each event by its peers in the same window.
 
-All events are diagnosed in one job. Event windows are exploded into time buckets (a small side:
-one row per event per bucket) and equi-joined to the health series on the bucket, with the exact
-window test as a residual filter — a hash join instead of a nested-loop range join. Per (event,
-peer slice) means are then folded into per-event verdicts with conditional aggregates.
+All events are diagnosed in one job, without pairing an event with every slice of the platform:
+
+* event windows are exploded into time buckets (one row per event per bucket — the small side);
+* peer gateways join the health series on (bucket, payment_method), peer methods on
+  (bucket, bank_gateway) — equi-joins whose fan-out is the peer set, with the exact window test as
+  a residual filter;
+* the global rate of "every other slice" comes from health pre-aggregated per timestamp (one row
+  per cell time, however many slices there are) minus the event's own slice.
+Per (event, peer) means are then folded into per-event verdicts with conditional aggregates.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slicewatch.functions.exprs import classification_expr, statement_expr
@@ -17,6 +22,9 @@ from slicewatch.functions.timeutil import bucket_of, buckets_covering
 from slicewatch.operators.baseline import SLICE
 from slicewatch.params import Params
 
+def in_window() -> Column:
+    return (F.col("ts") >= F.col("window_start")) & (F.col("ts") < F.col("window_end"))
+
 
 def event_buckets(events: DataFrame, bucket_seconds: int) -> DataFrame:
     return events.select(
@@ -29,19 +37,23 @@ def event_buckets(events: DataFrame, bucket_seconds: int) -> DataFrame:
     )
 
 
-def window_rows(events: DataFrame, health: DataFrame, p: Params = Params()) -> DataFrame:
-    """Health rows of every slice inside each event's [window_start, window_end)."""
+def _health_b(health: DataFrame, p: Params) -> DataFrame:
+    return health.select(*SLICE, "ts", "success_rate", "avg_latency_ms", "transaction_volume",
+                         bucket_of("ts", p.bucket_seconds).alias("h_bucket"))
+
+
+def own_rows(events: DataFrame, health: DataFrame, p: Params = Params()) -> DataFrame:
+    """Health rows of each event's own slice inside its window (join on slice + bucket)."""
     eb = event_buckets(events, p.bucket_seconds)
-    h = health.select(*SLICE, "ts", "success_rate", "avg_latency_ms", "transaction_volume",
-                      bucket_of("ts", p.bucket_seconds).alias("bucket"))
-    return eb.join(h, "bucket").where((F.col("ts") >= F.col("window_start")) & (F.col("ts") < F.col("window_end")))
+    h = _health_b(health, p)
+    cond = [eb.bucket == h.h_bucket, eb.e_method == h.payment_method, eb.e_gateway == h.bank_gateway]
+    return eb.join(h, cond).where(in_window()).select("event_id", "ts", "success_rate", "avg_latency_ms",
+                                                    "transaction_volume")
 
 
 def window_summary(events: DataFrame, health: DataFrame, p: Params = Params()) -> DataFrame:
     """D1 for many windows at once: the event's own slice over its window (unweighted means)."""
-    rows = window_rows(events, health, p).where(
-        (F.col("payment_method") == F.col("e_method")) & (F.col("bank_gateway") == F.col("e_gateway")))
-    agg = rows.groupBy("event_id").agg(
+    agg = own_rows(events, health, p).groupBy("event_id").agg(
         F.sum(F.col("success_rate").cast(RATE_DEC)).alias("s_rate"),
         F.count("success_rate").alias("n_rate"),
         F.sum(F.col("avg_latency_ms").cast("decimal(30,6)")).alias("s_lat"),
@@ -57,21 +69,51 @@ def window_summary(events: DataFrame, health: DataFrame, p: Params = Params()) -
 
 
 def peer_rates(events: DataFrame, health: DataFrame, p: Params = Params()) -> DataFrame:
-    """One row per (event, other slice seen in the window): row counts and mean rate."""
-    rows = window_rows(events, health, p).where(
-        ~((F.col("payment_method") == F.col("e_method")) & (F.col("bank_gateway") == F.col("e_gateway"))))
-    agg = rows.groupBy("event_id", "e_method", "e_gateway", *SLICE).agg(
+    """One row per (event, peer slice seen in the window): peer gateways of the same method and
+    peer methods of the same gateway, with row counts and the mean rate rounded to 4 (D2)."""
+    eb = event_buckets(events, p.bucket_seconds)
+    h = _health_b(health, p)
+    gw = (eb.join(h, [eb.bucket == h.h_bucket, eb.e_method == h.payment_method])
+          .where(in_window() & (F.col("bank_gateway") != F.col("e_gateway")))
+          .withColumn("is_peer_gateway", F.lit(True)).withColumn("is_peer_method", F.lit(False)))
+    mt = (eb.join(h, [eb.bucket == h.h_bucket, eb.e_gateway == h.bank_gateway])
+          .where(in_window() & (F.col("payment_method") != F.col("e_method")))
+          .withColumn("is_peer_gateway", F.lit(False)).withColumn("is_peer_method", F.lit(True)))
+    rows = gw.unionByName(mt).select("event_id", "e_method", "e_gateway", *SLICE, "success_rate",
+                                     "is_peer_gateway", "is_peer_method")
+    agg = rows.groupBy("event_id", "e_method", "e_gateway", *SLICE, "is_peer_gateway", "is_peer_method").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count("success_rate").alias("n_rate"),
         F.sum(F.col("success_rate").cast(RATE_DEC)).alias("s_rate"),
     )
     mean = safe_div(F.col("s_rate"), F.col("n_rate"))
-    return agg.select(
-        "event_id", "e_method", "e_gateway", *SLICE, "n_rows", "n_rate", "s_rate",
-        mean.alias("mean_rate"),
-        round_half_up(mean, 4).alias("rate"),
-        (F.col("payment_method") == F.col("e_method")).alias("is_peer_gateway"),
-        (F.col("bank_gateway") == F.col("e_gateway")).alias("is_peer_method"),
+    return agg.select("event_id", "e_method", "e_gateway", *SLICE, "n_rows", "n_rate", "s_rate",
+                      mean.alias("mean_rate"), round_half_up(mean, 4).alias("rate"),
+                      "is_peer_gateway", "is_peer_method")
+
+
+def global_other(events: DataFrame, health: DataFrame, p: Params = Params()) -> DataFrame:
+    """C10 + D4: rows and row-weighted mean rate of every other slice in each event's window.
+
+    Health is first reduced to one row per timestamp (totals over all slices), joined to the
+    event buckets, and the event's own slice is subtracted — exact for any window alignment.
+    """
+    eb = event_buckets(events, p.bucket_seconds)
+    totals = health.groupBy("ts").agg(
+        F.count(F.lit(1)).alias("t_rows"), F.count("success_rate").alias("t_n"),
+        F.sum(F.col("success_rate").cast(RATE_DEC)).alias("t_s"),
+    ).withColumn("bucket", bucket_of("ts", p.bucket_seconds))
+    tot = eb.join(totals, "bucket").where(in_window()).groupBy("event_id").agg(
+        F.sum("t_rows").alias("a_rows"), F.sum("t_n").alias("a_n"), F.sum("t_s").alias("a_s"))
+    own = own_rows(events, health, p).groupBy("event_id").agg(
+        F.count(F.lit(1)).alias("o_rows"), F.count("success_rate").alias("o_n"),
+        F.sum(F.col("success_rate").cast(RATE_DEC)).alias("o_s"))
+    j = tot.join(own, "event_id", "left")
+    return j.select(
+        "event_id",
+        (F.col("a_rows") - F.coalesce(F.col("o_rows"), F.lit(0))).alias("global_rows"),
+        (F.col("a_n") - F.coalesce(F.col("o_n"), F.lit(0))).alias("global_n"),
+        (F.col("a_s") - F.coalesce(F.col("o_s"), F.lit(0))).alias("global_s"),
     )
 
 
@@ -87,16 +129,13 @@ def root_cause(events: DataFrame, health: DataFrame, p: Params = Params()) -> Da
         F.bool_and(F.when(pm, healthy)).alias("m_ok"),
         F.count(F.when(pg, 1)).alias("n_peer_gateways"),
         F.count(F.when(pm, 1)).alias("n_peer_methods"),
-        F.sum("n_rows").alias("global_rows"),
-        F.sum("n_rate").alias("global_n"),
-        F.sum("s_rate").alias("global_s"),
         F.min_by(F.when(pg & F.col("rate").isNotNull(), F.col("bank_gateway")),
                  F.when(pg & F.col("rate").isNotNull(), best_key)).alias("best_peer"),
         F.max(F.when(pg, F.col("rate"))).alias("best_peer_rate"),
         F.map_from_entries(F.sort_array(F.collect_list(F.when(pg, F.struct("bank_gateway", "rate"))))).alias("other_gateway_rates"),
         F.map_from_entries(F.sort_array(F.collect_list(F.when(pm, F.struct("payment_method", "rate"))))).alias("other_method_rates"),
     )
-    ev = events.join(per_event, "event_id", "left")
+    ev = events.join(per_event, "event_id", "left").join(global_other(events, health, p), "event_id", "left")
     gw_stable = F.coalesce(F.col("gw_ok"), F.lit(True))
     m_stable = F.coalesce(F.col("m_ok"), F.lit(True))
     global_rate = safe_div(F.col("global_s"), F.col("global_n"))

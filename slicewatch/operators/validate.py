@@ -8,7 +8,7 @@ floats are ints, text fields must be JSON strings). The result carries ``is_vali
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slicewatch.params import ALLOWED_DECISIONS
@@ -97,9 +97,12 @@ def route(decisions: DataFrame, txns: DataFrame, prior_outcomes: DataFrame | Non
     else:
         d = d.withColumn("_done", F.lit(None).cast("boolean"))
     ok = F.coalesce(F.col("_known"), F.lit(False)) & F.col("is_valid")
-    first = F.row_number().over(
-        Window.partitionBy("transaction_id", "policy").orderBy(F.when(ok, 0).otherwise(1), F.col(order_col)))
-    d = d.withColumn("_first", first == 1)
+    # first executable row per (transaction, policy): a partial aggregate (skew-safe for a hot
+    # id, one row per key shuffled per task) joined back, instead of a window over the whole key
+    d = d.withColumn("_rank", F.struct(F.when(ok, 0).otherwise(1).alias("k"), F.col(order_col).alias("s")))
+    firsts = d.groupBy("transaction_id", "policy").agg(F.min("_rank").alias("_min"))
+    d = d.join(firsts, ["transaction_id", "policy"]).withColumn("_first", F.col("_rank") == F.col("_min")) \
+         .drop("_rank", "_min")
     status = (
         F.when(~F.coalesce(F.col("_known"), F.lit(False)), "skipped_unknown_transaction")
         .when(~F.col("is_valid"), "skipped_invalid_decision_schema")

@@ -108,7 +108,13 @@ def escalation_queue(decisions: DataFrame, txns: DataFrame, actions: DataFrame,
 
 
 def sample_per_group(linked: DataFrame, n_linked: int = 3, n_unlinked: int = 2) -> DataFrame:
-    """first n transactions per linkage group (by time, then id)."""
-    w = Window.partitionBy("degradation_linked").orderBy("ts", "transaction_id")
-    n = F.when(F.col("degradation_linked"), n_linked).otherwise(n_unlinked)
-    return linked.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n)
+    """first n transactions per linkage group (by time, then id).
+
+    Two groups only, so a window partitioned by the flag would put each whole group in one task;
+    instead each group is a bounded top-k (TakeOrdered: per-task top n, then a final merge)."""
+    w = Window.orderBy("ts", "transaction_id")
+    parts = []
+    for flag, n in ((True, n_linked), (False, n_unlinked)):
+        top = linked.where(F.col("degradation_linked") == F.lit(flag)).orderBy("ts", "transaction_id").limit(n)
+        parts.append(top.withColumn("rn", F.row_number().over(w)))   # ranks n rows only
+    return parts[0].unionByName(parts[1])
