@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 from slicewatch.params import ALLOWED_DECISIONS
 
 
-def _kind(x: Column) -> Column:
-    t = F.schema_of_variant(x)
+FIELDS = ("transaction_id", "decision", "reasoning", "confidence", "delay_hours", "discount_pct")
+
+
+def _kind(x: Column, t: Column) -> Column:
+    """JSON type of a field value ``x`` whose variant type name is ``t``."""
     return (
         F.when(x.isNull(), "missing")
         .when(F.is_variant_null(x), "null")
@@ -26,12 +29,12 @@ def _kind(x: Column) -> Column:
     )
 
 
-def _number(v: Column, path: str, kind: Column) -> Column:
+def _number(x: Column, kind: Column) -> Column:
     """Field as DOUBLE under lax coercion: numbers, booleans and numeric text."""
     return (
-        F.when(kind == "number", F.try_variant_get(v, path, "double"))
-        .when(kind == "boolean", F.when(F.try_variant_get(v, path, "boolean"), 1.0).otherwise(0.0))
-        .when(kind == "string", F.try_variant_get(v, path, "string").try_cast("double"))
+        F.when(kind == "number", F.try_variant_get(x, "$", "double"))
+        .when(kind == "boolean", F.when(F.try_variant_get(x, "$", "boolean"), 1.0).otherwise(0.0))
+        .when(kind == "string", F.try_variant_get(x, "$", "string").try_cast("double"))
     )
 
 
@@ -40,14 +43,31 @@ def parse_decisions(raw: DataFrame, raw_col: str = "raw") -> DataFrame:
 
     Keeps the request's ``transaction_id`` (I5); a null ``raw`` (scorer failure) becomes the
     fallback decision ``escalate`` with confidence 0 (I4) and is valid.
+
+    Staged projections: the text is parsed once, each field is extracted once, then typed. Each
+    stage is referenced many times by the next, so Catalyst keeps the stages apart instead of
+    inlining the parse into every check.
     """
-    v = F.try_parse_json(F.col(raw_col))
-    k = {f: _kind(F.try_variant_get(v, f"$.{f}", "variant"))
-         for f in ("transaction_id", "decision", "reasoning", "confidence", "delay_hours", "discount_pct")}
-    text = {f: F.try_variant_get(v, f"$.{f}", "string") for f in ("transaction_id", "decision", "reasoning")}
-    conf = _number(v, "$.confidence", k["confidence"])
-    delay = _number(v, "$.delay_hours", k["delay_hours"])
-    disc = _number(v, "$.discount_pct", k["discount_pct"])
+    keep = [c for c in raw.columns if c != raw_col]
+    parsed = raw.withColumn("_v", F.try_parse_json(F.col(raw_col)))
+    fields = parsed.select(
+        *keep, raw_col,
+        F.schema_of_variant(F.col("_v")).alias("_vt"),
+        *[F.try_variant_get(F.col("_v"), f"$.{f}", "variant").alias(f"_x_{f}") for f in FIELDS],
+    )
+    typed = fields.select(
+        *keep, raw_col, "_vt",
+        *[F.col(f"_x_{f}") for f in FIELDS],
+        *[_kind(F.col(f"_x_{f}"), F.schema_of_variant(F.col(f"_x_{f}"))).alias(f"_k_{f}") for f in FIELDS],
+    )
+    k = {f: F.col(f"_k_{f}") for f in FIELDS}
+    x = {f: F.col(f"_x_{f}") for f in FIELDS}
+    values = typed.select(
+        *keep, raw_col, "_vt", *k.values(),
+        *[F.try_variant_get(x[f], "$", "string").alias(f"_t_{f}") for f in ("decision", "reasoning")],
+        *[_number(x[f], k[f]).alias(f"_n_{f}") for f in ("confidence", "delay_hours", "discount_pct")],
+    )
+    conf, delay, disc = F.col("_n_confidence"), F.col("_n_delay_hours"), F.col("_n_discount_pct")
 
     def int_problem(name: str, val: Column, kind: Column) -> Column:
         bad_type = ~kind.isin("missing", "null", "number", "boolean", "string")
@@ -56,21 +76,22 @@ def parse_decisions(raw: DataFrame, raw_col: str = "raw") -> DataFrame:
 
     problems = F.concat_ws(
         "; ",
-        F.when(v.isNull() | (F.schema_of_variant(v).startswith("OBJECT") == F.lit(False)), F.lit("not a JSON object")),
+        F.when(F.col("_vt").isNull() | (F.col("_vt").startswith("OBJECT") == F.lit(False)),
+               F.lit("not a JSON object")),
         *[F.when(k[f] != "string", F.lit(f"{f} must be a string")) for f in ("transaction_id", "decision", "reasoning")],
         F.when(k["confidence"].isin("missing", "null"), F.lit("confidence is required"))
         .when(conf.isNull() | F.isnan(conf) | (conf < 0) | (conf > 1), F.lit("confidence must be within [0, 1]")),
         int_problem("delay_hours", delay, k["delay_hours"]),
         int_problem("discount_pct", disc, k["discount_pct"]),
-        F.when((k["decision"] == "string") & ~text["decision"].isin(*ALLOWED_DECISIONS),
+        F.when((k["decision"] == "string") & ~F.col("_t_decision").isin(*ALLOWED_DECISIONS),
                F.lit("decision is not an allowed value")),
     )
     fallback = F.col(raw_col).isNull()
-    out = raw.select(
-        *[c for c in raw.columns if c != raw_col],
+    out = values.select(
+        *keep,
         F.col(raw_col),
-        F.when(fallback, "escalate").otherwise(text["decision"]).alias("decision"),
-        F.when(fallback, F.lit("scoring failed; handed to a person")).otherwise(text["reasoning"]).alias("reasoning"),
+        F.when(fallback, "escalate").otherwise(F.col("_t_decision")).alias("decision"),
+        F.when(fallback, F.lit("scoring failed; handed to a person")).otherwise(F.col("_t_reasoning")).alias("reasoning"),
         F.when(fallback, 0.0).otherwise(conf).alias("confidence"),
         # a non-whole value is reported as invalid and not carried (no silent truncation)
         F.when(~fallback & (delay == F.floor(delay)), delay).cast("int").alias("delay_hours"),
