@@ -73,7 +73,8 @@ def detect_events(health: DataFrame, p: Params = Params(), cut: bool = False) ->
     """health series → degradation events (one row per event).
 
     ``cut=True`` checkpoints the (small) run table before numbering, so the numbering's second
-    pass reads the checkpoint instead of recomputing the detection.
+    pass reads the checkpoint instead of recomputing the detection, and checkpoints the numbered
+    events, which root cause and linkage read several times.
     """
     flagged = with_breach(with_baseline(health, p), p)
     r = runs(flagged, p)
@@ -87,10 +88,10 @@ def detect_events(health: DataFrame, p: Params = Params(), cut: bool = False) ->
         round_half_up("mean_z", 2).alias("z_score"),
         "n_rows",
     )
-    if cut:
-        from slicewatch.session import cut_lineage
-        ev = cut_lineage(ev, "runs")
-    return number_events(ev).select(*EVENT_COLUMNS)
+    if not cut:
+        return number_events(ev).select(*EVENT_COLUMNS)
+    from slicewatch.session import cut_lineage
+    return cut_lineage(number_events(cut_lineage(ev, "runs")).select(*EVENT_COLUMNS), "numbered")
 
 
 def severity_counts(events: DataFrame) -> DataFrame:
