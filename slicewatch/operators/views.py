@@ -27,9 +27,10 @@ def slice_catalog(health: DataFrame) -> DataFrame:
     return m.unionByName(g).orderBy("kind", "name")
 
 
-def event_list(events: DataFrame, payment_method=None) -> DataFrame:
-    """F2 (+ J2 filter half)."""
-    return filter_by(events, payment_method=payment_method).orderBy("window_start", "event_id")
+def event_list(events: DataFrame, payment_method=None, limit: int | None = None) -> DataFrame:
+    """F2 (+ J2 filter half); F8: ``limit`` keeps the first events only (a top-k)."""
+    out = filter_by(events, payment_method=payment_method).orderBy("window_start", "event_id")
+    return out.limit(int(limit)) if limit is not None else out
 
 
 def health_pivot(health: DataFrame, payment_method: str, value: str = "success_rate") -> DataFrame:

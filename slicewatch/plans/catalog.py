@@ -30,6 +30,9 @@ from slicewatch.plans.raw_decisions import raw_decisions
 from slicewatch.plans.diagnose import Diagnosis, diagnose_tables, params_for
 from slicewatch.plans.run import policy_decisions, run_all, run_policy
 from slicewatch.operators.validate import parse_decisions
+from slicewatch.operators.events import detect_events
+from slicewatch.operators.root_cause import root_cause
+from slicewatch.sources.order_lines import order_line_grain, order_line_health_tables
 
 # Threshold used by the registered queries: the test traffic is ~80% healthy, so .90 would call
 # every event platform-wide; .60 makes all four classes occur (library default stays .90).
@@ -290,6 +293,32 @@ def q_backtest_summary(spark, sf_dir):
     return backtest_summary(backtest(labels, ev), ev, labels)
 
 
+# ---------------------------------------------------------------- second source: order lines
+def order_line_diagnosis(spark: SparkSession, sf_dir: str) -> Diagnosis:
+    """Health, events and root cause of the ``lineitem ⋈ orders ⋈ customer`` attempts (no linkage)."""
+    k = _key(spark, sf_dir, "order-lines")
+    if k not in _CACHE:
+        p = Params(grain_hours=order_line_grain(sf_dir), healthy_threshold=QUERY_HEALTHY_THRESHOLD)
+        h = cut_lineage(order_line_health_tables(spark, sf_dir, p.grain_hours, p), "order-line-health")
+        ev = cut_lineage(root_cause(detect_events(h, p, cut=True), h, p), "order-line-events")
+        _CACHE[k] = Diagnosis(h, ev, None)
+    return _CACHE[k]
+
+
+def q_order_line_health(spark, sf_dir):
+    return order_line_diagnosis(spark, sf_dir).health
+
+
+def q_order_line_events(spark, sf_dir):
+    return order_line_diagnosis(spark, sf_dir).events.select(*EVENT_COLUMNS)
+
+
+def q_order_line_root_cause(spark, sf_dir):
+    return order_line_diagnosis(spark, sf_dir).events.select(
+        "event_id", "classification", "is_isolated", "global_other_slices_avg_rate", "n_peer_gateways",
+        "n_peer_methods", "best_peer", "best_peer_rate", "root_cause_statement")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)
 }

@@ -600,3 +600,26 @@ SQL["stream_events"] = _closed + """SELECT payment_method, bank_gateway, window_
   current_rate, severity, z_score, n_rows FROM dev d
 WHERE d.window_end - INTERVAL 6 HOUR < (SELECT max(h.ts) FROM health h
                                         WHERE h.payment_method = d.payment_method AND h.bank_gateway = d.bank_gateway)"""
+
+
+# Second source: order lines (grain 168 h at sf0.01; weekly cells aligned to the epoch, as Spark's window)
+OL_G = 168
+_OL_HEALTH = f"""
+health AS (
+  SELECT time_bucket(INTERVAL '{OL_G} hours', CAST(o.o_orderdate AS TIMESTAMP), TIMESTAMP '1970-01-01') AS ts,
+    o.o_orderpriority AS payment_method, c.c_mktsegment AS bank_gateway,
+    CASE WHEN count(l.l_returnflag) > 0 THEN CAST(sum(CAST(l.l_returnflag <> 'R' AS INTEGER)) AS DOUBLE)
+         / CAST(count(l.l_returnflag) AS DOUBLE) END AS success_rate,
+    CASE WHEN count(l.l_extendedprice) > 0 THEN CAST(sum(CAST(l.l_extendedprice AS DECIMAL(30,6))) AS DOUBLE)
+         / CAST(count(l.l_extendedprice) AS DOUBLE) END AS avg_latency_ms,
+    count(*) AS transaction_volume
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey
+  WHERE o.o_orderpriority IS NOT NULL AND c.c_mktsegment IS NOT NULL AND o.o_orderdate IS NOT NULL
+  GROUP BY 1, 2, 3)"""
+_OL_DEV = CTES["dev"].replace(f"INTERVAL {G} HOUR", f"INTERVAL {OL_G} HOUR")
+assert _OL_DEV != CTES["dev"]
+_OL_WITH = "WITH " + ",".join([_OL_HEALTH, CTES["enriched"], CTES["flagged"], _OL_DEV, CTES["peers"], CTES["rc"]]) + "\n"
+SQL["order_line_health"] = _OL_WITH + "SELECT * FROM health"
+SQL["order_line_events"] = _OL_WITH + f"SELECT {EV_COLS} FROM dev"
+SQL["order_line_root_cause"] = _OL_WITH + """SELECT event_id, classification, is_isolated, global_other_slices_avg_rate,
+  n_peer_gateways, n_peer_methods, best_peer, best_peer_rate, root_cause_statement FROM rc"""

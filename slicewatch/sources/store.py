@@ -39,8 +39,8 @@ def write_diagnosis(health: DataFrame, events: DataFrame, linked: DataFrame, roo
      .option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(_path(root, "health")))
     ev = events.drop("other_gateway_rates", "other_method_rates")
     ev.write.mode("overwrite").parquet(_path(root, "degradation_events"))
-    views.transactions_table(linked).withColumn("event_id", linked["event_id"]).write.mode("overwrite").parquet(
-        _path(root, "transactions"))
+    txn_cols = views.transactions_table(linked).columns
+    linked.select(*txn_cols, "event_id").write.mode("overwrite").parquet(_path(root, "transactions"))
 
 
 def append_health(new_rows: DataFrame, root: str) -> None:
