@@ -1,9 +1,9 @@
 """Trailing baseline per slice and the breach predicate.
 
-The baseline is a ROWS frame of the ``baseline_rows`` rows before the current one (current row
-excluded), null until ``baseline_min_periods`` non-null values exist. Mean and sample standard
-deviation come from exact DECIMAL window sums, so the numbers do not depend on how a frame is
-evaluated. One exchange on the slice key serves every window of the chain.
+The baseline covers the ``baseline_rows`` rows before the current one (current row excluded),
+null until ``baseline_min_periods`` non-null values exist. Mean and sample standard deviation
+come from exact DECIMAL sums, so the numbers do not depend on how the frame is evaluated. One
+exchange on the slice key serves every window of the chain.
 """
 
 from __future__ import annotations
@@ -21,21 +21,45 @@ def slice_window() -> Window:
     return Window.partitionBy(*SLICE).orderBy("ts")
 
 
-def _trailing(p: Params):
-    return slice_window().rowsBetween(-int(p.baseline_rows), -1)
-
-
 def with_baseline(health: DataFrame, p: Params = Params()) -> DataFrame:
-    frame = _trailing(p)
+    """Trailing count / sum / sum of squares over the ``baseline_rows`` rows before each row.
+
+    A moving ROWS frame is re-aggregated row by row (O(rows × frame)); instead each trailing sum is
+    the difference of two running totals, ``total[i-1] - total[i-1-baseline_rows]``, read with
+    ``lag``. Running frames and ``lag`` are single passes over the sorted slice, and the totals
+    are DECIMALs or counts, so the difference is exactly the frame sum.
+    """
+    run = slice_window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = slice_window()
+    k = int(p.baseline_rows)
     rate = F.col("success_rate").cast(RATE_DEC)
-    n = F.count("success_rate").over(frame)
-    s = F.sum(rate).over(frame).cast("double")
-    ss = F.sum(rate * rate).over(frame).cast("double")
-    n_lat = F.count("avg_latency_ms").over(frame)
-    s_lat = F.sum(F.col("avg_latency_ms").cast(VALUE_DEC)).over(frame).cast("double")
+    totals = health.select(
+        *SLICE, "ts", "success_rate", "avg_latency_ms", "transaction_volume",
+        F.count("success_rate").over(run).alias("_c_n"),
+        F.sum(rate).over(run).alias("_c_s"),
+        F.sum(rate * rate).over(run).alias("_c_ss"),
+        F.count("avg_latency_ms").over(run).alias("_c_nl"),
+        # one digit of headroom: the difference of two DECIMAL(38, s) values would lose a digit of scale
+        F.sum(F.col("avg_latency_ms").cast(VALUE_DEC)).over(run).cast("decimal(37,12)").alias("_c_sl"),
+    )
+
+    def trailing(c: str) -> Column:
+        zero = F.lit(0)
+        return F.coalesce(F.lag(c, 1).over(w), zero) - F.coalesce(F.lag(c, k + 1).over(w), zero)
+
+    n = F.col("_n")
+    s = F.col("_s").cast("double")
+    ss = F.col("_ss").cast("double")
+    n_lat = F.col("_nl")
+    s_lat = F.col("_sl").cast("double")
+    sums = totals.select(
+        *SLICE, "ts", "success_rate", "avg_latency_ms", "transaction_volume",
+        trailing("_c_n").alias("_n"), trailing("_c_s").alias("_s"), trailing("_c_ss").alias("_ss"),
+        trailing("_c_nl").alias("_nl"), trailing("_c_sl").alias("_sl"),
+    )
     enough = n >= F.lit(int(p.baseline_min_periods))
     var = (ss - s * s / n) / (n - F.lit(1))
-    return health.select(
+    return sums.select(
         *SLICE,
         "ts",
         "success_rate",
