@@ -33,9 +33,14 @@ def event_list(events: DataFrame, payment_method=None, limit: int | None = None)
     return out.limit(int(limit)) if limit is not None else out
 
 
-def health_pivot(health: DataFrame, payment_method: str, value: str = "success_rate") -> DataFrame:
-    """One row per ts, one column per gateway of one method."""
-    return filter_by(health, payment_method=payment_method).groupBy("ts").pivot("bank_gateway").agg(F.first(value))
+def health_pivot(health: DataFrame, payment_method: str, value: str = "success_rate",
+                 gateways: list[str] | None = None) -> DataFrame:
+    """One row per ts, one column per gateway of one method.
+
+    With ``gateways`` given the pivot is a single aggregation; without, Spark first runs a distinct
+    job for the column names (bounded by ``spark.sql.pivotMaxValues``)."""
+    g = filter_by(health, payment_method=payment_method).groupBy("ts")
+    return (g.pivot("bank_gateway", list(gateways)) if gateways is not None else g.pivot("bank_gateway")).agg(F.first(value))
 
 
 def decisions_table(wide: DataFrame) -> DataFrame:
@@ -80,16 +85,37 @@ def metrics_base(outcomes: DataFrame, actions: DataFrame, decisions: DataFrame)
 
 
 def decision_feed(decisions: DataFrame, txns: DataFrame, actions: DataFrame, outcomes: DataFrame,
-                  policy=None, degradation_linked=None, page: int = 1, page_size: int = 25) -> DataFrame:
-    """C4 + F3 + J6: newest decision first, LIMIT/OFFSET paging (order: ts, id, policy desc)."""
+                  policy=None, degradation_linked=None, page: int = 1, page_size: int = 25,
+                  broadcast_max_rows: int = 1_000_000) -> DataFrame:
+    """C4 + F3 + J6: newest decision first, LIMIT/OFFSET paging (order: ts, id, policy desc).
+
+    The page is chosen first, on keys only: decisions ⨝ transactions narrowed to (decision id,
+    transaction id, policy, ts), then a top-(offset + size) with the offset dropped, written once.
+    Only the page's rows are then fetched from the four tables, with the page (at most
+    ``page_size`` rows) broadcast into each scan, so no full-width table is shuffled. Exact because every decision has at most one
+    action and every action at most one outcome (their ids are the decision key).
+    """
+    order = [F.col("ts").desc(), F.col("transaction_id").desc(), F.col("policy").desc()]
     d = filter_by(decisions, policy=policy, degradation_linked=degradation_linked)
-    t = txns.select("transaction_id", "ts", "amount", "failure_type", "customer_history", "payment_method", "bank_gateway")
-    a = actions.select("decision_id", "action_id", "action_type", "allowed", "block_reason")
-    o = outcomes.select("action_id", "success", "amount_recovered", "net_recovered")
-    j = d.join(t, "transaction_id").join(a, "decision_id", "left").join(o, "action_id", "left")
+    keys = d.select("decision_id", "transaction_id", "policy").join(txns.select("transaction_id", "ts"), "transaction_id")
+    skip = (max(int(page), 1) - 1) * int(page_size)
+    chosen = keys.orderBy(*order).offset(skip).limit(int(page_size)).select("decision_id", "transaction_id")
+
+    # the page (at most page_size rows) is written once, so the key join and top-k run once; it is
+    # then broadcast into every scan (the top-k keeps at most skip + page_size rows per task)
+    from slicewatch.session import cut_lineage
+    page = cut_lineage(chosen, "feed-page")
+    page_b = F.broadcast(page) if skip + int(page_size) <= broadcast_max_rows else page
+    pd_ = d.join(page_b, ["decision_id", "transaction_id"], "left_semi")
+    pt = txns.select("transaction_id", "ts", "amount", "failure_type", "customer_history", "payment_method",
+                     "bank_gateway").join(page_b, "transaction_id", "left_semi")
+    pa = actions.select("decision_id", "action_id", "action_type", "allowed", "block_reason").join(
+        page_b, "decision_id", "left_semi")
+    po = outcomes.select("action_id", "success", "amount_recovered", "net_recovered").join(
+        actions.select("decision_id", "action_id").join(page_b, "decision_id", "left_semi"), "action_id", "left_semi")
+    j = pd_.join(pt, "transaction_id").join(pa, "decision_id", "left").join(po, "action_id", "left")
     j = j.withColumn("overridden", ~F.coalesce(F.col("allowed"), F.lit(True)) & F.col("block_reason").isNotNull())
-    return (j.orderBy(F.col("ts").desc(), F.col("transaction_id").desc(), F.col("policy").desc())
-            .offset((max(int(page), 1) - 1) * int(page_size)).limit(int(page_size)))
+    return j.orderBy(*order)
 
 
 def feed_total(decisions: DataFrame, policy=None, degradation_linked=None, page_size: int = 25) -> DataFrame:

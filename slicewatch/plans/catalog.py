@@ -33,6 +33,7 @@ from slicewatch.operators.validate import parse_decisions
 from slicewatch.operators.events import detect_events
 from slicewatch.operators.root_cause import root_cause
 from slicewatch.sources.order_lines import order_line_grain, order_line_health_tables
+from slicewatch.sources.payments import N_GATEWAYS
 
 # Threshold used by the registered queries: the test traffic is ~80% healthy, so .90 would call
 # every event platform-wide; .60 makes all four classes occur (library default stays .90).
@@ -253,7 +254,8 @@ def q_timeseries_page(spark, sf_dir):
 
 
 def q_health_pivot(spark, sf_dir):
-    return views.health_pivot(diagnosis(spark, sf_dir).health, "m0")
+    gateways = [f"g{i}" for i in range(N_GATEWAYS)]          # the gateway names of the payments mapping
+    return views.health_pivot(diagnosis(spark, sf_dir).health, "m0", gateways=gateways)
 
 
 def q_sample_per_group(spark, sf_dir):
