@@ -148,13 +148,13 @@ def scored_policy(linked: DataFrame, scorer: ScorerFn, policy: str = "agent") ->
     over an echoed id (I5); failures become an ``escalate`` fallback with confidence 0 (I4) in
     ``validate.parse_decisions``.
     """
-    req = linked.select("transaction_id", prompt_expr().alias("prompt"))
+    req = linked.select(epoch_micros("ts").alias("seq"), "transaction_id", prompt_expr().alias("prompt"))
 
     def run(batches):
         for b in batches:
             out = scorer(b[["transaction_id", "prompt"]])
-            yield pd.DataFrame({"transaction_id": b["transaction_id"].values,
+            yield pd.DataFrame({"seq": b["seq"].values, "transaction_id": b["transaction_id"].values,
                                 "raw": out["raw"].values if len(out) == len(b) else [None] * len(b)})
 
-    scored = req.mapInPandas(run, "transaction_id string, raw string")
+    scored = req.mapInPandas(run, "seq long, transaction_id string, raw string")
     return scored.withColumn("policy", F.lit(policy))

@@ -111,3 +111,24 @@ def test_run_policy_external_decisions(spark, txn_df):
                                               "seq long, transaction_id string, policy string, raw string"))
     r = run_policy(d, txns).collect()[0]
     assert r.status == "execute" and r.final_discount_pct == 15 and r.block_reason.startswith("discount_capped")
+
+
+def test_scorer_slot_sees_prompts_only_and_request_id_wins(spark, txn_df):
+    import pandas as pd
+
+    from slicewatch.operators.policies import scored_policy
+    txns = _txn(spark, txn_df, ("t1", "t2", "t3")).withColumn("root_cause_statement", F.lit(None).cast("string"))
+
+    def scorer(batch: pd.DataFrame) -> pd.DataFrame:
+        assert list(batch.columns) == ["transaction_id", "prompt"]          # hidden columns never reach it
+        assert not batch["prompt"].str.contains("ground_truth|0.9", regex=True).any()
+        raw = [None if t == "t2" else json.dumps({**BASE, "transaction_id": "echoed-wrong-id"})
+               for t in batch["transaction_id"]]
+        return pd.DataFrame({"raw": raw})
+
+    scored = scored_policy(txns, scorer)
+    assert scored.columns == ["seq", "transaction_id", "raw", "policy"]
+    r = {x.transaction_id: x for x in run_policy(parse_decisions(scored), txns).collect()}
+    assert set(r) == {"t1", "t2", "t3"}                                     # the request's id, not the echo
+    assert r["t2"].decision == "escalate" and r["t2"].confidence == 0.0 and r["t2"].status == "execute"
+    assert r["t1"].decision == "retry_now" and r["t1"].status == "execute"

@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 from conftest import HEALTH_SCHEMA, health_rows
 from slicewatch.operators import audit as audit_ops
 from slicewatch.operators import views
+from slicewatch.operators.linkage import link_single
 from slicewatch.params import Params
 from slicewatch.plans.diagnose import diagnose
 from slicewatch.sources import store
 from slicewatch.sources.order_lines import order_line_health_tables
-from slicewatch.sources.payments import read_health
+from slicewatch.sources.payments import read_health, read_transactions
 from slicewatch.streaming.rollup_stream import run_rollup
 
 SF = "/root/testdata/sf0.001"
@@ -42,6 +43,22 @@ def test_health_csv_and_parquet_reads_agree(spark, tmp_path):
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
+def test_transactions_csv_read_and_single_event_linkage(spark, txn_df, tmp_path):
+    t0 = dt.datetime(2026, 1, 1, 10)
+    rows = [(f"t{i}", "upi", "gw_a", t0 + dt.timedelta(minutes=30 * i), 10.0 * i, "c", "new", i % 4, "otp_timeout",
+             i % 2 == 0, 0.5, 0.5) for i in range(6)]
+    t = txn_df(rows)
+    (t.select(*[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) if c == "ts" else F.col(c) for c in t.columns])
+     .coalesce(1).write.option("header", True).csv(str(tmp_path / "txn")))
+    back = read_transactions(spark, str(tmp_path / "txn"))
+    assert back.schema == t.schema and back.exceptAll(t).count() == 0
+    event = spark.createDataFrame([(7, "upi", "gw_a", t0 + dt.timedelta(minutes=30), t0 + dt.timedelta(minutes=90))],
+                                  "event_id long, payment_method string, bank_gateway string, "
+                                  "window_start timestamp_ntz, window_end timestamp_ntz")
+    got = {r.transaction_id: r.event_id for r in link_single(back, event, Params()).collect()}
+    assert got == {"t0": None, "t1": 7, "t2": 7, "t3": None, "t4": None, "t5": None}   # [start, end)
+
+
 def test_store_round_trip_and_append_only_touches_new_days(spark, txn_df, tmp_path):
     h = _health(spark)
     txns = txn_df([("t1", "upi", "gw_a", dt.datetime(2026, 1, 2, 17, 30), 500.0, "c1", "new", 1, "gateway_timeout",
