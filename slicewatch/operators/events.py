@@ -3,7 +3,8 @@
 Gaps-and-islands: a running count of non-breaching rows (explicit ROWS frame) is constant across
 a run of breaching rows, so (slice, island) identifies a run. The baseline windows, the island
 window and the run aggregate all cluster on the slice key, so Spark plans a single exchange.
-Adjacency is by row, not by clock (a missing cell does not break a run).
+Adjacency is by row, not by clock (a missing cell does not break a run); ``Params.strict_gaps``
+switches to adjacency by clock.
 
 Event ids are dense 1-based numbers in (method, gateway, window_start) order, built without a
 global single-partition window: rank inside each slice, plus the running total of events of the
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from slicewatch.functions.exprs import severity_expr
 from slicewatch.functions.numeric import VALUE_DEC, round_half_up
-from slicewatch.functions.timeutil import add_hours
+from slicewatch.functions.timeutil import add_hours, epoch_seconds
 from slicewatch.operators.baseline import SLICE, slice_window, with_baseline, with_breach
 from slicewatch.params import Params
 
@@ -27,14 +28,21 @@ EVENT_COLUMNS = (
 )
 
 
-def with_island(flagged: DataFrame) -> DataFrame:
+def with_island(flagged: DataFrame, p: Params = Params()) -> DataFrame:
+    """Island id = running count of rows that cannot continue a run. By default that is every
+    non-breaching row (adjacency by row); with ``strict_gaps`` a breaching row more than one grain
+    after the previous row of its slice also starts a new run (adjacency by clock)."""
     run = slice_window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return flagged.withColumn("island", F.sum(F.when(F.col("breach"), 0).otherwise(1)).over(run))
+    breaks = ~F.col("breach")
+    if p.strict_gaps:
+        gap = epoch_seconds("ts") - epoch_seconds(F.lag("ts", 1).over(slice_window()))
+        breaks = breaks | F.coalesce(gap > F.lit(int(p.grain_hours) * 3600), F.lit(False))
+    return flagged.withColumn("island", F.sum(F.when(breaks, 1).otherwise(0)).over(run))
 
 
 def runs(flagged: DataFrame, p: Params = Params()) -> DataFrame:
     """Breaching runs of at least ``min_run_rows`` rows, with their unrounded means."""
-    isl = with_island(flagged).where(F.col("breach"))
+    isl = with_island(flagged, p).where(F.col("breach"))
     g = isl.groupBy(*SLICE, "island").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.min("ts").alias("window_start"),

@@ -51,6 +51,7 @@ class Params:
     std_fill: float = 0.02
     std_floor: float = 0.005
     min_run_rows: int = 3
+    strict_gaps: bool = False          # True: a missing cell (gap > one grain) also ends a run
     # severity cut-offs on the unrounded mean drop
     severity_critical: float = 0.25
     severity_high: float = 0.15

@@ -74,6 +74,15 @@ def test_runs_are_adjacent_rows_not_clock_hours(spark, health_df):
     assert len(ev) == 1 and ev[0].n_rows == 3
 
 
+def test_strict_gaps_lets_a_missing_cell_end_a_run(spark, health_df):
+    rows = health_rows("m", "g", hours=50, drop_start=30, drop_len=6)
+    del rows[33]                                   # breaching rows 30-32 and 34-35 around a missing hour
+    h = health_df(rows)
+    assert [r.n_rows for r in detect_events(h).collect()] == [5]
+    strict = detect_events(h, Params(strict_gaps=True)).collect()
+    assert [r.n_rows for r in strict] == [3]       # 30-32 is a run of 3; 34-35 is too short
+
+
 def test_short_run_is_ignored_and_min_run_is_a_parameter(spark, health_df):
     h = health_df(health_rows("m", "g", hours=50, drop_start=30, drop_len=2))
     assert detect_events(h).count() == 0
