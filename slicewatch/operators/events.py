@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from slicewatch.functions.exprs import severity_expr
 from slicewatch.functions.numeric import VALUE_DEC, round_half_up
 from slicewatch.functions.timeutil import add_hours, epoch_seconds
-from slicewatch.operators.baseline import SLICE, slice_window, with_baseline, with_breach
+from slicewatch.operators.baseline import SLICE, chunk_of, chunk_offsets, slice_window, with_baseline, with_breach
 from slicewatch.params import Params
 
 EVENT_COLUMNS = (
@@ -32,12 +32,23 @@ def with_island(flagged: DataFrame, p: Params = Params()) -> DataFrame:
     """Island id = running count of rows that cannot continue a run. By default that is every
     non-breaching row (adjacency by row); with ``strict_gaps`` a breaching row more than one grain
     after the previous row of its slice also starts a new run (adjacency by clock)."""
-    run = slice_window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    chunked = bool(p.time_chunk_hours) and "_rn" in flagged.columns
     breaks = ~F.col("breach")
     if p.strict_gaps:
-        gap = epoch_seconds("ts") - epoch_seconds(F.lag("ts", 1).over(slice_window()))
+        prev_ts = F.col("_prev_ts") if chunked else F.lag("ts", 1).over(slice_window())
+        gap = epoch_seconds("ts") - epoch_seconds(prev_ts)
         breaks = breaks | F.coalesce(gap > F.lit(int(p.grain_hours) * 3600), F.lit(False))
-    return flagged.withColumn("island", F.sum(F.when(breaks, 1).otherwise(0)).over(run))
+    b = F.when(breaks, 1).otherwise(0).cast("bigint")
+    if not chunked:
+        run = slice_window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return flagged.withColumn("island", F.sum(b).over(run))
+    # chunked plan: running count inside each (slice, chunk) plus the counts of earlier chunks
+    x = flagged.withColumn("_chunk", chunk_of(p)).withColumn("_b", b)
+    wc = Window.partitionBy(*SLICE, "_chunk").orderBy("_rn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    loc = x.withColumn("_lb", F.sum("_b").over(wc))
+    off = chunk_offsets(loc.groupBy(*SLICE, "_chunk").agg(F.sum("_b").alias("b")), {"b": "bigint"})
+    return (loc.join(off, [*SLICE, "_chunk"]).withColumn("island", F.col("_ob") + F.col("_lb"))
+            .drop("_chunk", "_b", "_lb", "_ob"))
 
 
 def runs(flagged: DataFrame, p: Params = Params()) -> DataFrame:
@@ -84,7 +95,11 @@ def detect_events(health: DataFrame, p: Params = Params(), cut: bool = False) ->
     pass reads the checkpoint instead of recomputing the detection, and checkpoints the numbered
     events, which root cause and linkage read several times.
     """
-    flagged = with_breach(with_baseline(health, p), p)
+    flagged = with_breach(with_baseline(health, p, keep_order=True), p)
+    if cut and p.time_chunk_hours:
+        # the chunked island step reads the flags twice (rows and per-chunk break counts)
+        from slicewatch.session import cut_lineage
+        flagged = cut_lineage(flagged, "flagged")
     r = runs(flagged, p)
     ev = r.select(
         *SLICE,
