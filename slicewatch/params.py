@@ -75,6 +75,8 @@ class Params:
     draw_seed: str = "2026"
     # physical knobs: time bucket (hours) used as the equi-key of range joins;
     # None = the grain. Rows of the small side above which no broadcast is requested.
+    # transaction_id is a primary key: repeated ids keep one row before linkage
+    unique_transactions: bool = True
     bucket_hours: int | None = None
     # hours per time chunk of the chunked baseline / island plan (None = one window per slice);
     # set it when single slices are long or hot, so their rows spread over many tasks

@@ -19,7 +19,7 @@ from slicewatch.operators.root_cause import root_cause
 from slicewatch.operators.rollup import health_rollup
 from slicewatch.params import Params
 from slicewatch.session import cut_lineage
-from slicewatch.sources.payments import attempts, transactions
+from slicewatch.sources.payments import attempts, transactions, unique_transactions
 
 # context of the matched event carried onto each linked transaction
 RC_CARRY = ("root_cause_statement", "classification", "best_peer", "best_peer_rate")
@@ -54,6 +54,8 @@ def diagnose(health: DataFrame, txns: DataFrame, p: Params = Params(), cut: bool
     rc = root_cause(events, health, p)
     if cut:
         rc = cut_lineage(rc, "events")
+    if p.unique_transactions:
+        txns = unique_transactions(txns)
     linked = link(txns, rc, p, carry=RC_CARRY + ("window_end",))
     linked = with_after_recovery_probability(linked.withColumnRenamed("window_end", "event_window_end"))
     if cut:

@@ -69,6 +69,20 @@ def transactions_from_attempts(att: DataFrame) -> DataFrame:
     )
 
 
+def unique_transactions(txns: DataFrame) -> DataFrame:
+    """``transaction_id`` is a primary key. A repeated id keeps one row, the smallest by
+    (ts, then the remaining columns), so the choice does not depend on file or partition order.
+    ``min`` of a struct is a partial aggregate: a hot id ships one row per task, not all its copies."""
+    rest = ["ts"] + [c for c in txns.columns if c not in ("transaction_id", "ts")]
+    return (txns.groupBy("transaction_id").agg(F.min(F.struct(*rest)).alias("_r"))
+            .select("transaction_id", *[F.col("_r")[c].alias(c) for c in rest]).select(*txns.columns))
+
+
+def duplicate_transaction_ids(txns: DataFrame) -> DataFrame:
+    """B13 check: ids that occur more than once, with their count."""
+    return txns.groupBy("transaction_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+
+
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transactions_from_attempts(attempts(spark, sf_dir))
 

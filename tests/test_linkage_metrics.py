@@ -87,3 +87,16 @@ def test_missing_policy_gives_zero_rows_and_null_deltas(spark, txn_df):
     assert rows[("agent", "overall")].cost_to_recover_per_100 == 0.0
     cmp = policy_comparison(m).collect()[0]
     assert cmp.net_revenue_delta_rs is None and cmp.recovery_rate_delta_pct_points is None
+
+
+def test_repeated_transaction_ids_keep_one_row(spark, txn_df):
+    from slicewatch.sources.payments import duplicate_transaction_ids, unique_transactions
+    t0 = dt.datetime(2026, 1, 1, 10)
+    row = ("t1", "upi", "gw_a", t0, 10.0, "c", "new", 0, "otp_timeout", False, 0.5, 0.5)
+    later = ("t1", "upi", "gw_a", t0 + dt.timedelta(minutes=5), 99.0, "c", "new", 1, "otp_timeout", False, 0.5, 0.5)
+    other = ("t2", "upi", "gw_a", t0, 20.0, "c", "new", 0, "otp_timeout", False, 0.5, 0.5)
+    t = txn_df([later, row, other, row])
+    assert {(r.transaction_id, r.n) for r in duplicate_transaction_ids(t).collect()} == {("t1", 3)}
+    u = {r.transaction_id: r for r in unique_transactions(t.repartition(3)).collect()}
+    assert set(u) == {"t1", "t2"} and u["t1"].amount == 10.0 and u["t1"].ts == t0
+    assert unique_transactions(t).columns == t.columns
