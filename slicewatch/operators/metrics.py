@@ -81,3 +81,10 @@ def policy_comparison(metrics: DataFrame, a: str = "agent", b: str = "baseline")
         F.when(has_run, round_half_up(F.col("a_lrate") - F.col("b_lrate"), 2)).alias("degradation_linked_recovery_rate_delta_pct_points"),
         F.when(has_run, round_half_up(F.col("a_lnet") - F.col("b_lnet"), 2)).alias("degradation_linked_net_revenue_delta_rs"),
     )
+
+
+def recovery_chart(metrics: DataFrame, a: str = "agent", b: str = "baseline") -> DataFrame:
+    """Chart rows, one per segment, with net recovered and recovery rate of both policies side by
+    side (a pivot of the metrics on the policy; the value list is given, so no distinct job)."""
+    return metrics.groupBy("segment").pivot("policy", [a, b]).agg(
+        F.max("net_revenue_recovered_rs").alias("net_rs"), F.max("recovery_rate_pct").alias("rate_pct"))

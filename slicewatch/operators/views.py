@@ -145,3 +145,11 @@ def sample_per_group(linked: DataFrame, n_linked: int = 3, n_unlinked: int = 2)
         top = linked.where(F.col("degradation_linked") == F.lit(flag)).orderBy("ts", "transaction_id").limit(n)
         parts.append(top.withColumn("rn", F.row_number().over(w)))   # ranks n rows only
     return parts[0].unionByName(parts[1])
+
+
+def batch_results(wide: DataFrame) -> DataFrame:
+    """What a policy run returns, one row per decision: id, policy, linkage, decision, routing
+    status, the action allowed by the rules and its outcome (null when the decision was skipped)."""
+    return wide.select("transaction_id", "policy",
+                       F.coalesce(F.col("degradation_linked"), F.lit(False)).alias("degradation_linked"),
+                       "decision", "status", "allowed_action", "success", "net_recovered")

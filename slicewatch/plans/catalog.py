@@ -19,7 +19,7 @@ from slicewatch.operators.backtest import backtest, backtest_summary, labels_fro
 from slicewatch.operators.baseline import baseline_coverage, with_baseline, with_breach
 from slicewatch.operators.events import EVENT_COLUMNS, severity_counts
 from slicewatch.operators.linkage import gt_probability_by_link, linkage_summary
-from slicewatch.operators.metrics import policy_comparison, policy_metrics
+from slicewatch.operators.metrics import policy_comparison, policy_metrics, recovery_chart
 from slicewatch.operators.outcomes import expected_outcomes
 from slicewatch.operators.policies import prompt_expr
 from slicewatch.operators.root_cause import peer_rates, window_summary
@@ -203,6 +203,14 @@ def q_policy_comparison(spark, sf_dir):
     return policy_comparison(q_policy_metrics(spark, sf_dir))
 
 
+def q_recovery_chart(spark, sf_dir):
+    return recovery_chart(q_policy_metrics(spark, sf_dir))
+
+
+def q_batch_results(spark, sf_dir):
+    return views.batch_results(wide(spark, sf_dir))
+
+
 def q_idempotent_rerun(spark, sf_dir):
     """A second run over the same transactions, with the first run's outcomes recorded."""
     prior = views.outcomes_table(wide(spark, sf_dir))

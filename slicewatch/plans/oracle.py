@@ -623,3 +623,14 @@ SQL["order_line_health"] = _OL_WITH + "SELECT * FROM health"
 SQL["order_line_events"] = _OL_WITH + f"SELECT {EV_COLS} FROM dev"
 SQL["order_line_root_cause"] = _OL_WITH + """SELECT event_id, classification, is_isolated, global_other_slices_avg_rate,
   n_peer_gateways, n_peer_methods, best_peer, best_peer_rate, root_cause_statement FROM rc"""
+
+
+# J3 and I15
+SQL["recovery_chart"] = _with("metrics") + """SELECT segment,
+  max(CASE WHEN policy = 'agent' THEN net_revenue_recovered_rs END) AS agent_net_rs,
+  max(CASE WHEN policy = 'agent' THEN recovery_rate_pct END) AS agent_rate_pct,
+  max(CASE WHEN policy = 'baseline' THEN net_revenue_recovered_rs END) AS baseline_net_rs,
+  max(CASE WHEN policy = 'baseline' THEN recovery_rate_pct END) AS baseline_rate_pct
+FROM metrics GROUP BY segment"""
+SQL["batch_results"] = _with("wide") + """SELECT transaction_id, policy, coalesce(degradation_linked, false) AS degradation_linked,
+  decision, status, allowed_action, success, net_recovered FROM wide"""
