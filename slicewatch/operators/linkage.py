@@ -8,8 +8,9 @@ are kept as a short sorted array (events of one slice are disjoint, so a piece h
 most). Transactions equi-join the pieces on (slice, bucket) — exactly one piece per transaction —
 and the first array element whose window contains ``ts`` is picked by a higher-order function. No
 transaction is duplicated and no shuffle on transaction id is needed to de-duplicate. The piece
-table is broadcast only when its row count is below ``broadcast_max_rows``; otherwise both sides
-shuffle on (slice, bucket) and AQE splits skewed buckets.
+table is broadcast only when a bounded measurement shows it below ``broadcast_max_rows`` rows and
+``broadcast_max_bytes`` bytes; otherwise both sides shuffle on (slice, bucket) and AQE splits
+skewed buckets.
 """
 
 from __future__ import annotations
@@ -32,10 +33,15 @@ def event_pieces(events: DataFrame, bucket_seconds: int, carry: tuple[str, ...]
     return ex.groupBy(*SLICE, "bucket").agg(F.array_sort(F.collect_list("ev")).alias("candidates"))
 
 
-def maybe_broadcast(small: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``small`` only if it provably has at most ``max_rows`` rows (bounded count)."""
-    n = small.limit(max_rows + 1).count()
-    return F.broadcast(small) if n <= max_rows else small
+def maybe_broadcast(small: DataFrame, max_rows: int, max_bytes: int = 64 << 20) -> DataFrame:
+    """Broadcast ``small`` only if it provably has at most ``max_rows`` rows and about ``max_bytes``
+    bytes. One bounded job reads at most ``max_rows + 1`` rows and measures them (JSON-encoded
+    length, a close upper estimate of the row size); only the one-row summary reaches the driver."""
+    st = small.limit(max_rows + 1).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.coalesce(F.sum(F.length(F.to_json(F.struct(*small.columns)))), F.lit(0)).alias("bytes"),
+    ).first()
+    return F.broadcast(small) if st["n"] <= max_rows and st["bytes"] <= max_bytes else small
 
 
 def link(txns: DataFrame, events: DataFrame, p: Params = Params(), carry: tuple[str, ...] = (),
@@ -44,7 +50,7 @@ def link(txns: DataFrame, events: DataFrame, p: Params = Params(), carry: tuple[
     ``carry`` columns of the matched event (e.g. the root-cause statement, C12)."""
     pieces = event_pieces(events, p.bucket_seconds, carry)
     if broadcast_check:
-        pieces = maybe_broadcast(pieces, p.broadcast_max_rows)
+        pieces = maybe_broadcast(pieces, p.broadcast_max_rows, p.broadcast_max_bytes)
     t = txns.withColumn("bucket", bucket_of("ts", p.bucket_seconds))
     joined = t.join(pieces, [*SLICE, "bucket"], "left")
     hit = F.get(F.filter("candidates", lambda e: (F.col("ts") >= e["window_start"]) & (F.col("ts") < e["window_end"])), 0)

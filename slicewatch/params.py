@@ -82,6 +82,7 @@ class Params:
     # set it when single slices are long or hot, so their rows spread over many tasks
     time_chunk_hours: int | None = None
     broadcast_max_rows: int = 1_000_000
+    broadcast_max_bytes: int = 64 << 20
 
     def with_(self, **kw) -> "Params":
         return replace(self, **kw)

@@ -52,7 +52,8 @@ def order_line_health(orders: DataFrame, lineitem: DataFrame, customer: DataFram
     o = orders.select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("timestamp_ntz").alias("ts"),
                       F.col("o_orderpriority").alias("payment_method"))
     c = maybe_broadcast(customer.select(F.col("c_custkey").alias("o_custkey"),
-                                        F.col("c_mktsegment").alias("bank_gateway")), p.broadcast_max_rows)
+                                        F.col("c_mktsegment").alias("bank_gateway")),
+                        p.broadcast_max_rows, p.broadcast_max_bytes)
     j = (per_order(lineitem).join(o, "o_orderkey").join(c, "o_custkey")
          .where(F.col("payment_method").isNotNull() & F.col("bank_gateway").isNotNull() & F.col("ts").isNotNull()))
     agg = j.groupBy("payment_method", "bank_gateway", F.window("ts", f"{int(grain_hours)} hours").alias("cell")).agg(

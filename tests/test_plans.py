@@ -72,3 +72,15 @@ def test_decision_feed_pages_equal_full_join(spark, txn_df):
     for page in (1, 2, 3):
         got = views.decision_feed(d, t, a, o, policy="agent", page=page, page_size=12).select("decision_id").collect()
         assert [r.decision_id for r in got] == want[(page - 1) * 12: page * 12]
+
+
+def test_broadcast_needs_both_row_and_byte_bounds(spark):
+    from slicewatch.operators.linkage import maybe_broadcast
+    df = spark.range(100).select(F.col("id"), F.repeat(F.lit("x"), 50).alias("pad"))
+
+    def hinted(d) -> bool:
+        return "broadcast" in d._jdf.queryExecution().analyzed().toString().lower()
+
+    assert hinted(maybe_broadcast(df, max_rows=1000, max_bytes=1 << 20))
+    assert not hinted(maybe_broadcast(df, max_rows=99, max_bytes=1 << 20))      # too many rows
+    assert not hinted(maybe_broadcast(df, max_rows=1000, max_bytes=1000))       # too many bytes
