@@ -86,26 +86,37 @@ def metrics_base(outcomes: DataFrame, actions: DataFrame, decisions: DataFrame)
 
 def decision_feed(decisions: DataFrame, txns: DataFrame, actions: DataFrame, outcomes: DataFrame,
                   policy=None, degradation_linked=None, page: int = 1, page_size: int = 25,
-                  broadcast_max_rows: int = 1_000_000) -> DataFrame:
+                  broadcast_max_rows: int = 1_000_000, after: tuple | None = None) -> DataFrame:
     """C4 + F3 + J6: newest decision first, LIMIT/OFFSET paging (order: ts, id, policy desc).
 
+    ``after`` = (ts, transaction_id, policy) of the last row of the previous page switches to keyset
+    paging: rows strictly after that key, ``page`` ignored. Each task then keeps ``page_size`` rows
+    however deep the page, where OFFSET keeps offset + size.
+
     The page is chosen first, on keys only: decisions ⨝ transactions narrowed to (decision id,
     transaction id, policy, ts), then a top-(offset + size) with the offset dropped, written once.
     Only the page's rows are then fetched from the four tables, with the page (at most
-    ``page_size`` rows) broadcast into each scan, so no full-width table is shuffled. Exact because every decision has at most one
-    action and every action at most one outcome (their ids are the decision key).
+    ``page_size`` rows) broadcast into each scan, so no full-width table is shuffled. Exact because
+    every decision has at most one action and every action at most one outcome (their ids are the
+    decision key).
     """
     order = [F.col("ts").desc(), F.col("transaction_id").desc(), F.col("policy").desc()]
     d = filter_by(decisions, policy=policy, degradation_linked=degradation_linked)
     keys = d.select("decision_id", "transaction_id", "policy").join(txns.select("transaction_id", "ts"), "transaction_id")
-    skip = (max(int(page), 1) - 1) * int(page_size)
+    if after is not None:
+        a_ts, a_id, a_pol = (F.lit(v) for v in after)
+        ts, tid, pol = F.col("ts"), F.col("transaction_id"), F.col("policy")
+        keys = keys.where((ts < a_ts) | ((ts == a_ts) & ((tid < a_id) | ((tid == a_id) & (pol < a_pol)))))
+        skip = 0
+    else:
+        skip = (max(int(page), 1) - 1) * int(page_size)
     chosen = keys.orderBy(*order).offset(skip).limit(int(page_size)).select("decision_id", "transaction_id")
 
     # the page (at most page_size rows) is written once, so the key join and top-k run once; it is
-    # then broadcast into every scan (the top-k keeps at most skip + page_size rows per task)
+    # then broadcast into every scan
     from slicewatch.session import cut_lineage
     page = cut_lineage(chosen, "feed-page")
-    page_b = F.broadcast(page) if skip + int(page_size) <= broadcast_max_rows else page
+    page_b = F.broadcast(page) if int(page_size) <= broadcast_max_rows else page
     pd_ = d.join(page_b, ["decision_id", "transaction_id"], "left_semi")
     pt = txns.select("transaction_id", "ts", "amount", "failure_type", "customer_history", "payment_method",
                      "bank_gateway").join(page_b, "transaction_id", "left_semi")

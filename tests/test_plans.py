@@ -69,9 +69,14 @@ def test_decision_feed_pages_equal_full_join(spark, txn_df):
             .orderBy(F.col("ts").desc(), F.col("transaction_id").desc(), F.col("policy").desc())
             .select("decision_id").collect())
     want = [r.decision_id for r in full]
+    after = None
     for page in (1, 2, 3):
-        got = views.decision_feed(d, t, a, o, policy="agent", page=page, page_size=12).select("decision_id").collect()
+        got = views.decision_feed(d, t, a, o, policy="agent", page=page, page_size=12).collect()
         assert [r.decision_id for r in got] == want[(page - 1) * 12: page * 12]
+        keyset = views.decision_feed(d, t, a, o, policy="agent", page_size=12, after=after).collect()
+        assert [r.decision_id for r in keyset] == [r.decision_id for r in got]
+        if got:
+            after = (got[-1].ts, got[-1].transaction_id, got[-1].policy)
 
 
 def test_broadcast_needs_both_row_and_byte_bounds(spark):
