@@ -148,6 +148,8 @@ def scored_policy(linked: DataFrame, scorer: ScorerFn, policy: str = "agent") ->
     over an echoed id (I5); failures become an ``escalate`` fallback with confidence 0 (I4) in
     ``validate.parse_decisions``.
     """
+    from slicewatch.session import ship_package
+    ship_package(linked.sparkSession)
     req = linked.select(epoch_micros("ts").alias("seq"), "transaction_id", prompt_expr().alias("prompt"))
 
     def run(batches):

@@ -5,9 +5,12 @@ On a cluster the session is created by the platform; ``configure`` only fills wh
 
 from __future__ import annotations
 
+import hashlib
+import io
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -67,3 +70,40 @@ def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{root}/tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``slicewatch`` importable in the Python workers of every executor (the ``--py-files``
+    route), once per application. Needed where Python code of the package runs in tasks (the
+    streaming detector's state function). The zip is written into the shared checkpoint folder
+    through the Hadoop file system, not a machine-local folder, and added with ``addPyFile``."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    if "slicewatch" in (sc.getConf().get("spark.submit.pyFiles", "") or ""):
+        _SHIPPED.add(sc.applicationId)
+        return
+    import slicewatch
+    pkg = os.path.dirname(os.path.abspath(slicewatch.__file__))
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, dirs, files in os.walk(pkg):
+            dirs[:] = sorted(d for d in dirs if d != "__pycache__")
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    data = buf.getvalue()
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pyfiles/{hashlib.sha1(data).hexdigest()[:16]}/slicewatch.zip"
+    jvm = sc._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(hpath):
+        out = fs.create(hpath, True)
+        out.write(bytearray(data))
+        out.close()
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)

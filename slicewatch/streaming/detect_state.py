@@ -104,6 +104,8 @@ def detector(p: Params = Params()):
 
 def detect_stream(health_stream: DataFrame, p: Params = Params()) -> DataFrame:
     """Closed-cell health stream → degradation events (append)."""
+    from slicewatch.session import ship_package
+    ship_package(health_stream.sparkSession)          # the state function's helpers run in workers
     h = health_stream.select("payment_method", "bank_gateway", "ts", "success_rate")
     return h.groupBy("payment_method", "bank_gateway").applyInPandasWithState(
         detector(p), OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)

@@ -158,3 +158,36 @@ def test_stream_rollup_emits_closed_cells_once_and_drops_late_rows(spark, tmp_pa
     assert counts[t0] == [3]                                         # late row dropped, cell not re-emitted
     assert all(len(v) == 1 for v in counts.values())
     assert t0 + dt.timedelta(hours=9) in counts                      # 09:00 closed by the later data
+
+
+def test_package_reaches_python_workers_outside_the_repo(tmp_path):
+    """Workers started from another directory import the package only after ``ship_package``."""
+    import subprocess
+    import sys
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = f"""
+import sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+spark = (SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false")
+         .config("spark.checkpoint.dir", {str(tmp_path / "ckpt")!r}).getOrCreate())
+def probe(batches):
+    import pandas as pd
+    for b in batches:
+        try:
+            import slicewatch.streaming.detect_state  # noqa: F401
+            ok = True
+        except ImportError:
+            ok = False
+        yield pd.DataFrame({{"ok": [ok] * len(b)}})
+def run():
+    return all(r.ok for r in spark.range(4).mapInPandas(probe, "ok boolean").collect())
+before = run()
+from slicewatch.session import ship_package
+ship_package(spark)
+print("RESULT", before, run())
+"""
+    out = subprocess.run([sys.executable, "-c", script], cwd=str(tmp_path), capture_output=True, text=True,
+                         timeout=600, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+    line = [x for x in out.stdout.splitlines() if x.startswith("RESULT")]
+    assert line == ["RESULT False True"], out.stdout[-2000:] + out.stderr[-2000:]
