@@ -11,14 +11,26 @@ def _epoch() -> Column:
     return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
 
 
+def _wall_seconds(ts: Column) -> Column:
+    """Whole seconds of the wall-clock value since 1970-01-01 00:00, from date parts only: a zoned
+    difference would move values inside a daylight-saving gap of the session time zone."""
+    days = F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("bigint")
+    return days * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60
+
+
 def epoch_seconds(ts) -> Column:
     ts = F.col(ts) if isinstance(ts, str) else ts
-    return F.timestamp_diff("SECOND", _epoch(), ts)
+    return _wall_seconds(ts) + F.second(ts)
 
 
 def epoch_micros(ts) -> Column:
     ts = F.col(ts) if isinstance(ts, str) else ts
-    return F.timestamp_diff("MICROSECOND", _epoch(), ts)
+    # date_part('SECOND') is seconds with the fraction, DECIMAL(8,6): exact micros
+    return _wall_seconds(ts) * 1_000_000 + (F.date_part(F.lit("SECOND"), ts) * 1_000_000).cast("bigint")
+
+
+def from_epoch_micros(micros: Column) -> Column:
+    return F.timestamp_add("MICROSECOND", micros, _epoch())
 
 
 def from_epoch_seconds(secs: Column) -> Column:

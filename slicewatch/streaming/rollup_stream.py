@@ -1,7 +1,8 @@
 """Tumbling slice rollup of a payment-attempt stream, with watermark and late-data drop.
 
-The watermark needs a zoned TIMESTAMP, so ``ts`` (TIMESTAMP_NTZ) is cast under the session time
-zone (UTC) and cast back on output. Append mode emits a cell once the watermark passes its end;
+The watermark needs a zoned TIMESTAMP, so ``ts`` (TIMESTAMP_NTZ) becomes the instant whose UTC wall
+clock it is, and cell starts are turned back the same way: results do not depend on the session
+time zone. Append mode emits a cell once the watermark passes its end;
 rows later than the watermark are dropped, so every emitted cell is final.
 """
 
@@ -13,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slicewatch.functions.timeutil import epoch_micros, from_epoch_micros
 from slicewatch.session import ensure_checkpoint_dir
 from slicewatch.sources.payments import attempts_from_events
 
@@ -39,7 +41,8 @@ def events_stream(spark: SparkSession, path: str, max_files_per_trigger: int | N
 
 def rollup_stream(attempts: DataFrame, grain_hours: int, delay: str | None = None) -> DataFrame:
     delay = delay or f"{int(grain_hours)} hours"
-    a = attempts.withColumn("ts_z", F.col("ts").cast("timestamp")).withWatermark("ts_z", delay)
+    # zoned instant whose UTC wall clock is ts (independent of the session time zone)
+    a = attempts.withColumn("ts_z", F.timestamp_micros(epoch_micros("ts"))).withWatermark("ts_z", delay)
     agg = a.groupBy("payment_method", "bank_gateway", F.window("ts_z", f"{int(grain_hours)} hours").alias("cell")).agg(
         F.count(F.lit(1)).alias("transaction_volume"),
         F.sum(F.col("ok").cast("int")).alias("n_ok"),
@@ -48,7 +51,7 @@ def rollup_stream(attempts: DataFrame, grain_hours: int, delay: str | None = Non
         F.count("latency_ms").alias("n_lat"),
     )
     return agg.select(
-        F.col("cell.start").cast("timestamp_ntz").alias("ts"),
+        from_epoch_micros(F.unix_micros(F.col("cell.start"))).alias("ts"),
         "payment_method",
         "bank_gateway",
         F.when(F.col("n_known") > 0, F.col("n_ok").cast("double") / F.col("n_known").cast("double")).alias("success_rate"),

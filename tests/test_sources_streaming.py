@@ -191,3 +191,25 @@ print("RESULT", before, run())
                          timeout=600, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
     line = [x for x in out.stdout.splitlines() if x.startswith("RESULT")]
     assert line == ["RESULT False True"], out.stdout[-2000:] + out.stderr[-2000:]
+
+
+def test_time_math_ignores_the_session_time_zone(spark):
+    """Wall-clock (TIMESTAMP_NTZ) values, including one inside a daylight-saving gap, give the same
+    epoch, buckets and tumbling cells under any session time zone."""
+    from slicewatch.functions.timeutil import bucket_of, epoch_micros, from_epoch_micros
+    df = spark.sql("SELECT explode(array(TIMESTAMP_NTZ'2024-03-10 01:30:00', TIMESTAMP_NTZ'2024-03-10 02:30:00.25', "
+                   "TIMESTAMP_NTZ'2024-03-10 03:30:00', TIMESTAMP_NTZ'2024-11-03 01:30:00')) AS ts")
+    zoned = F.timestamp_micros(epoch_micros("ts"))
+    q = df.select("ts", epoch_micros("ts").alias("us"), bucket_of("ts", 3600).alias("b"),
+                  from_epoch_micros(F.unix_micros(F.window(zoned, "6 hours").start)).alias("cell"))
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        got = {}
+        for tz in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            got[tz] = sorted(tuple(r) for r in q.collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert got["UTC"] == got["America/New_York"]
+    assert [r[1] for r in got["UTC"]][:3] == [1710034200000000, 1710037800250000, 1710041400000000]
+    assert [r[3].hour for r in got["UTC"]][:3] == [0, 0, 0]
