@@ -119,11 +119,11 @@ def route(decisions: DataFrame, txns: DataFrame, prior_outcomes: DataFrame | Non
         d = d.withColumn("_done", F.lit(None).cast("boolean"))
     ok = F.coalesce(F.col("_known"), F.lit(False)) & F.col("is_valid")
     # first executable row per (transaction, policy): a partial aggregate (skew-safe for a hot
-    # id, one row per key shuffled per task) joined back, instead of a window over the whole key
-    d = d.withColumn("_rank", F.struct(F.when(ok, 0).otherwise(1).alias("k"), F.col(order_col).alias("s")))
-    firsts = d.groupBy("transaction_id", "policy").agg(F.min("_rank").alias("_min"))
-    d = d.join(firsts, ["transaction_id", "policy"]).withColumn("_first", F.col("_rank") == F.col("_min")) \
-         .drop("_rank", "_min")
+    # id, one row per key shuffled per task) joined back, instead of a window over the whole key.
+    # Only known, valid rows consult it, so the minimum runs over those rows' order values alone.
+    firsts = d.groupBy("transaction_id", "policy").agg(F.min(F.when(ok, F.col(order_col))).alias("_min"))
+    d = d.join(firsts, ["transaction_id", "policy"]).withColumn(
+        "_first", F.coalesce(F.col(order_col) == F.col("_min"), F.lit(False))).drop("_min")
     status = (
         F.when(~F.coalesce(F.col("_known"), F.lit(False)), "skipped_unknown_transaction")
         .when(~F.col("is_valid"), "skipped_invalid_decision_schema")
