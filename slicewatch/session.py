@@ -66,12 +66,29 @@ def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
     and, unlike an RDD checkpoint, keeps column pruning and filter pushdown on every re-read.
     """
     spark = df.sparkSession
-    root = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{root}/tables/{name}-{uuid.uuid4().hex}"
+    path = f"{_tables_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
+def _tables_dir(spark: SparkSession) -> str:
+    """Lineage-cut tables of this application live under one folder, so they can be released."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{spark.sparkContext.applicationId}"
+
+
+def release_tables(spark: SparkSession) -> bool:
+    """Delete every lineage-cut table this application wrote. DataFrames read from them must not
+    be used afterwards (cached query results in ``plans.catalog`` are dropped too)."""
+    from slicewatch.plans import catalog
+    app = spark.sparkContext.applicationId
+    for k in [k for k in catalog._CACHE if k[0] == app]:
+        del catalog._CACHE[k]
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(_tables_dir(spark))
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.delete(hpath, True)) if fs.exists(hpath) else False
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -51,3 +51,16 @@ def test_diagnosis_and_runs_do_not_depend_on_partitioning(spark):
     assert _same(a.events.drop(*drop_maps), b.events.drop(*drop_maps))
     assert _same(a.linked, b.linked)
     assert _same(run_all(a.linked, p), run_all(b.linked, p))
+
+
+def test_lineage_tables_are_released_per_application(spark):
+    import os
+
+    from slicewatch.session import _tables_dir, cut_lineage, release_tables
+    t = cut_lineage(spark.range(10), "probe")
+    assert t.count() == 10
+    folder = _tables_dir(spark)
+    local = folder[len("file:"):] if folder.startswith("file:") else folder
+    assert os.path.isdir(local) and any(n.startswith("probe-") for n in os.listdir(local))
+    assert release_tables(spark)
+    assert not os.path.exists(local)
