@@ -108,7 +108,7 @@ def route(decisions: DataFrame, txns: DataFrame, prior_outcomes: DataFrame | Non
     ``status`` ∈ {execute, skipped_unknown_transaction, skipped_invalid_decision_schema,
     skipped_duplicate}. A (transaction, policy) already holding an outcome in ``prior_outcomes``
     is a duplicate (anti-join); inside one batch the first row by ``order_col`` executes and later
-    repeats are duplicates (window on the (transaction, policy) key).
+    repeats are duplicates (a partial minimum per (transaction, policy) key, joined back).
     """
     known = txns.withColumn("_known", F.lit(True))
     d = decisions.join(known, "transaction_id", "left")
