@@ -84,12 +84,28 @@ def escalations(wide: DataFrame) -> DataFrame:
 
 
 def audit_view(audit: DataFrame, transaction_id: str | None = None, stage: str | None = None,
-               policy: str | None = None, limit: int = 200, offset: int = 0) -> DataFrame:
-    """I14 (B4 + F5): optional equality filters, newest first, limit/offset paging."""
+               policy: str | None = None, limit: int = 200, offset: int = 0,
+               before: tuple | None = None) -> DataFrame:
+    """I14 (B4 + F5): optional equality filters, newest first, limit/offset paging.
+
+    ``before`` = the ``LOG_ORDER`` key of the last row of the previous page switches to keyset
+    paging (rows strictly older, ``offset`` ignored): each task keeps ``limit`` rows however deep
+    the page. A null transaction id (event rows, batch -1) sorts last, as in the ordering."""
     df = audit
     for name, val in (("transaction_id", transaction_id), ("stage", stage), ("policy", policy)):
         if val:
             df = df.where(F.col(name) == F.lit(val))
+    if before is not None:
+        b, q, t, o = before
+        bs, sq, od = F.col("batch_seq"), F.col("seq"), F.col("ordinal")
+        tid = F.col("transaction_id")
+        # transaction id "older" than t under DESC NULLS LAST: smaller, or null when t is not null
+        t_older = tid.isNull() if t is None else (tid.isNull() | F.coalesce(tid < F.lit(t), F.lit(False)))
+        t_same = tid.isNull() if t is None else F.coalesce(tid == F.lit(t), F.lit(False))
+        older = ((bs < F.lit(b)) | ((bs == F.lit(b)) & ((sq < F.lit(q)) | ((sq == F.lit(q)) & (
+            (t_older & ~t_same) | (t_same & (od < F.lit(o))))))))
+        df = df.where(F.coalesce(older, F.lit(False)))
+        offset = 0
     return df.orderBy(*[F.col(c).desc_nulls_last() for c in LOG_ORDER]).offset(offset).limit(limit)
 
 

@@ -89,3 +89,20 @@ def test_broadcast_needs_both_row_and_byte_bounds(spark):
     assert hinted(maybe_broadcast(df, max_rows=1000, max_bytes=1 << 20))
     assert not hinted(maybe_broadcast(df, max_rows=99, max_bytes=1 << 20))      # too many rows
     assert not hinted(maybe_broadcast(df, max_rows=1000, max_bytes=1000))       # too many bytes
+
+
+def test_audit_keyset_pages_equal_offset_pages(spark):
+    from slicewatch.operators import audit as audit_ops
+    rows = [(b, s, None if b < 0 else f"t{s % 3}", o, "agent", "x", "{}")
+            for b in (-1, 0, 1) for s in range(4) for o in range(2)]
+    rows += [(0, 2, None, 0, "agent", "x", "{}"), (0, 2, "t0", 1, "agent", "x", "{}")]   # null and ids mixed
+    a = spark.createDataFrame(rows, "batch_seq long, seq long, transaction_id string, ordinal int, policy string, "
+                                    "stage string, detail string")
+    key = ("batch_seq", "seq", "transaction_id", "ordinal")
+    before = None
+    for page in range(5):
+        by_offset = audit_ops.audit_view(a, limit=5, offset=page * 5).collect()
+        by_key = audit_ops.audit_view(a, limit=5, before=before).collect()
+        assert [tuple(r[k] for k in key) for r in by_key] == [tuple(r[k] for k in key) for r in by_offset]
+        if by_offset:
+            before = tuple(by_offset[-1][k] for k in key)
