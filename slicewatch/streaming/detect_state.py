@@ -70,6 +70,12 @@ def detector(p: Params = Params()):
             hist, run_start, run_last, run_n, s_base, s_rate, s_z, n_events = [], None, None, 0, Decimal(0), Decimal(0), Decimal(0), 0
         rows = pd.concat(list(pdfs)).sort_values("ts")
         out = []
+
+        def event(n_events):
+            mb, mr, mz = float(s_base) / run_n, float(s_rate) / run_n, float(s_z) / run_n
+            return (method, gateway, run_start, pd.Timestamp(run_last) + grain, _round(mb, 4), _round(mr, 4),
+                    _severity(mb - mr, p), _round(mz, 2), run_n, n_events)
+
         for ts, rate in zip(rows["ts"], rows["success_rate"]):
             rate = None if rate is None or (isinstance(rate, float) and math.isnan(rate)) else float(rate)
             base, std = _baseline(hist, p)
@@ -78,6 +84,14 @@ def detector(p: Params = Params()):
                 drop = base - rate
                 z = drop / max(std if std is not None else p.std_fill, p.std_floor)
                 breach = drop >= p.min_drop or z >= p.z_threshold
+            # a run ends at a non-breaching row, or (strict_gaps) before a row more than a grain later
+            gap_break = breach and run_n > 0 and p.strict_gaps and ts - pd.Timestamp(run_last) > grain
+            if not breach or gap_break:
+                if run_n >= p.min_run_rows:
+                    n_events += 1
+                    out.append(event(n_events))
+                run_start, run_last, run_n = None, None, 0
+                s_base = s_rate = s_z = Decimal(0)
             if breach:
                 if run_n == 0:
                     run_start = ts
@@ -85,14 +99,6 @@ def detector(p: Params = Params()):
                 s_base += _dec(base, Q12)
                 s_rate += _dec(rate, Q12)
                 s_z += _dec(z, Q12)
-            else:
-                if run_n >= p.min_run_rows:
-                    mb, mr, mz = float(s_base) / run_n, float(s_rate) / run_n, float(s_z) / run_n
-                    n_events += 1
-                    out.append((method, gateway, run_start, pd.Timestamp(run_last) + grain, _round(mb, 4), _round(mr, 4),
-                                _severity(mb - mr, p), _round(mz, 2), run_n, n_events))
-                run_start, run_last, run_n = None, None, 0
-                s_base = s_rate = s_z = Decimal(0)
             hist = (hist + [rate])[-p.baseline_rows:]
         def us(t):
             return None if t is None else int(pd.Timestamp(t).value // 1000)

@@ -135,3 +135,28 @@ def test_time_chunked_plan_with_strict_gaps(spark, health_df):
     for strict in (False, True):
         p = Params(strict_gaps=strict)
         assert _same(detect_events(h, p), detect_events(h, p.with_(time_chunk_hours=5)))
+
+
+class _State:
+    """Minimal stand-in for the streaming GroupState (no timeout, no state yet)."""
+    exists = False
+
+    def update(self, value):
+        self.value = value
+
+
+def test_streaming_state_function_equals_batch_on_closed_runs(spark, health_df):
+    from slicewatch.streaming.detect_state import detector
+    rows = health_rows("m", "g", hours=120, drop_start=40, drop_len=7)
+    del rows[43]                                                  # a missing cell inside the drop
+    for strict in (False, True):
+        p = Params(strict_gaps=strict)
+        batch = sorted((r.window_start, r.window_end, r.n_rows, r.baseline_rate, r.current_rate, r.z_score)
+                       for r in detect_events(health_df(rows), p).collect())
+        pdf = pd.DataFrame({"ts": [r[0] for r in rows], "success_rate": [r[3] for r in rows]})
+        out = next(detector(p)(("m", "g"), iter([pdf]), _State()))
+        stream = sorted((a.to_pydatetime(), b.to_pydatetime(), n, br, cr, z) for a, b, n, br, cr, z in
+                        zip(out["window_start"], out["window_end"], out["n_rows"], out["baseline_rate"],
+                            out["current_rate"], out["z_score"]))
+        assert stream == batch
+        assert [e[2] for e in batch] == ([3, 3] if strict else [6])   # the gap splits the run in two
