@@ -101,6 +101,24 @@ def parse_decisions(raw: DataFrame, raw_col: str = "raw") -> DataFrame:
     return out.withColumn("is_valid", F.col("invalid_reason").isNull())
 
 
+def mark_done(d: DataFrame, prior_outcomes: DataFrame | None) -> DataFrame:
+    """``_done`` = the (transaction, policy) pair already holds a stored outcome (else null).
+
+    When the outcomes carry the transaction ``date`` (a partition column of the stored table) and
+    ``d`` has ``ts``, the date joins too: a transaction's date never changes, so the result is the
+    same, and dynamic partition pruning then reads only the days present in ``d`` instead of the
+    whole outcome history."""
+    keys = ["transaction_id", "policy"]
+    if prior_outcomes is None:
+        return d.withColumn("_done", F.lit(None).cast("boolean"))
+    if "date" in prior_outcomes.columns and "ts" in d.columns:
+        done = (prior_outcomes.select(*keys, F.col("date").alias("_date")).distinct()
+                .withColumn("_done", F.lit(True)))
+        return d.withColumn("_date", F.to_date("ts")).join(done, [*keys, "_date"], "left").drop("_date")
+    done = prior_outcomes.select(*keys).distinct().withColumn("_done", F.lit(True))
+    return d.join(done, keys, "left")
+
+
 def route(decisions: DataFrame, txns: DataFrame, prior_outcomes: DataFrame | None = None,
           order_col: str = "seq") -> DataFrame:
     """I7 + C3 + C7: one ``status`` per decision row, in the order unknown → invalid → duplicate.
@@ -112,11 +130,7 @@ def route(decisions: DataFrame, txns: DataFrame, prior_outcomes: DataFrame | Non
     """
     known = txns.withColumn("_known", F.lit(True))
     d = decisions.join(known, "transaction_id", "left")
-    if prior_outcomes is not None:
-        done = prior_outcomes.select("transaction_id", "policy").distinct().withColumn("_done", F.lit(True))
-        d = d.join(done, ["transaction_id", "policy"], "left")
-    else:
-        d = d.withColumn("_done", F.lit(None).cast("boolean"))
+    d = mark_done(d, prior_outcomes)
     ok = F.coalesce(F.col("_known"), F.lit(False)) & F.col("is_valid")
     # first executable row per (transaction, policy): a partial aggregate (skew-safe for a hot
     # id, one row per key shuffled per task) joined back, instead of a window over the whole key.

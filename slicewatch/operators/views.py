@@ -64,7 +64,8 @@ def outcomes_table(wide: DataFrame) -> DataFrame:
     key = F.concat_ws(":", "policy", "transaction_id")
     return x.select(key.alias("outcome_id"), key.alias("action_id"), "transaction_id", "policy", "success",
                     "amount_recovered", "discount_cost", "action_cost", "net_recovered",
-                    "recovered_paise", "discount_paise", "cost_paise", "net_paise")
+                    "recovered_paise", "discount_paise", "cost_paise", "net_paise",
+                    F.to_date("ts").alias("date"))          # transaction date: partition column when stored
 
 
 def transactions_table(linked: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from slicewatch.functions.timeutil import epoch_micros
 from slicewatch.operators.outcomes import with_outcome
 from slicewatch.operators.policies import baseline_policy, rule_policy
 from slicewatch.operators.rules import enforce
-from slicewatch.operators.validate import route
+from slicewatch.operators.validate import mark_done, route
 from slicewatch.params import ALLOWED_DECISIONS, Params
 
 TXN_COLUMNS = (
@@ -60,11 +60,7 @@ def run_builtin(policy: str, linked: DataFrame, p: Params = Params(),
     """Wide frame for a built-in policy: decisions are columns of the transaction rows, so no
     decision ↔ transaction join is needed (one decision per transaction by construction)."""
     d = policy_decisions(policy, linked, p, keep_input=True)
-    if prior_outcomes is not None:
-        done = prior_outcomes.select("transaction_id", "policy").distinct().withColumn("_done", F.lit(True))
-        d = d.join(done, ["transaction_id", "policy"], "left")
-    else:
-        d = d.withColumn("_done", F.lit(None).cast("boolean"))
+    d = mark_done(d, prior_outcomes)
     status = (F.when(~F.col("is_valid"), "skipped_invalid_decision_schema")
               .when(F.coalesce(F.col("_done"), F.lit(False)), "skipped_duplicate")
               .otherwise("execute"))

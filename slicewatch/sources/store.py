@@ -69,9 +69,11 @@ def write_run(wide: DataFrame, root: str, run_id: str, events: DataFrame | None
     for name, df in out.items():
         # dynamic overwrite of this run's partitions only: rewriting the same run_id is idempotent,
         # earlier runs are never touched
+        # outcomes also by transaction date, so the C7 anti-join prunes to the days of a batch
+        parts = ("policy", "run_id", "date") if name == "outcomes" else ("policy", "run_id")
         (df.withColumn("run_id", F.lit(run_id)).withColumn("policy", F.coalesce(F.col("policy"), F.lit("none")))
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("policy", "run_id").parquet(_path(root, name)))
+         .partitionBy(*parts).parquet(_path(root, name)))
     return {"wide": w, **out}
 
 

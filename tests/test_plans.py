@@ -106,3 +106,17 @@ def test_audit_keyset_pages_equal_offset_pages(spark):
         assert [tuple(r[k] for k in key) for r in by_key] == [tuple(r[k] for k in key) for r in by_offset]
         if by_offset:
             before = tuple(by_offset[-1][k] for k in key)
+
+
+def test_rerun_prunes_stored_outcomes_to_the_batch_days(spark, txn_df, tmp_path):
+    from slicewatch.sources import store
+    rows = [(f"t{i}", "upi", "gw_a", dt.datetime(2026, 1, 1 + i % 5, 10), 50.0, "c", "new", 0, "otp_timeout",
+             False, 0.5, 0.5) for i in range(10)]
+    txns = txn_df(rows).withColumn("event_id", F.lit(None).cast("bigint"))
+    root = str(tmp_path / "store")
+    store.run_and_store(spark, txns, root, "r1", P)
+    prior = store.read_table(spark, root, "outcomes")
+    day = txns.where(F.to_date("ts") == F.lit("2026-01-02").cast("date"))
+    again = run_all(day, P, prior_outcomes=prior)
+    assert "dynamicpruningexpression" in _plan(again).lower()
+    assert {r.status for r in again.collect()} == {"skipped_duplicate"}
