@@ -1,23 +1,66 @@
-"""Corpus pipeline: near-duplicate stage for now; the other stages follow."""
+"""Corpus pipeline: toxicity, quality, near-duplicates, benchmark decontamination, tokens.
+
+Each stage works on all that its predecessor kept and is written as Parquet before the next one reads it.
+All stages but the last return the columns they were given. Empty inputs pass through every stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slicewatch.llm import bpe, quality, tiling, toxicity
 from slicewatch.llm.common import cut_lineage, free_name, table
 from slicewatch.llm.neardup import NearDup, near_duplicates
+from slicewatch.llm.queries import tokenizer_path
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weighted lexicon rejects go; the lexicon is learned from the labels."""
+    lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return docs.filter(toxicity.score_column(lexicon, F.col("text"), spark) < toxicity.Learning.threshold)
+
+
+def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return docs.filter(quality.score_column(model, F.col("text"), spark) >= model.params.threshold)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays (five-word shingles, similarity 0.8 or more)."""
+    """One document of each near-duplicate group stays (five-word shingles, similarity 0.8 or more). Of rows
+    that repeat a kept id one stays; rows without an id stay."""
     found = near_duplicates(docs, NearDup(shingle=5))
-    gone = free_name(docs.columns, "removed_id")
-    removed = found.filter(~F.col("kept")).select(F.col("doc_id").alias(gone)).distinct()
-    return docs.join(removed, F.col("doc_id") == F.col(gone), "left_anti")
+    other = free_name(docs.columns, "other_id")
+    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias(other)).distinct()
+    kept = docs.join(gone, F.col("doc_id") == F.col(other), "left_anti")
+    again = cut_lineage(docs.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias(other)).count()
+                        .filter("count > 1").select(other), "repeated")
+    if not again.limit(1).count():
+        return kept
+    once = kept.join(again, F.col("doc_id") == F.col(other), "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(again, F.col("doc_id") == F.col(other), "left_anti").unionByName(once)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold most of a benchmark item go."""
+    found = tiling.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    other = free_name(docs.columns, "other_id")
+    gone = found.filter("contaminated").select(F.col("doc_id").alias(other)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(other), "left_anti")
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and the digest of what they decode to."""
+    path = tokenizer_path()
+    coded = bpe.encode(docs, path).select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                                          F.col("ids").alias("token_ids"), "ids", "offsets")
+    return bpe.decode(coded, path).select("doc_id", "n_tokens", "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-STAGES = [("near_dedup", near_dedup)]
+STAGES = [("toxicity", drop_toxic), ("quality", drop_poor), ("near_dedup", near_dedup),
+          ("decontamination", decontaminate), ("tokens", tokens)]
+#: No SQL expresses the classifiers and the tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
