@@ -261,6 +261,11 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup(), doc_id: str = "doc_
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("node"))
     reps = usable.join(copies, "set_hash", "left").filter(F.col("rep").isNull() | (F.col("rep") == F.col("doc_id")))
 
+    # an id whose rows fall into several classes joins them
+    split = node.filter("node is not null").groupBy("doc_id").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
+    same_id = node.join(split.select("doc_id"), "doc_id").filter("node <> doc_id").select(
+        F.col("node").alias("a"), F.col("doc_id").alias("b"))
+
     # band buckets of two or more representatives, each member with its bucket's centre
     banded = reps.select("doc_id", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last"),
@@ -273,7 +278,7 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup(), doc_id: str = "doc_
     # round 1: every member against one centre
     stars = (member.filter("doc_id <> centre").groupBy(F.col("doc_id").alias("b")).agg(F.min("centre").alias("a"))
              .select("a", "b"))
-    links = _verified(stars, rows, p)
+    links = _verified(stars, rows, p).unionByName(cut_lineage(same_id, "same_id"))
     comp = components(links)
 
     # round 2: only what still lies in different components of one bucket
