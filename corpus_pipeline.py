@@ -53,9 +53,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the digest of what they decode to."""
     path = tokenizer_path()
-    coded = bpe.encode(docs, path).select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
-                                          F.col("ids").alias("token_ids"), "ids", "offsets")
-    return bpe.decode(coded, path).select("doc_id", "n_tokens", "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = bpe.encode(docs, path).withColumn("n_tokens", F.size("ids").cast("long"))
+    return bpe.decode(coded, path, keep_ids=True).select(
+        "doc_id", "n_tokens", F.col("ids").alias("token_ids"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [("toxicity", drop_toxic), ("quality", drop_poor), ("near_dedup", near_dedup),

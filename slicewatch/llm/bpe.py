@@ -161,7 +161,7 @@ class Vocabulary:
     """Merge ranks of a rank file; encodes one pre-token at a time, decodes ids with their offsets."""
 
     #: Pre-tokens kept per generation of the cache; two generations are held.
-    CACHE = 200_000
+    CACHE = 100_000
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
@@ -292,13 +292,14 @@ def encode(docs: DataFrame, rank_file: str, doc_id: str = "doc_id", text: str =
         run, "doc_id long, ids array<int>, offsets array<int>")
 
 
-def decode(tokens: DataFrame, rank_file: str) -> DataFrame:
+def decode(tokens: DataFrame, rank_file: str, keep_ids: bool = False) -> DataFrame:
     """``tokens`` (with ``ids`` and ``offsets`` as ``encode`` gives them) with a binary column ``decoded``
-    in their place; all other columns pass through."""
+    in place of the two (``keep_ids``: of the offsets only); all other columns pass through."""
     ship_package(tokens.sparkSession)
     name = ship_vocabulary(tokens.sparkSession, rank_file)
     kept = [f for f in tokens.schema.fields if f.name not in ("ids", "offsets", "decoded")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", decoded binary"
+    names = [f.name for f in kept] + ["ids"] * keep_ids
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["ids array<int>"] * keep_ids + ["decoded binary"])
 
     def run(batches):
         vocabulary = _vocabulary(name)
@@ -307,6 +308,6 @@ def decode(tokens: DataFrame, rank_file: str) -> DataFrame:
                 part = batch.slice(at, 256)
                 out = [vocabulary.decode(i.values.to_numpy(), o.values.to_numpy()) if i.is_valid else b""
                        for i, o in zip(part.column("ids"), part.column("offsets"))]
-                yield pa.RecordBatch.from_arrays([part.column(f.name) for f in kept] + [pa.array(out, pa.binary())],
-                                                 names=[f.name for f in kept] + ["decoded"])
+                yield pa.RecordBatch.from_arrays([part.column(n) for n in names] + [pa.array(out, pa.binary())],
+                                                 names=[*names, "decoded"])
     return tokens.select(*[f.name for f in kept], "ids", "offsets").mapInArrow(run, schema)

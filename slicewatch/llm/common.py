@@ -15,7 +15,7 @@ __all__ = ["bounded_sample", "cut_lineage", "ensure_checkpoint_dir", "fold_of",
            "text_blocks", "TextBlock"]
 
 #: Bytes of text that one numpy pass handles at a time (a longer text is a block of its own).
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
