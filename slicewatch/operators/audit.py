@@ -84,9 +84,10 @@ def escalations(wide: DataFrame) -> DataFrame:
 
 
 def audit_view(audit: DataFrame, transaction_id: str | None = None, stage: str | None = None,
-               policy: str | None = None, limit: int = 200, offset: int = 0,
+               policy: str | None = None, limit: int | None = None, offset: int = 0,
                before: tuple | None = None) -> DataFrame:
-    """I14 (B4 + F5): optional equality filters, newest first, limit/offset paging.
+    """I14 (B4 + F5): optional equality filters, newest first; all rows unless a limit
+    is given, then limit/offset paging.
 
     ``before`` = the ``LOG_ORDER`` key of the last row of the previous page switches to keyset
     paging (rows strictly older, ``offset`` ignored): each task keeps ``limit`` rows however deep
@@ -106,7 +107,9 @@ def audit_view(audit: DataFrame, transaction_id: str | None = None, stage: str |
             (t_older & ~t_same) | (t_same & (od < F.lit(o))))))))
         df = df.where(F.coalesce(older, F.lit(False)))
         offset = 0
-    return df.orderBy(*[F.col(c).desc_nulls_last() for c in LOG_ORDER]).offset(offset).limit(limit)
+    out = df.orderBy(*[F.col(c).desc_nulls_last() for c in LOG_ORDER])
+    out = out.offset(offset) if offset else out
+    return out if limit is None else out.limit(int(limit))
 
 
 def parse_detail(audit: DataFrame) -> DataFrame:

@@ -115,6 +115,8 @@ def with_baseline(health: DataFrame, p: Params = Params(), keep_order: bool = Fa
     ``lag`` over each slice (one exchange on the slice). With ``p.time_chunk_hours`` the same sums
     come from the chunked plan (``_chunked_sums``); ``keep_order`` then keeps ``_rn``/``_prev_ts``.
     """
+    # a NaN measure is a missing one
+    health = health.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("success_rate", "avg_latency_ms")})
     if p.time_chunk_hours:
         sums = _chunked_sums(health, p)
         extra = ("_rn", "_prev_ts") if keep_order else ()

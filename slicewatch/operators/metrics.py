@@ -36,8 +36,10 @@ def policy_metrics(outcomes: DataFrame, policies: tuple[str, ...] = ("agent", "b
         "segment",
         F.when(F.col("gid") == 1, "overall").when(F.col("linked"), "degradation_linked").otherwise("non_degradation_linked"),
     )
-    spark = outcomes.sparkSession
-    skeleton = spark.createDataFrame([(pol, seg) for pol in policies for seg in SEGMENTS], "policy string, segment string")
+    # every policy of the data, and the given ones even without rows
+    given = outcomes.sparkSession.createDataFrame([(pol,) for pol in policies], "policy string")
+    known = given.union(outcomes.select("policy").where(F.col("policy").isNotNull())).distinct()
+    skeleton = known.select("policy", F.explode(F.array(*[F.lit(x) for x in SEGMENTS])).alias("segment"))
     j = skeleton.join(g.drop("linked", "gid"), ["policy", "segment"], "left")
     total = F.coalesce(F.col("total_transactions"), F.lit(0))
     succ = F.coalesce(F.col("successes"), F.lit(0))

@@ -113,26 +113,16 @@ def rule_policy(linked: DataFrame, p: Params = Params(), policy: str = "agent",
 
 
 def prompt_expr() -> F.Column:
-    """The scorer's per-transaction prompt (nine fields, plus context when linked)."""
+    """The scorer's request per transaction: one instruction and the visible facts as JSON."""
     linked = F.coalesce(F.col("degradation_linked"), F.lit(False))
-    lines = [
-        F.concat(F.lit("Transaction ID: "), F.col("transaction_id")),
-        F.concat(F.lit("Payment method: "), F.col("payment_method")),
-        F.concat(F.lit("Bank/gateway: "), F.col("bank_gateway")),
-        F.concat(F.lit("Timestamp: "), F.date_format("ts", "yyyy-MM-dd HH:mm:ss")),
-        F.concat(F.lit("Amount: Rs. "), F.format_string("%.2f", F.col("amount"))),
-        F.concat(F.lit("Customer history: "), F.col("customer_history")),
-        F.concat(F.lit("Retry count so far: "), F.col("retry_count_so_far").cast("string")),
-        F.concat(F.lit("Failure type: "), F.col("failure_type")),
-        F.concat(F.lit("Degradation-linked: "), F.when(linked, "True").otherwise("False")),
-    ]
-    context = F.when(
-        linked & F.col("root_cause_statement").isNotNull(),
-        F.concat(F.lit("\nROOT CAUSE CONTEXT (linked to a detected degradation event):\n"),
-                 F.col("root_cause_statement")),
-    ).otherwise(F.lit(""))
-    ask = F.lit("\nChoose the best recovery action for this transaction.")
-    return F.concat(F.concat_ws("\n", *lines), context, F.lit("\n"), ask)
+    facts = F.struct(
+        F.col("transaction_id").alias("id"), F.concat_ws("/", "payment_method", "bank_gateway").alias("slice"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("failed_at"),
+        F.format_string("%.2f", F.col("amount")).alias("amount"), F.col("customer_history").alias("tier"),
+        F.col("retry_count_so_far").alias("retries"), F.col("failure_type").alias("failure"),
+        linked.alias("in_outage"), F.when(linked, F.col("root_cause_statement")).alias("outage"))
+    return F.concat(F.lit("Pick one recovery step for this failed payment and answer in the decision schema.\n"),
+                    F.to_json(facts, {"ignoreNullFields": "false"}))
 
 
 ScorerFn = Callable[[pd.DataFrame], pd.DataFrame]
@@ -142,7 +132,7 @@ def scored_policy(linked: DataFrame, scorer: ScorerFn, policy: str = "agent") ->
     """External scorer slot.
 
     ``scorer`` maps a pandas batch with columns ``transaction_id, prompt`` to a batch with
-    ``transaction_id, raw`` (decision JSON text, null on failure). It runs per Arrow batch inside
+    ``transaction_id, raw`` (decision JSON text, null on failure), in any order; answers are matched by id. It runs per Arrow batch inside
     ``mapInPandas`` — the caller's model client lives there; nothing is collected. Hidden ground
     truth columns are projected away before scoring (I3). The id of the request row always wins
     over an echoed id (I5); failures become an ``escalate`` fallback with confidence 0 (I4) in
@@ -152,11 +142,29 @@ def scored_policy(linked: DataFrame, scorer: ScorerFn, policy: str = "agent") ->
     ship_package(linked.sparkSession)
     req = linked.select(epoch_micros("ts").alias("seq"), "transaction_id", prompt_expr().alias("prompt"))
 
+    def answers(b: pd.DataFrame) -> dict:
+        """Answer text by request id. A batch that fails is asked again row by row, so only the rows
+        that fail themselves stay without an answer; of repeated answers to one id the first counts."""
+        try:
+            out = scorer(b.reset_index(drop=True))
+            found: dict = {}
+            for tid, raw in zip(out["transaction_id"], out["raw"]):
+                found.setdefault(tid, raw)
+            return found
+        except Exception:  # whatever the caller's scorer raises: those rows fall back (I4)
+            if len(b) == 1:
+                return {}
+            found = {}
+            for i in range(len(b)):
+                found.update(answers(b.iloc[i:i + 1]))
+            return found
+
     def run(batches):
         for b in batches:
-            out = scorer(b[["transaction_id", "prompt"]])
+            found = answers(b[["transaction_id", "prompt"]])
+            raw = [found.get(t) for t in b["transaction_id"]]
             yield pd.DataFrame({"seq": b["seq"].values, "transaction_id": b["transaction_id"].values,
-                                "raw": out["raw"].values if len(out) == len(b) else [None] * len(b)})
+                                "raw": pd.Series([x if isinstance(x, str) else None for x in raw], dtype=object)})
 
     scored = req.mapInPandas(run, "seq long, transaction_id string, raw string")
     return scored.withColumn("policy", F.lit(policy))

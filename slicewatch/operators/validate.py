@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slicewatch.params import ALLOWED_DECISIONS
+from slicewatch.session import cut_lineage
 
 
 FIELDS = ("transaction_id", "decision", "reasoning", "confidence", "delay_hours", "discount_pct")
@@ -71,8 +72,9 @@ def parse_decisions(raw: DataFrame, raw_col: str = "raw") -> DataFrame:
 
     def int_problem(name: str, val: Column, kind: Column) -> Column:
         bad_type = ~kind.isin("missing", "null", "number", "boolean", "string")
-        not_whole = val.isNull() | F.isnan(val) | (val != F.floor(val))
-        return F.when(bad_type | (~kind.isin("missing", "null") & not_whole), F.lit(f"{name} is not an integer"))
+        not_whole = val.isNull() | F.isnan(val) | (val % 1 != 0)
+        return (F.when(bad_type | (~kind.isin("missing", "null") & not_whole), F.lit(f"{name} is not an integer"))
+                .when(F.abs(val) > 2147483647, F.lit(f"{name} is out of range")))
 
     problems = F.concat_ws(
         "; ",
@@ -94,8 +96,8 @@ def parse_decisions(raw: DataFrame, raw_col: str = "raw") -> DataFrame:
         F.when(fallback, F.lit("scoring failed; handed to a person")).otherwise(F.col("_t_reasoning")).alias("reasoning"),
         F.when(fallback, 0.0).otherwise(conf).alias("confidence"),
         # a non-whole value is reported as invalid and not carried (no silent truncation)
-        F.when(~fallback & (delay == F.floor(delay)), delay).cast("int").alias("delay_hours"),
-        F.when(~fallback & (disc == F.floor(disc)), disc).cast("int").alias("discount_pct"),
+        F.when(~fallback & (delay % 1 == 0), delay).try_cast("int").alias("delay_hours"),
+        F.when(~fallback & (disc % 1 == 0), disc).try_cast("int").alias("discount_pct"),
         F.when(fallback, F.lit(None).cast("string")).otherwise(F.nullif(problems, F.lit(""))).alias("invalid_reason"),
     )
     return out.withColumn("is_valid", F.col("invalid_reason").isNull())
@@ -125,23 +127,29 @@ def route(decisions: DataFrame, txns: DataFrame, prior_outcomes: DataFrame | Non
 
     ``status`` ∈ {execute, skipped_unknown_transaction, skipped_invalid_decision_schema,
     skipped_duplicate}. A (transaction, policy) already holding an outcome in ``prior_outcomes``
-    is a duplicate (anti-join); inside one batch the first row by ``order_col`` executes and later
-    repeats are duplicates (a partial minimum per (transaction, policy) key, joined back).
+    is a duplicate (anti-join); inside one batch exactly one executable row per key executes, the first
+    by ``order_col`` (nulls last, ties by content), and all other rows of the key are duplicates. Rows
+    with a null id or policy are kept.
     """
     known = txns.withColumn("_known", F.lit(True))
     d = decisions.join(known, "transaction_id", "left")
     d = mark_done(d, prior_outcomes)
-    ok = F.coalesce(F.col("_known"), F.lit(False)) & F.col("is_valid")
-    # first executable row per (transaction, policy): a partial aggregate (skew-safe for a hot
-    # id, one row per key shuffled per task) joined back, instead of a window over the whole key.
-    # Only known, valid rows consult it, so the minimum runs over those rows' order values alone.
-    firsts = d.groupBy("transaction_id", "policy").agg(F.min(F.when(ok, F.col(order_col))).alias("_min"))
-    d = d.join(firsts, ["transaction_id", "policy"]).withColumn(
-        "_first", F.coalesce(F.col(order_col) == F.col("_min"), F.lit(False))).drop("_min")
+    # one total order per key: the order column (nulls last), then the decision's content, then a row
+    # number that only tells verbatim repeats apart. Written once: the parse and the join run once, and
+    # row numbers are the same for the minimum and for the rows.
+    content = F.xxhash64(*[F.col(c) for c in ("decision", "reasoning", "confidence", "delay_hours", "discount_pct")])
+    d = cut_lineage(d.withColumn("_row", F.monotonically_increasing_id()).withColumn("_content", content), "routed")
+    ok = F.coalesce(F.col("_known"), F.lit(False)) & F.coalesce(F.col("is_valid"), F.lit(False))
+    # first executable row per (transaction, policy): a partial aggregate (skew-safe for a hot id, one
+    # row per key shuffled per task) joined back on the row number, instead of a window over the key
+    place = F.struct(F.col(order_col).isNull().alias("late"), F.col(order_col).alias("at"), "_content", "_row")
+    firsts = (d.where(ok).groupBy("transaction_id", "policy").agg(F.min(place).alias("_min"))
+              .select(F.col("_min._row").alias("_row"), F.lit(True).alias("_first")))
+    d = d.join(firsts, "_row", "left").withColumn("_first", F.coalesce("_first", F.lit(False)))
     status = (
         F.when(~F.coalesce(F.col("_known"), F.lit(False)), "skipped_unknown_transaction")
-        .when(~F.col("is_valid"), "skipped_invalid_decision_schema")
+        .when(~F.coalesce(F.col("is_valid"), F.lit(False)), "skipped_invalid_decision_schema")
         .when(F.coalesce(F.col("_done"), F.lit(False)) | ~F.col("_first"), "skipped_duplicate")
         .otherwise("execute")
     )
-    return d.withColumn("status", status).drop("_known", "_done", "_first")
+    return d.withColumn("status", status).drop("_known", "_done", "_first", "_row", "_content")

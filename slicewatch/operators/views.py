@@ -14,10 +14,18 @@ def filter_by(df: DataFrame, **eq) -> DataFrame:
     return df
 
 
-def timeseries_page(health: DataFrame, payment_method=None, bank_gateway=None, limit: int = 20000) -> DataFrame:
-    """series by ts ascending (slice as tie-break), at most ``limit`` rows (a top-k)."""
+def timeseries_page(health: DataFrame, payment_method=None, bank_gateway=None, limit: int | None = None,
+                    after: tuple | None = None) -> DataFrame:
+    """series by ts ascending (slice as tie-break). All rows, or pages of ``limit`` rows (a top-k):
+    ``after`` = (ts, method, gateway) of the last row of the page before."""
     df = filter_by(health, payment_method=payment_method, bank_gateway=bank_gateway)
-    return df.orderBy("ts", "payment_method", "bank_gateway").limit(min(int(limit), 20000))
+    if after is not None:
+        key = F.struct("ts", "payment_method", "bank_gateway")
+        last = F.struct(F.lit(after[0]).cast("timestamp_ntz").alias("ts"), F.lit(after[1]).alias("payment_method"),
+                        F.lit(after[2]).alias("bank_gateway"))
+        df = df.where(key > last)
+    out = df.orderBy("ts", "payment_method", "bank_gateway")
+    return out if limit is None else out.limit(int(limit))
 
 
 def slice_catalog(health: DataFrame) -> DataFrame:

@@ -8,7 +8,6 @@ from the raw scan.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,19 +23,6 @@ from slicewatch.sources.payments import attempts, transactions, unique_transacti
 # context of the matched event carried onto each linked transaction
 RC_CARRY = ("root_cause_statement", "classification", "best_peer", "best_peer_rate")
 
-# Grain per scale factor of the driver's test tables: denser data allows a finer grain.
-GRAIN_BY_SF = {"0.001": 24, "0.01": 6, "0.1": 1}
-
-
-def grain_for(sf_dir: str) -> int:
-    m = re.search(r"sf([0-9.]+?)/?$", sf_dir.rstrip("/"))
-    return GRAIN_BY_SF.get(m.group(1), 1) if m else 1
-
-
-def params_for(sf_dir: str, **kw) -> Params:
-    return Params(grain_hours=grain_for(sf_dir), **kw)
-
-
 @dataclass
 class Diagnosis:
     health: DataFrame
@@ -64,6 +50,6 @@ def diagnose(health: DataFrame, txns: DataFrame, p: Params = Params(), cut: bool
 
 
 def diagnose_tables(spark: SparkSession, sf_dir: str, p: Params | None = None, cut: bool = True) -> Diagnosis:
-    p = p or params_for(sf_dir)
+    p = p or Params()
     health = health_from_tables(spark, sf_dir, p, cut=cut)
     return diagnose(health, transactions(spark, sf_dir), p, cut=cut)

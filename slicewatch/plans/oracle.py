@@ -1,7 +1,7 @@
-"""Oracle SQL (DuckDB dialect) for every registered query, at the sf0.01 settings.
+"""Oracle SQL (DuckDB dialect) for every registered query, with the registered settings.
 
-Each statement recomputes its answer from the raw views (``events`` …) with plain SQL: grain 6 h
-(the sf0.01 grain), healthy threshold 0.60. The CTE chain mirrors the stages of the library, but
+Each statement recomputes its answer from the raw views (``events`` …) with plain SQL: grain 1 h,
+healthy threshold 0.60. The CTE chain mirrors the stages of the library, but
 the range joins are written as plain range predicates / correlated subqueries, i.e. brute force.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from slicewatch.params import CUSTOMER_TIERS, FAILURE_TYPES, OUTAGE_FAILURE_TYPES
 
-G = 6          # grain hours at sf0.01
+G = 1          # grain hours
 THR = 0.60     # healthy threshold of the registered queries
 
 
@@ -437,7 +437,7 @@ SQL["audit_filter"] = _with("wide") + """SELECT CAST(batch_seq AS BIGINT) AS bat
   3 AS ordinal, policy, 'escalation' AS stage,
   json_object('reason', coalesce(block_reason, 'agent_decision'), 'failure_type', failure_type, 'amount', amount)::VARCHAR AS detail
 FROM wide WHERE status = 'execute' AND allowed_action = 'escalate' AND policy = 'agent'
-ORDER BY batch_seq DESC, seq DESC, transaction_id DESC LIMIT 200"""
+ORDER BY batch_seq DESC, seq DESC, transaction_id DESC"""
 SQL["escalation_records"] = _with("wide") + """SELECT transaction_id, policy, coalesce(block_reason, 'agent_decision') AS reason,
   failure_type, amount FROM wide WHERE status = 'execute' AND allowed_action = 'escalate'"""
 SQL["decision_feed"] = _with("tables") + """SELECT decision_id, transaction_id, policy, decision, ts, amount, action_type, allowed,
@@ -456,7 +456,7 @@ SQL["slice_catalog"] = _with("health") + """SELECT * FROM (
   SELECT DISTINCT 'payment_method' AS kind, payment_method AS name FROM health
   UNION ALL SELECT DISTINCT 'bank_gateway', bank_gateway FROM health) ORDER BY 1, 2"""
 SQL["timeseries_page"] = _with("health") + """SELECT * FROM health WHERE payment_method = 'm1'
-ORDER BY ts, payment_method, bank_gateway LIMIT 20000"""
+ORDER BY ts, payment_method, bank_gateway"""
 SQL["health_pivot"] = _with("health") + "SELECT ts, " + ", ".join(
     f"max(CASE WHEN bank_gateway = 'g{i}' THEN success_rate END) AS g{i}" for i in range(6)
 ) + " FROM health WHERE payment_method = 'm0' GROUP BY ts"
@@ -465,16 +465,11 @@ SQL["sample_per_group"] = _with("lnk") + """SELECT transaction_id, degradation_l
 WHERE rn <= CASE WHEN degradation_linked THEN 3 ELSE 2 END"""
 SQL["policy_union"] = _with("wide") + "SELECT policy, decision, count(*) AS n FROM wide GROUP BY 1, 2"
 SQL["prompt_text"] = _with("lnk") + """SELECT transaction_id,
-  concat_ws(chr(10),
-    'Transaction ID: ' || transaction_id, 'Payment method: ' || payment_method, 'Bank/gateway: ' || bank_gateway,
-    'Timestamp: ' || strftime(ts, '%Y-%m-%d %H:%M:%S'), 'Amount: Rs. ' || printf('%.2f', amount),
-    'Customer history: ' || customer_history, 'Retry count so far: ' || CAST(retry_count_so_far AS VARCHAR),
-    'Failure type: ' || failure_type,
-    'Degradation-linked: ' || CASE WHEN coalesce(degradation_linked, false) THEN 'True' ELSE 'False' END)
-  || CASE WHEN coalesce(degradation_linked, false) AND root_cause_statement IS NOT NULL
-          THEN chr(10) || 'ROOT CAUSE CONTEXT (linked to a detected degradation event):' || chr(10) || root_cause_statement
-          ELSE '' END
-  || chr(10) || chr(10) || 'Choose the best recovery action for this transaction.' AS prompt
+  'Pick one recovery step for this failed payment and answer in the decision schema.' || chr(10) ||
+  json_object('id', transaction_id, 'slice', payment_method || '/' || bank_gateway,
+    'failed_at', strftime(ts, '%Y-%m-%dT%H:%M:%S'), 'amount', printf('%.2f', amount), 'tier', customer_history,
+    'retries', retry_count_so_far, 'failure', failure_type, 'in_outage', coalesce(degradation_linked, false),
+    'outage', CASE WHEN degradation_linked THEN root_cause_statement END)::VARCHAR AS prompt
 FROM lnk"""
 SQL["unit_checks"] = _with("lnk") + f"""SELECT transaction_id,
   {r('amount / 3.0::DOUBLE', 2)} AS third_amount_2dp,
@@ -596,14 +591,14 @@ _closed = _with("dev").replace("\nhealth AS (", "\nhealth_all AS (", 1).replace(
 health AS (SELECT * FROM health_all
            WHERE ts + INTERVAL {G} HOUR <= (SELECT max(ts) FROM att) - INTERVAL {G} HOUR),
 base AS (""", 1)
-SQL["stream_events"] = _closed + """SELECT payment_method, bank_gateway, window_start, window_end, baseline_rate,
+SQL["stream_events"] = _closed + f"""SELECT payment_method, bank_gateway, window_start, window_end, baseline_rate,
   current_rate, severity, z_score, n_rows FROM dev d
-WHERE d.window_end - INTERVAL 6 HOUR < (SELECT max(h.ts) FROM health h
+WHERE d.window_end - INTERVAL {G} HOUR < (SELECT max(h.ts) FROM health h
                                         WHERE h.payment_method = d.payment_method AND h.bank_gateway = d.bank_gateway)"""
 
 
-# Second source: order lines (grain 168 h at sf0.01; weekly cells aligned to the epoch, as Spark's window)
-OL_G = 168
+# Second source: order lines (grain 24 h)
+OL_G = 24
 _OL_HEALTH = f"""
 health AS (
   SELECT time_bucket(INTERVAL '{OL_G} hours', CAST(o.o_orderdate AS TIMESTAMP), TIMESTAMP '1970-01-01') AS ts,
@@ -634,3 +629,17 @@ SQL["recovery_chart"] = _with("metrics") + """SELECT segment,
 FROM metrics GROUP BY segment"""
 SQL["batch_results"] = _with("wide") + """SELECT transaction_id, policy, coalesce(degradation_linked, false) AS degradation_linked,
   decision, status, allowed_action, success, net_recovered FROM wide"""
+
+# Round trips give back what went in
+SQL["csv_round_trip"] = _with("health") + "SELECT * FROM health"
+SQL["rebuild_store"] = SQL["csv_round_trip"]
+SQL["reload_decisions"] = SQL["rule_decisions"]
+# every decision twice and once without an id: unknown and invalid rows count twice, one row per key executes
+SQL["routing_repeats"] = "WITH s AS (" + SQL["decision_validation"] + """),
+c AS (SELECT count(*) AS total, count(*) FILTER (status = 'skipped_unknown_transaction') AS u,
+        count(*) FILTER (status = 'skipped_invalid_decision_schema') AS i, count(*) FILTER (status = 'execute') AS e,
+        count(*) FILTER (status = 'skipped_duplicate') AS d FROM s)
+SELECT 'skipped_unknown_transaction' AS status, 2 * u + total AS n FROM c
+UNION ALL SELECT 'skipped_invalid_decision_schema', 2 * i FROM c
+UNION ALL SELECT 'execute', e FROM c
+UNION ALL SELECT 'skipped_duplicate', e + 2 * d FROM c"""

@@ -6,7 +6,7 @@ outcomes, escalations, audit — as projections; persist or write it once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slicewatch.functions.timeutil import epoch_micros
@@ -61,13 +61,27 @@ def run_builtin(policy: str, linked: DataFrame, p: Params = Params(),
     decision ↔ transaction join is needed (one decision per transaction by construction)."""
     d = policy_decisions(policy, linked, p, keep_input=True)
     d = mark_done(d, prior_outcomes)
+    again = F.col("_again") if "_again" in d.columns else F.lit(False)
     status = (F.when(~F.col("is_valid"), "skipped_invalid_decision_schema")
-              .when(F.coalesce(F.col("_done"), F.lit(False)), "skipped_duplicate")
+              .when(F.coalesce(F.col("_done"), F.lit(False)) | again, "skipped_duplicate")
               .otherwise("execute"))
-    d = d.withColumn("status", status).drop("_done")
+    d = d.withColumn("status", status).drop("_done", "_again")
     return _finish(d, p, batch_seq)
 
 
+def mark_repeats(linked: DataFrame) -> DataFrame:
+    """``_again`` = a row that repeats a transaction id of the same batch (all but the first by time, then
+    content). Only rows of repeated ids are ranked; a batch of unique ids costs one thin aggregate."""
+    repeated = linked.groupBy("transaction_id").agg(F.count(F.lit(1)).alias("_n")).where(
+        F.col("transaction_id").isNotNull() & (F.col("_n") > 1)).select("transaction_id")
+    if not repeated.limit(1).count():
+        return linked
+    order = Window.partitionBy("transaction_id").orderBy("ts", F.xxhash64(*[c for c in linked.columns]))
+    ranked = linked.join(repeated, "transaction_id", "left_semi").withColumn("_again", F.row_number().over(order) > 1)
+    alone = linked.join(repeated, "transaction_id", "left_anti").withColumn("_again", F.lit(False))
+    return alone.unionByName(ranked)
+
+
 def _finish(routed: DataFrame, p: Params, batch_seq: int) -> DataFrame:
     out = with_outcome(enforce(routed, p), p)
     execd = F.col("status") == "execute"
@@ -86,6 +100,7 @@ def run_policy(decisions: DataFrame, linked: DataFrame, p: Params = Params(),
 def run_all(linked: DataFrame, p: Params = Params(), policies=("baseline", "agent"),
             prior_outcomes: DataFrame | None = None) -> DataFrame:
     """Both policies' wide frames in one table (baseline batch first, as in a demo run)."""
+    linked = mark_repeats(linked)
     frames = [run_builtin(pol, linked, p, prior_outcomes, batch_seq=i) for i, pol in enumerate(policies)]
     out = frames[0]
     for f in frames[1:]:

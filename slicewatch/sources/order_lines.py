@@ -14,8 +14,6 @@ is broadcast only behind a bounded row count, otherwise it is a shuffle join on
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,15 +22,8 @@ from slicewatch.operators.linkage import maybe_broadcast
 from slicewatch.params import Params
 from slicewatch.sources.payments import read_table
 
-# Cell grain per scale factor of the driver's tables (denser data needs finer cells to leave any
-# noise to detect): ~7 lines per slice and cell at every scale.
-ORDER_LINE_GRAIN_HOURS = 168
-ORDER_LINE_GRAIN_BY_SF = {"0.001": 720, "0.01": 168, "0.1": 24}
-
-
-def order_line_grain(sf_dir: str) -> int:
-    m = re.search(r"sf([0-9.]+?)/?$", sf_dir.rstrip("/"))
-    return ORDER_LINE_GRAIN_BY_SF.get(m.group(1), 24) if m else 24
+# Cell grain of the order-line source, the same at every size.
+ORDER_LINE_GRAIN_HOURS = 24
 
 
 def per_order(lineitem: DataFrame) -> DataFrame:

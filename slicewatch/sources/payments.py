@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from slicewatch.params import CUSTOMER_TIERS, FAILURE_TYPES, OUTAGE_FAILURE_TYPES
 from slicewatch.sources import schemas
@@ -71,33 +72,61 @@ def transactions_from_attempts(att: DataFrame) -> DataFrame:
 
 def unique_transactions(txns: DataFrame) -> DataFrame:
     """``transaction_id`` is a primary key. A repeated id keeps one row, the smallest by
-    (ts, then the remaining columns), so the choice does not depend on file or partition order.
-    ``min`` of a struct is a partial aggregate: a hot id ships one row per task, not all its copies."""
+    (ts, then the remaining columns), so the choice does not depend on file or partition order. The ids
+    are counted first (a thin hash aggregate); only rows of repeated ids are rewritten, so a table with
+    unique ids is not shuffled at full width. What is refused: ``refused_transactions``."""
     rest = ["ts"] + [c for c in txns.columns if c not in ("transaction_id", "ts")]
-    return (txns.groupBy("transaction_id").agg(F.min(F.struct(*rest)).alias("_r"))
-            .select("transaction_id", *[F.col("_r")[c].alias(c) for c in rest]).select(*txns.columns))
+    repeated = duplicate_transaction_ids(txns).select("transaction_id")
+    first = (txns.join(repeated, "transaction_id", "left_semi").groupBy("transaction_id").agg(F.min(F.struct(*rest)).alias("_r"))
+             .select("transaction_id", *[F.col("_r")[c].alias(c) for c in rest]).select(*txns.columns))
+    keyed = txns.where(F.col("transaction_id").isNotNull())
+    return keyed.join(repeated, "transaction_id", "left_anti").select(*txns.columns).unionByName(first)
+
+
+def refused_transactions(txns: DataFrame) -> DataFrame:
+    """B13 quarantine: what ``unique_transactions`` leaves out, as ``transaction_id, reason, n`` (rows refused)."""
+    again = duplicate_transaction_ids(txns).select("transaction_id", F.lit("repeated id").alias("reason"),
+                                                   (F.col("n") - 1).alias("n"))
+    none = txns.where(F.col("transaction_id").isNull()).groupBy("transaction_id").agg(F.count(F.lit(1)).alias("n"))
+    return again.unionByName(none.select("transaction_id", F.lit("no id").alias("reason"), "n"))
 
 
 def duplicate_transaction_ids(txns: DataFrame) -> DataFrame:
     """B13 check: ids that occur more than once, with their count."""
-    return txns.groupBy("transaction_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    keyed = txns.where(F.col("transaction_id").isNotNull())
+    return keyed.groupBy("transaction_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transactions_from_attempts(attempts(spark, sf_dir))
 
 
+#: Other header names of a column, and columns that a file may lack (read as null).
+ALIASES = {"ts": ("ts", "timestamp")}
+OPTIONAL = ("degradation_linked", "ground_truth_recoverable")
+
+
+def _read_by_name(spark: SparkSession, path: str, fmt: str, schema: T.StructType) -> DataFrame:
+    """Columns found by header name, whatever their order, and typed leniently (B9): text that does not
+    parse and NaN become null. A missing column is an error."""
+    raw = spark.read.option("header", True).csv(path) if fmt == "csv" else spark.read.format(fmt).load(path)
+    out = []
+    for f in schema.fields:
+        name = next((n for n in ALIASES.get(f.name, (f.name,)) if n in raw.columns), None)
+        if name is None and f.name not in OPTIONAL:
+            raise ValueError(f"{path}: no column {f.name} in {raw.columns}")
+        value = F.lit(None) if name is None else F.col(f"`{name}`")
+        typed = value.try_cast(f.dataType)
+        out.append((F.when(~F.isnan(typed), typed) if isinstance(f.dataType, T.DoubleType) else typed).alias(f.name))
+    return raw.select(*out)
+
+
 def read_health(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Pre-aggregated health series (CSV with header, or parquet), typed by an explicit schema."""
-    if fmt == "csv":
-        raw = spark.read.option("header", True).schema(schemas.HEALTH).csv(path)
-    else:
-        raw = spark.read.schema(schemas.HEALTH).format(fmt).load(path)
+    """A1: pre-aggregated health series (CSV with header, or parquet)."""
+    raw = _read_by_name(spark, path, fmt, schemas.HEALTH)
     return raw.where(F.col("payment_method").isNotNull() & F.col("bank_gateway").isNotNull())
 
 
 def read_transactions(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    reader = spark.read.schema(schemas.TRANSACTIONS)
-    if fmt == "csv":
-        reader = reader.option("header", True)
-    return reader.format(fmt).load(path)
+    """A2: transactions (CSV with header, or parquet)."""
+    return _read_by_name(spark, path, fmt, schemas.TRANSACTIONS)

@@ -22,6 +22,7 @@ TRANSACTIONS = T.StructType([
     T.StructField("retry_count_so_far", T.IntegerType()),
     T.StructField("failure_type", T.StringType()),
     T.StructField("degradation_linked", T.BooleanType()),
+    T.StructField("ground_truth_recoverable", T.BooleanType()),
     T.StructField("ground_truth_recovery_probability", T.DoubleType()),
     T.StructField("ground_truth_recovery_probability_after_recovery", T.DoubleType()),
 ])

@@ -1,21 +1,21 @@
 """Run tables on storage (parquet), written as projections of one wide frame.
 
 Layout under ``root``: ``health``, ``degradation_events``, ``transactions`` (replaced per
-diagnosis, partitions overwritten dynamically), and ``decisions``, ``actions_taken``, ``outcomes``,
+diagnosis, whole tables: no day of an older diagnosis stays), and ``decisions``, ``actions_taken``, ``outcomes``,
 ``audit_log`` (append-only, partitioned by ``policy`` and ``run_id``). History is never rewritten;
 a rerun is made idempotent by the anti-join against the outcomes already stored.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slicewatch.operators import audit as audit_ops
 from slicewatch.operators import views
+from slicewatch.operators.linkage import link
 from slicewatch.params import Params
+from slicewatch.plans.diagnose import RC_CARRY
 from slicewatch.plans.run import run_all
 from slicewatch.session import cut_lineage
 
@@ -36,9 +36,8 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def write_diagnosis(health: DataFrame, events: DataFrame, linked: DataFrame, root: str) -> None:
     """A5-A7 + A9: replace the diagnosis tables (health partitioned by day)."""
     (health.withColumn("date", F.to_date("ts")).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(_path(root, "health")))
-    ev = events.drop("other_gateway_rates", "other_method_rates")
-    ev.write.mode("overwrite").parquet(_path(root, "degradation_events"))
+     .option("partitionOverwriteMode", "static").partitionBy("date").parquet(_path(root, "health")))
+    events.write.mode("overwrite").parquet(_path(root, "degradation_events"))
     txn_cols = views.transactions_table(linked).columns
     linked.select(*txn_cols, "event_id").write.mode("overwrite").parquet(_path(root, "transactions"))
 
@@ -87,16 +86,14 @@ def run_and_store(spark: SparkSession, linked: DataFrame, root: str, run_id: str
     return write_run(wide, root, run_id, events)
 
 
-def reload_diagnosis(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """A10: finished diagnosis from storage (events, transactions) — no recomputation, no insert."""
-    return read_table(spark, root, "degradation_events"), read_table(spark, root, "transactions")
+def reload_diagnosis(spark: SparkSession, root: str, p: Params = Params()) -> tuple[DataFrame, DataFrame]:
+    """A10: finished diagnosis from storage (events, transactions). The transactions are linked to the
+    stored events again, so they carry the context the policies read (peer, window, statement)."""
+    events, txns = read_table(spark, root, "degradation_events"), read_table(spark, root, "transactions")
+    linked = link(txns.drop("event_id", "degradation_linked"), events, p, carry=RC_CARRY + ("window_end",))
+    return events, linked.withColumnRenamed("window_end", "event_window_end")
 
 
 def export_audit(spark: SparkSession, root: str, path: str) -> None:
     """The whole audit log as JSON lines, newest first."""
     audit_ops.export_audit(read_table(spark, root, "audit_log"), path)
-
-
-def local_root(base: str) -> str:
-    os.makedirs(base, exist_ok=True)
-    return base

@@ -7,7 +7,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from slicewatch.operators import audit as audit_ops
-from slicewatch.plans.diagnose import diagnose, health_from_tables, params_for
+from slicewatch.params import Params
+from slicewatch.plans.diagnose import diagnose, health_from_tables
 from slicewatch.plans.run import run_all
 from slicewatch.sources.payments import transactions
 
@@ -19,7 +20,7 @@ def _same(a, b) -> bool:
 
 
 def test_audit_rows_are_four_per_executed_plus_escalations_skips_and_events(spark):
-    p = params_for(SF, healthy_threshold=0.6)
+    p = Params(healthy_threshold=0.6)
     d = diagnose(health_from_tables(spark, SF, p, cut=False), transactions(spark, SF), p, cut=False)
     w = run_all(d.linked, p).cache()
     counts = w.agg(F.count_if(F.col("status") == "execute").alias("ex"),
@@ -33,7 +34,7 @@ def test_audit_rows_are_four_per_executed_plus_escalations_skips_and_events(spar
 
 
 def test_event_windows_of_a_slice_are_disjoint(spark):
-    p = params_for(SF)
+    p = Params()
     d = diagnose(health_from_tables(spark, SF, p, cut=False), transactions(spark, SF), p, cut=False)
     w = Window.partitionBy("payment_method", "bank_gateway").orderBy("window_start")
     overlaps = d.events.withColumn("prev_end", F.lag("window_end").over(w)).where(
@@ -42,7 +43,7 @@ def test_event_windows_of_a_slice_are_disjoint(spark):
 
 
 def test_diagnosis_and_runs_do_not_depend_on_partitioning(spark):
-    p = params_for(SF, healthy_threshold=0.6)
+    p = Params(healthy_threshold=0.6)
     h = health_from_tables(spark, SF, p, cut=False)
     t = transactions(spark, SF)
     a = diagnose(h.repartition(1), t.repartition(1), p, cut=False)

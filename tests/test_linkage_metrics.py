@@ -31,9 +31,9 @@ def test_interval_join_boundaries_and_overlap(spark, txn_df):
 
 
 def test_linkage_equals_brute_force_on_table_data(spark):
-    from slicewatch.plans.diagnose import diagnose_tables, params_for
+    from slicewatch.plans.diagnose import diagnose_tables
     sf = "/root/testdata/sf0.001"
-    d = diagnose_tables(spark, sf, params_for(sf))
+    d = diagnose_tables(spark, sf, Params())
     got = {r.transaction_id: r.event_id for r in d.linked.select("transaction_id", "event_id").collect()}
     ev = d.events.select("event_id", "payment_method", "bank_gateway", "window_start", "window_end").collect()
     for r in d.linked.select("transaction_id", "payment_method", "bank_gateway", "ts").collect():
