@@ -132,7 +132,8 @@ def scored_policy(linked: DataFrame, scorer: ScorerFn, policy: str = "agent") ->
     """External scorer slot.
 
     ``scorer`` maps a pandas batch with columns ``transaction_id, prompt`` to a batch with
-    ``transaction_id, raw`` (decision JSON text, null on failure), in any order; answers are matched by id. It runs per Arrow batch inside
+    ``transaction_id, raw`` (decision JSON text, null on failure), in any order; answers are matched by id
+    (a batch without that column, by row). It runs per Arrow batch inside
     ``mapInPandas`` — the caller's model client lives there; nothing is collected. Hidden ground
     truth columns are projected away before scoring (I3). The id of the request row always wins
     over an echoed id (I5); failures become an ``escalate`` fallback with confidence 0 (I4) in
@@ -147,8 +148,10 @@ def scored_policy(linked: DataFrame, scorer: ScorerFn, policy: str = "agent") ->
         that fail themselves stay without an answer; of repeated answers to one id the first counts."""
         try:
             out = scorer(b.reset_index(drop=True))
+            if "transaction_id" not in out and len(out) != len(b):
+                raise ValueError("answers without ids must match the request row by row")
             found: dict = {}
-            for tid, raw in zip(out["transaction_id"], out["raw"]):
+            for tid, raw in zip(out["transaction_id"] if "transaction_id" in out else b["transaction_id"], out["raw"]):
                 found.setdefault(tid, raw)
             return found
         except Exception:  # whatever the caller's scorer raises: those rows fall back (I4)

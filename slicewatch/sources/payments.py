@@ -101,7 +101,7 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transactions_from_attempts(attempts(spark, sf_dir))
 
 
-#: Other header names of a column, and columns that a file may lack (read as null).
+#: Other header names of a column, and columns that a file may lack.
 ALIASES = {"ts": ("ts", "timestamp")}
 OPTIONAL = ("degradation_linked", "ground_truth_recoverable")
 
@@ -113,10 +113,11 @@ def _read_by_name(spark: SparkSession, path: str, fmt: str, schema: T.StructType
     out = []
     for f in schema.fields:
         name = next((n for n in ALIASES.get(f.name, (f.name,)) if n in raw.columns), None)
-        if name is None and f.name not in OPTIONAL:
+        if name is None:
+            if f.name in OPTIONAL:
+                continue
             raise ValueError(f"{path}: no column {f.name} in {raw.columns}")
-        value = F.lit(None) if name is None else F.col(f"`{name}`")
-        typed = value.try_cast(f.dataType)
+        typed = F.col(f"`{name}`").try_cast(f.dataType)
         out.append((F.when(~F.isnan(typed), typed) if isinstance(f.dataType, T.DoubleType) else typed).alias(f.name))
     return raw.select(*out)
 

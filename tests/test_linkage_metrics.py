@@ -40,7 +40,7 @@ def test_linkage_equals_brute_force_on_table_data(spark):
         hits = [e.event_id for e in ev if e.payment_method == r.payment_method and e.bank_gateway == r.bank_gateway
                 and e.window_start <= r.ts < e.window_end]
         assert got[r.transaction_id] == (min(hits) if hits else None)
-    assert d.events.count() == 5           # flagship size at sf0.001 / 24 h grain
+    assert d.events.count() == 3           # flagship size at sf0.001 / 1 h grain
 
 
 def test_linkage_with_many_events_without_broadcast(spark, txn_df):
