@@ -36,8 +36,8 @@ def scaled(vector: Column, scale: int = 64) -> Column:
 
 
 def _packed(rows: DataFrame, blocks: int, name: str, id_col: str) -> DataFrame:
-    """One row per block: ids and matrix as bytes. Rows are dealt by the hash of their id, so copies of
-    one vector spread over all blocks."""
+    """One row per block: ids and matrix as bytes. Rows are dealt by the hash of their id and their place in
+    the written table, so copies of one vector, and rows that repeat one id, spread over all blocks."""
     def run(key, table):
         ids = table.column("id").to_numpy()
         order = np.argsort(ids, kind="stable")
@@ -48,7 +48,8 @@ def _packed(rows: DataFrame, blocks: int, name: str, id_col: str) -> DataFrame:
             out[i, :len(x)] = x.values.to_numpy()
         return pa.table({name: pa.array([key[0].as_py()], pa.int64()), "ids": pa.array([ids[order].tobytes()], pa.binary()),
                          "matrix": pa.array([np.ascontiguousarray(out[order]).tobytes()], pa.binary()), "width": pa.array([width], pa.int32())})
-    dealt = rows.select(F.col(id_col).alias("id"), "v", F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias(name))
+    dealt = rows.select(F.col(id_col).alias("id"), "v", F.pmod(
+        F.xxhash64(F.col(id_col), F.monotonically_increasing_id()), F.lit(blocks)).alias(name))
     return dealt.groupBy(name).applyInArrow(run, f"{name} long, ids binary, matrix binary, width int")
 
 

@@ -39,7 +39,7 @@ class UrlModel:
 BLOCKED_WORDS = ("cheap-pills", "casino-win", "free-bets", "adult-x", "spam-farm", "ads-track", "viagra-online",
                  "payday-loans", "poker-bonus", "replica-watches", "lottery-winner", "xxx-cams", "click-ads", "hot-singles")
 PLAIN_WORDS = ("news", "library", "university", "weather", "recipes", "science", "travel", "history", "garden", "museum",
-               "school", "docs", "health", "music", "forum", "thether", "onthing", "restion", "thereand", "ingtion")
+               "school", "docs", "health", "music", "forum", "kitchen", "painting", "theater", "northland", "nutrition")
 PREFIXES = ("", "www.", "blog.", "m.")
 SUFFIXES = ("example.com", "example.org", "example.net", "test")
 PATHS = ("/", "/en/1234.html", "/de/page?id=7", "/fr/56789", "/es/articles/2024")

@@ -11,10 +11,11 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from slicewatch.llm import bpe, chat, licenses, maxscore, tiling
 from slicewatch.llm import words as W
-from slicewatch.llm.common import text_blocks
+from slicewatch.llm.common import cut_lineage, text_blocks
 
 DOCS = "doc_id long, text string, Text_Len int"
 
@@ -58,6 +59,13 @@ def test_top_k_of_few_and_no_rows(spark):
     assert rows_of(maxscore.top_k(df.limit(0), df)) == []
 
 
+def test_rows_of_one_id_spread_over_shards(spark):
+    rows = spark.range(0, 2000, 1, 4).select(F.lit(7).cast("long").alias("id"), F.array(F.col("id")).alias("v"))
+    blocks = maxscore._packed(cut_lineage(rows, "repeats"), 8, "shard", "id").select(F.length("ids") / 8).collect()
+    assert len(blocks) == 8 and sum(n for n, in blocks) == 2000
+    assert max(n for n, in blocks) < 500
+
+
 def test_large_components_stay_exact():
     ids, x = np.arange(40), np.array([[10**9 + i, -(10**9)] for i in range(40)])
     _, best, score = next(iter(maxscore.search_shard(ids, x, ids[:1], x[:1], maxscore.Search(k=3, warm_rows=4))))
