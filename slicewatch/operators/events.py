@@ -62,6 +62,11 @@ def runs(flagged: DataFrame, p: Params = Params()) -> DataFrame:
         F.sum(F.col("success_rate").cast(VALUE_DEC)).cast("double").alias("s_rate"),
         F.sum(F.col("z_score").cast(VALUE_DEC)).cast("double").alias("s_z"),
     )
+    return run_means(g, p)
+
+
+def run_means(g: DataFrame, p: Params = Params()) -> DataFrame:
+    """Runs of at least ``min_run_rows`` rows, with their means and the end of their window."""
     return (
         g.where(F.col("n_rows") >= F.lit(int(p.min_run_rows)))
         .withColumn("mean_base", F.col("s_base") / F.col("n_rows"))
@@ -71,6 +76,20 @@ def runs(flagged: DataFrame, p: Params = Params()) -> DataFrame:
     )
 
 
+def event_rows(r: DataFrame, p: Params = Params()) -> DataFrame:
+    """Event columns (without number) of the runs ``runs`` gives."""
+    return r.select(
+        *SLICE,
+        "window_start",
+        "window_end",
+        round_half_up("mean_base", 4).alias("baseline_rate"),
+        round_half_up("mean_rate", 4).alias("current_rate"),
+        severity_expr(F.col("mean_base") - F.col("mean_rate"), p).alias("severity"),
+        round_half_up("mean_z", 2).alias("z_score"),
+        "n_rows",
+    )
+
+
 def number_events(ev: DataFrame, order_col: str = "window_start") -> DataFrame:
     """Dense global ids in (slice, order_col) order without a single-partition window."""
     ev = ev.withColumn("_rank", F.row_number().over(Window.partitionBy(*SLICE).orderBy(order_col)))
@@ -100,17 +119,7 @@ def detect_events(health: DataFrame, p: Params = Params(), cut: bool = False) ->
         # the chunked island step reads the flags twice (rows and per-chunk break counts)
         from slicewatch.session import cut_lineage
         flagged = cut_lineage(flagged, "flagged")
-    r = runs(flagged, p)
-    ev = r.select(
-        *SLICE,
-        "window_start",
-        "window_end",
-        round_half_up("mean_base", 4).alias("baseline_rate"),
-        round_half_up("mean_rate", 4).alias("current_rate"),
-        severity_expr(F.col("mean_base") - F.col("mean_rate"), p).alias("severity"),
-        round_half_up("mean_z", 2).alias("z_score"),
-        "n_rows",
-    )
+    ev = event_rows(runs(flagged, p), p)
     if not cut:
         return number_events(ev).select(*EVENT_COLUMNS)
     from slicewatch.session import cut_lineage

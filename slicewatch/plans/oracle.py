@@ -576,25 +576,16 @@ SELECT seq, transaction_id, is_valid, invalid_reason,
   decision, confidence, delay_hours, discount_pct
 FROM routed"""
 
-# Cells whose end is at or before the final watermark (max event time − one grain)
-SQL["stream_rollup"] = _with("health") + f"""SELECT * FROM health
-WHERE ts + INTERVAL {G} HOUR <= (SELECT max(ts) FROM att) - INTERVAL {G} HOUR"""
+# Closed cells and those the end of the input closes
+SQL["stream_rollup"] = SQL["hourly_rollup"]
 # S3: same rows as the batch linkage
 SQL["stream_linkage"] = SQL["linked_transactions"]
 # Same outcomes as the batch run
 SQL["stream_decisions"] = _with("wide") + """SELECT transaction_id, policy, success, amount_recovered, discount_cost,
   action_cost, net_recovered FROM wide"""
 
-# Detection over the closed cells only; a run counts once a later row of its slice exists
-_closed = _with("dev").replace("\nhealth AS (", "\nhealth_all AS (", 1).replace(
-    "\nbase AS (", f"""
-health AS (SELECT * FROM health_all
-           WHERE ts + INTERVAL {G} HOUR <= (SELECT max(ts) FROM att) - INTERVAL {G} HOUR),
-base AS (""", 1)
-SQL["stream_events"] = _closed + f"""SELECT payment_method, bank_gateway, window_start, window_end, baseline_rate,
-  current_rate, severity, z_score, n_rows FROM dev d
-WHERE d.window_end - INTERVAL {G} HOUR < (SELECT max(h.ts) FROM health h
-                                        WHERE h.payment_method = d.payment_method AND h.bank_gateway = d.bank_gateway)"""
+# Every event of the batch detection, the runs open at the end included
+SQL["stream_events"] = _with("dev") + f"SELECT {EV_COLS.replace('event_id, ', '')} FROM dev"
 
 
 # Second source: order lines (grain 24 h)

@@ -94,9 +94,9 @@ _SHIPPED: set[str] = set()
 
 def ship_package(spark: SparkSession) -> None:
     """Make ``slicewatch`` importable in the Python workers of every executor (the ``--py-files``
-    route), once per application. Needed where Python code of the package runs in tasks (the
-    streaming detector's state function). The zip is written into the shared checkpoint folder
-    through the Hadoop file system, not a machine-local folder, and added with ``addPyFile``."""
+    route), once per application. Needed where Python code of the package runs in tasks. The zip is
+    written into the shared checkpoint folder through the Hadoop file system, not a machine-local
+    folder, and added with ``addPyFile``."""
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return

@@ -3,7 +3,8 @@
 The watermark needs a zoned TIMESTAMP, so ``ts`` (TIMESTAMP_NTZ) becomes the instant whose UTC wall
 clock it is, and cell starts are turned back the same way: results do not depend on the session
 time zone. Append mode emits a cell once the watermark passes its end;
-rows later than the watermark are dropped, so every emitted cell is final.
+rows later than the watermark are dropped, so every emitted cell is final. ``open_cells`` gives the
+cells that the end of the input would close.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slicewatch.functions.timeutil import epoch_micros, from_epoch_micros
+from slicewatch.operators.rollup import health_rollup
 from slicewatch.session import ensure_checkpoint_dir
 from slicewatch.sources.payments import attempts_from_events
 
@@ -60,6 +62,14 @@ def rollup_stream(attempts: DataFrame, grain_hours: int, delay: str | None = Non
     )
 
 
+def open_cells(attempts: DataFrame, grain_hours: int, delay: str | None = None) -> DataFrame:
+    """Cells that a stream over all of ``attempts`` still holds back: those that end after its watermark.
+    No row of such a cell was late, so the rollup of the attempts at hand is exact."""
+    mark = attempts.agg((F.max("ts") - F.expr(f"INTERVAL {delay or f'{int(grain_hours)} hours'}")).cast("string")).first()[0]
+    end = F.window("ts", f"{int(grain_hours)} hours").end
+    return health_rollup(attempts.where(end > F.lit(mark).cast("timestamp_ntz")), grain_hours)
+
+
 def run_rollup(spark: SparkSession, events_path: str, grain_hours: int, sink: str | None = None,
                delay: str | None = None, max_files_per_trigger: int | None = None) -> str:
     """Replay ``events_path`` through the streaming rollup (availableNow) into a parquet sink."""

@@ -137,26 +137,32 @@ def test_time_chunked_plan_with_strict_gaps(spark, health_df):
         assert _same(detect_events(h, p), detect_events(h, p.with_(time_chunk_hours=5)))
 
 
-class _State:
-    """Minimal stand-in for the streaming GroupState (no timeout, no state yet)."""
-    exists = False
-
-    def update(self, value):
-        self.value = value
-
-
-def test_streaming_state_function_equals_batch_on_closed_runs(spark, health_df):
-    from slicewatch.streaming.detect_state import detector
-    rows = health_rows("m", "g", hours=120, drop_start=40, drop_len=7)
-    del rows[43]                                                  # a missing cell inside the drop
-    for strict in (False, True):
-        p = Params(strict_gaps=strict)
-        batch = sorted((r.window_start, r.window_end, r.n_rows, r.baseline_rate, r.current_rate, r.z_score)
-                       for r in detect_events(health_df(rows), p).collect())
-        pdf = pd.DataFrame({"ts": [r[0] for r in rows], "success_rate": [r[3] for r in rows]})
-        out = next(detector(p)(("m", "g"), iter([pdf]), _State()))
-        stream = sorted((a.to_pydatetime(), b.to_pydatetime(), n, br, cr, z) for a, b, n, br, cr, z in
-                        zip(out["window_start"], out["window_end"], out["n_rows"], out["baseline_rate"],
-                            out["current_rate"], out["z_score"]))
-        assert stream == batch
-        assert [e[2] for e in batch] == ([3, 3] if strict else [6])   # the gap splits the run in two
+def test_streaming_detection_equals_batch_in_any_order_and_after_restarts(spark, health_df, tmp_path):
+    """Cells come in four parts, up to 30 hours late; the stream is started anew for each part."""
+    from slicewatch.streaming.detect_stream import emitted, open_events, refused, run_detect_stream
+    a = health_rows("m", "g", hours=120, drop_start=40, drop_len=7)
+    del a[43]                                                     # a missing cell inside the drop
+    b = health_rows("m", "h", hours=120, drop_start=116, drop_len=4, phase=2)   # a run open at the end
+    c = health_rows("n", "g", hours=50, drop_start=28, drop_len=12, phase=4)    # a run across several parts
+    rows = a + b + c
+    came = [(i * 7 % 30 + (r[0] - rows[0][0]).total_seconds() / 3600, r) for i, r in enumerate(rows)]
+    parts = [[r for at, r in reversed(came) if lo <= at < lo + 38] for lo in range(0, 152, 38)]
+    assert sum(map(len, parts)) == len(rows)
+    for strict, chunk in ((False, None), (True, 9)):
+        p = Params(strict_gaps=strict, time_chunk_hours=chunk)
+        source, root = str(tmp_path / f"cells-{strict}"), str(tmp_path / f"stream-{strict}")
+        for part in parts:
+            health_df(part).write.mode("append").parquet(source)
+            run_detect_stream(spark, source, root, p, delay_hours=30)
+        batch = detect_events(health_df(rows), p).drop("event_id")
+        assert refused(spark, root).count() == 0
+        closed = emitted(spark, root)
+        assert _same(closed.unionByName(open_events(spark, root, p)).select(*batch.columns), batch)
+        assert closed.where("bank_gateway = 'h'").count() == 0 and batch.where("bank_gateway = 'h'").count() == 1
+        assert sorted(r.n_rows for r in batch.where("payment_method = 'm' and bank_gateway = 'g'").collect()) == (
+            [3, 3] if strict else [6])
+        # a cell at or before the last processed one, and one without a time, change nothing
+        health_df([rows[5], (None, *rows[6][1:])]).write.mode("append").parquet(source)
+        run_detect_stream(spark, source, root, p, delay_hours=30)
+        assert refused(spark, root).count() == 2
+        assert emitted(spark, root).count() == closed.count()

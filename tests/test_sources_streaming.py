@@ -175,7 +175,7 @@ def probe(batches):
     import pandas as pd
     for b in batches:
         try:
-            import slicewatch.streaming.detect_state  # noqa: F401
+            import slicewatch.streaming.detect_stream  # noqa: F401
             ok = True
         except ImportError:
             ok = False
