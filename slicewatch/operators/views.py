@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -57,6 +57,7 @@ def decisions_table(wide: DataFrame) -> DataFrame:
         F.concat_ws(":", "policy", "transaction_id").alias("decision_id"),
         "transaction_id", "policy", "decision", "reasoning", "confidence", "delay_hours", "discount_pct",
         F.coalesce(F.col("degradation_linked"), F.lit(False)).alias("degradation_linked"), "event_id", "batch_seq", "seq",
+        F.col("ts").alias("txn_ts"),          # transaction time: the feed is ordered without a join
     )
 
 
@@ -67,13 +68,19 @@ def actions_table(wide: DataFrame) -> DataFrame:
                     F.col("allowed_action").alias("action_type"), "allowed", "block_reason")
 
 
+def transaction_day(ts: str) -> Column:
+    """Day of a transaction; those without a time share the first day of the calendar, so that the day is
+    always an equi-key."""
+    return F.coalesce(F.to_date(ts), F.lit("0001-01-01").cast("date"))
+
+
 def outcomes_table(wide: DataFrame) -> DataFrame:
     x = wide.where(F.col("status") == "execute")
     key = F.concat_ws(":", "policy", "transaction_id")
     return x.select(key.alias("outcome_id"), key.alias("action_id"), "transaction_id", "policy", "success",
                     "amount_recovered", "discount_cost", "action_cost", "net_recovered",
                     "recovered_paise", "discount_paise", "cost_paise", "net_paise",
-                    F.to_date("ts").alias("date"))          # transaction date: partition column when stored
+                    transaction_day("ts").alias("date"))    # partition column when stored
 
 
 def transactions_table(linked: DataFrame) -> DataFrame:
@@ -102,8 +109,8 @@ def decision_feed(decisions: DataFrame, txns: DataFrame, actions: DataFrame, out
     paging: rows strictly after that key, ``page`` ignored. Each task then keeps ``page_size`` rows
     however deep the page, where OFFSET keeps offset + size.
 
-    The page is chosen first, on keys only: decisions ⨝ transactions narrowed to (decision id,
-    transaction id, policy, ts), then a top-(offset + size) with the offset dropped, written once.
+    The page is chosen first, on the decisions alone (they carry the transaction time): a
+    top-(offset + size) of (decision id, transaction id, policy, time) with the offset dropped, written once.
     Only the page's rows are then fetched from the four tables, with the page (at most
     ``page_size`` rows) broadcast into each scan, so no full-width table is shuffled. Exact because
     every decision has at most one action and every action at most one outcome (their ids are the
@@ -111,7 +118,7 @@ def decision_feed(decisions: DataFrame, txns: DataFrame, actions: DataFrame, out
     """
     order = [F.col("ts").desc(), F.col("transaction_id").desc(), F.col("policy").desc()]
     d = filter_by(decisions, policy=policy, degradation_linked=degradation_linked)
-    keys = d.select("decision_id", "transaction_id", "policy").join(txns.select("transaction_id", "ts"), "transaction_id")
+    keys = d.select("decision_id", "transaction_id", "policy", F.col("txn_ts").alias("ts"))
     if after is not None:
         a_ts, a_id, a_pol = (F.lit(v) for v in after)
         ts, tid, pol = F.col("ts"), F.col("transaction_id"), F.col("policy")

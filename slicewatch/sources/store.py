@@ -76,12 +76,23 @@ def write_run(wide: DataFrame, root: str, run_id: str, events: DataFrame | None
     return {"wide": w, **out}
 
 
+def prior_outcomes(spark: SparkSession, root: str, run_id: str, batch: DataFrame) -> DataFrame | None:
+    """Stored outcomes of other runs on the days that ``batch`` touches. The bounds are one small aggregate
+    and reach the scan as literals, so only those day partitions are listed and read."""
+    prior = read_table(spark, root, "outcomes")
+    if prior is None:
+        return None
+    lo, hi, timeless = batch.agg(F.min(F.to_date("ts")), F.max(F.to_date("ts")), F.max(F.col("ts").isNull())).first()
+    days = F.lit(False) if lo is None else F.col("date").between(F.lit(lo), F.lit(hi))
+    if timeless:
+        days |= F.col("date") == F.lit("0001-01-01").cast("date")
+    return prior.where(days & (F.col("run_id") != run_id))
+
+
 def run_and_store(spark: SparkSession, linked: DataFrame, root: str, run_id: str, p: Params = Params(),
                   policies=("baseline", "agent"), events: DataFrame | None = None) -> dict[str, DataFrame]:
     """Run the policies, skipping (transaction, policy) pairs that already have a stored outcome."""
-    prior = read_table(spark, root, "outcomes")
-    if prior is not None:
-        prior = prior.where(F.col("run_id") != run_id)
+    prior = prior_outcomes(spark, root, run_id, linked)
     wide = run_all(linked, p, policies, prior_outcomes=prior)
     return write_run(wide, root, run_id, events)
 

@@ -52,9 +52,7 @@ def run_decision_stream(spark: SparkSession, events_path: str, events_table: str
     def on_batch(df: DataFrame, batch_id: int) -> None:
         run_id = f"b{batch_id:08d}"
         events = spark.read.parquet(events_table)
-        prior = store.read_table(spark, root, "outcomes")
-        if prior is not None:
-            prior = prior.where(F.col("run_id") != run_id)   # a replay must not see its own first attempt
+        prior = store.prior_outcomes(spark, root, run_id, df)   # a replay must not see its own first attempt
         wide = run_all(_linked(df, events, p), p, policies, prior_outcomes=prior)
         store.write_run(wide, root, run_id)
 

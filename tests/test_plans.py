@@ -120,3 +120,12 @@ def test_rerun_prunes_stored_outcomes_to_the_batch_days(spark, txn_df, tmp_path)
     again = run_all(day, P, prior_outcomes=prior)
     assert "dynamicpruningexpression" in _plan(again).lower()
     assert {r.status for r in again.collect()} == {"skipped_duplicate"}
+    # an unfiltered batch brings its day bounds as literals; transactions without a time have a day too
+    timeless = txn_df([("t0", *rows[0][1:3], None, *rows[0][4:])]).withColumn("event_id", F.lit(None).cast("bigint"))
+    store.run_and_store(spark, timeless, root, "r2", P)
+    batch = store.cut_lineage(day.unionByName(timeless), "batch")
+    bounded = store.prior_outcomes(spark, root, "r3", batch)
+    filters = [x for x in _plan(bounded).splitlines() if "PartitionFilters" in x]
+    assert filters and all("2026-01-02" in x for x in filters)
+    assert {r.date.isoformat() for r in bounded.select("date").distinct().collect()} == {"2026-01-02", "0001-01-01"}
+    assert {r.status for r in run_all(batch, P, prior_outcomes=bounded).collect()} == {"skipped_duplicate"}
