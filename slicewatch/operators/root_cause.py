@@ -97,8 +97,9 @@ def _targets(events: DataFrame, health: DataFrame) -> DataFrame:
     return same_method.unionByName(same_gateway).withColumn("_all", F.lit(False)).unionByName(every.withColumn("_all", F.lit(True)))
 
 
-def window_totals(events: DataFrame, health: DataFrame, p: Params = Params()) -> DataFrame:
-    """Rows, known rates and their sum of each (event, target) inside the event window."""
+def window_totals(events: DataFrame, health: DataFrame, p: Params = Params(), cut: bool = False) -> DataFrame:
+    """Rows, known rates and their sum of each (event, target) inside the event window. ``cut=True``
+    writes the lines of rows and points once, as the running totals and the offsets both read them."""
     series_key = ("_all", *SLICE)
     chunk = F.floor(epoch_seconds("ts") / F.lit(int(p.time_chunk_hours or DEFAULT_CHUNK_HOURS) * 3600)).cast("bigint")
     ends = F.array(F.struct(F.col("window_start").alias("ts"), F.lit(-1).alias("sign")),
@@ -107,6 +108,9 @@ def window_totals(events: DataFrame, health: DataFrame, p: Params = Params()) ->
         *series_key, F.col("_end.ts").alias("ts"), F.col("_end.sign").alias("sign"), "event_id", "e_method", "e_gateway")
     zeros = {c: F.lit(0).cast(t) for c, t in _TOTALS.items()}
     line = points.withColumns(zeros).unionByName(_series(health), allowMissingColumns=True).withColumn("_chunk", chunk)
+    if cut:
+        from slicewatch.session import cut_lineage
+        line = cut_lineage(line, "lines")
     before = Window.partitionBy("_chunk", *series_key).orderBy(
         "ts", F.col("sign").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)   # a point comes before the row of its time
     passed = line.select("*", *[F.sum(c).over(before).cast(t).alias("_" + c) for c, t in _TOTALS.items()]).where(F.col("sign").isNotNull())
@@ -136,9 +140,9 @@ def peer_rates(events: DataFrame, health: DataFrame, p: Params = Params()) -> Da
             .drop("_all", "is_own"))
 
 
-def root_cause(events: DataFrame, health: DataFrame, p: Params = Params()) -> DataFrame:
+def root_cause(events: DataFrame, health: DataFrame, p: Params = Params(), cut: bool = False) -> DataFrame:
     """Per event: peer stability, global rate, classification, best peer, statement, rate maps."""
-    pr = _rated(window_totals(events, health, p))
+    pr = _rated(window_totals(events, health, p, cut))
     thr = F.lit(p.healthy_threshold)
     healthy = F.coalesce(F.col("rate") >= thr, F.lit(False))     # a null mean counts as unhealthy
     pg, pm = F.col("is_peer_gateway"), F.col("is_peer_method")

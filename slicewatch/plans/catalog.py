@@ -138,6 +138,13 @@ def q_root_cause_statement(spark, sf_dir):
     return diagnosis(spark, sf_dir).events.select("event_id", "classification", "root_cause_statement")
 
 
+def q_peer_maps(spark, sf_dir):
+    """The rate maps of each event, one row per entry."""
+    ev = diagnosis(spark, sf_dir).events
+    return ev.select("event_id", F.lit("gateway").alias("kind"), F.explode("other_gateway_rates").alias("peer", "rate")).unionByName(
+        ev.select("event_id", F.lit("method").alias("kind"), F.explode("other_method_rates").alias("peer", "rate")))
+
+
 def q_best_peer(spark, sf_dir):
     return diagnosis(spark, sf_dir).events.select("event_id", "best_peer", "best_peer_rate")
 
@@ -178,6 +185,35 @@ def q_decision_validation(spark, sf_dir):
                     "delay_hours", "discount_pct")
 
 
+def untidy_scorer(batch):
+    """Stands for an outside scorer that answers badly, by the id's remainder: in reverse order, twice (1),
+    not at all (2), with a number no integer holds (4), and failing for the whole batch (id divisible by 97)."""
+    import json
+
+    import pandas as pd
+    ids = [int(t) for t in batch["transaction_id"]]
+    if any(i % 97 == 0 for i in ids):
+        raise RuntimeError("the scorer fails")
+    said = []
+    for i in reversed(ids):
+        answer = {"transaction_id": "echo", "decision": "retry_delayed", "reasoning": f"answer to {i}", "confidence": 0.5, "delay_hours": i % 7}
+        if i % 5 == 4:
+            answer["delay_hours"] = 1e12
+        if i % 5 != 2:
+            said.append((str(i), json.dumps(answer)))
+        if i % 5 == 1:
+            said.append((str(i), json.dumps({**answer, "decision": "escalate"})))
+    return pd.DataFrame(said, columns=["transaction_id", "raw"])
+
+
+def q_scored_decisions(spark, sf_dir):
+    """Every transaction through the scorer slot; only rows without a usable answer fall back."""
+    from slicewatch.operators.policies import scored_policy
+    d = diagnosis(spark, sf_dir)
+    w = run_policy(parse_decisions(scored_policy(d.linked, untidy_scorer)), d.linked, query_params(sf_dir))
+    return w.select("transaction_id", "is_valid", "status", "decision", "reasoning", "confidence", "delay_hours")
+
+
 def q_stopping_rules(spark, sf_dir):
     p = query_params(sf_dir)
     d = policy_decisions("agent", diagnosis(spark, sf_dir).linked, p, keep_input=True)
@@ -236,6 +272,16 @@ def q_audit_filter(spark, sf_dir):
     return audit_ops.audit_view(_audit(spark, sf_dir), stage="escalation", policy="agent")
 
 
+def q_audit_export(spark, sf_dir):
+    """The whole audit log as JSON lines, read back, with the escalations' details decoded."""
+    from slicewatch.streaming.rollup_stream import scratch
+    path, log = scratch(spark, "audit-export"), _audit(spark, sf_dir)
+    audit_ops.export_audit(log, path)
+    back = audit_ops.parse_detail(audit_ops.audit_view(spark.read.schema(log.schema).json(path), stage="escalation"))
+    return back.select("transaction_id", "policy", *[F.try_variant_get("detail_json", f"$.{c}", t).alias(c) for c, t in (
+        ("reason", "string"), ("failure_type", "string"), ("amount", "double"))])
+
+
 def q_escalation_records(spark, sf_dir):
     return audit_ops.escalations(wide(spark, sf_dir))
 
@@ -362,7 +408,7 @@ def order_line_diagnosis(spark: SparkSession, sf_dir: str) -> Diagnosis:
         p = Params(grain_hours=ORDER_LINE_GRAIN_HOURS, healthy_threshold=QUERY_HEALTHY_THRESHOLD,
                    time_chunk_hours=QUERY_CHUNK_HOURS * 24)
         h = cut_lineage(order_line_health_tables(spark, sf_dir, p.grain_hours, p), "order-line-health")
-        ev = cut_lineage(root_cause(detect_events(h, p, cut=True), h, p), "order-line-events")
+        ev = cut_lineage(root_cause(detect_events(h, p, cut=True), h, p, cut=True), "order-line-events")
         _CACHE[k] = Diagnosis(h, ev, None)
     return _CACHE[k]
 

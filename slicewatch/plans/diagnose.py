@@ -37,7 +37,7 @@ def health_from_tables(spark: SparkSession, sf_dir: str, p: Params, cut: bool =
 
 def diagnose(health: DataFrame, txns: DataFrame, p: Params = Params(), cut: bool = True) -> Diagnosis:
     events = detect_events(health, p, cut=cut)
-    rc = root_cause(events, health, p)
+    rc = root_cause(events, health, p, cut=cut)
     if cut:
         rc = cut_lineage(rc, "events")
     if p.unique_transactions:

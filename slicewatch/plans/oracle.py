@@ -395,6 +395,8 @@ SQL["peer_method_rates"] = _with("peers") + "SELECT event_id, payment_method AS
 SQL["root_cause_class"] = _with("rc") + """SELECT event_id, classification, is_isolated, other_gateways_stable,
   other_methods_stable, global_other_slices_avg_rate, n_peer_gateways, n_peer_methods FROM rc"""
 SQL["root_cause_statement"] = _with("rc") + "SELECT event_id, classification, root_cause_statement FROM rc"
+SQL["peer_maps"] = _with("peers") + """SELECT event_id, 'gateway' AS kind, bank_gateway AS peer, rate FROM peers WHERE is_peer_gateway
+UNION ALL SELECT event_id, 'method', payment_method, rate FROM peers WHERE is_peer_method"""
 SQL["best_peer"] = _with("rc") + "SELECT event_id, best_peer, best_peer_rate FROM rc"
 SQL["linked_transactions"] = _with("lnk") + """SELECT transaction_id, payment_method, bank_gateway, ts, event_id,
   degradation_linked, ground_truth_recovery_probability_after_recovery FROM lnk"""
@@ -440,6 +442,14 @@ FROM wide WHERE status = 'execute' AND allowed_action = 'escalate' AND policy =
 ORDER BY batch_seq DESC, seq DESC, transaction_id DESC"""
 SQL["escalation_records"] = _with("wide") + """SELECT transaction_id, policy, coalesce(block_reason, 'agent_decision') AS reason,
   failure_type, amount FROM wide WHERE status = 'execute' AND allowed_action = 'escalate'"""
+SQL["audit_export"] = SQL["escalation_records"]
+SQL["scored_decisions"] = _with("lnk") + """SELECT transaction_id, i % 97 = 0 OR i % 5 <> 4 AS is_valid,
+  CASE WHEN i % 97 = 0 OR i % 5 <> 4 THEN 'execute' ELSE 'skipped_invalid_decision_schema' END AS status,
+  CASE WHEN i % 97 = 0 OR i % 5 = 2 THEN 'escalate' ELSE 'retry_delayed' END AS decision,
+  CASE WHEN i % 97 = 0 OR i % 5 = 2 THEN 'scoring failed; handed to a person' ELSE 'answer to ' || i END AS reasoning,
+  CASE WHEN i % 97 = 0 OR i % 5 = 2 THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS confidence,
+  CASE WHEN i % 97 <> 0 AND i % 5 NOT IN (2, 4) THEN CAST(i % 7 AS INTEGER) END AS delay_hours
+FROM (SELECT transaction_id, CAST(transaction_id AS BIGINT) AS i FROM lnk)"""
 SQL["decision_feed"] = _with("tables") + """SELECT decision_id, transaction_id, policy, decision, ts, amount, action_type, allowed,
   block_reason, success, net_recovered, NOT coalesce(allowed, true) AND block_reason IS NOT NULL AS overridden
 FROM d_tab d JOIN lnk t USING (transaction_id) LEFT JOIN a_tab a USING (decision_id, transaction_id, policy)
