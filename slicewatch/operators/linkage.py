@@ -7,10 +7,11 @@ Plan: the event side is cut into (slice, time bucket) pieces and, per piece, the
 are kept as a short sorted array (events of one slice are disjoint, so a piece holds a handful at
 most). Transactions equi-join the pieces on (slice, bucket) — exactly one piece per transaction —
 and the first array element whose window contains ``ts`` is picked by a higher-order function. No
-transaction is duplicated and no shuffle on transaction id is needed to de-duplicate. The piece
-table is broadcast only when a bounded measurement shows it below ``broadcast_max_rows`` rows and
-``broadcast_max_bytes`` bytes; otherwise both sides shuffle on (slice, bucket) and AQE splits
-skewed buckets.
+transaction is duplicated and no shuffle on transaction id is needed to de-duplicate. Pieces hold ids
+and windows only; the context of the matched event is attached by event id afterwards. The piece and
+context tables are broadcast only when measured below ``broadcast_max_rows`` rows and
+``broadcast_max_bytes`` bytes; otherwise both sides shuffle on (slice, bucket), or on the event id with
+the unmatched rows spread over keys of their own, and AQE splits skewed keys.
 """
 
 from __future__ import annotations
@@ -23,21 +24,23 @@ from slicewatch.operators.baseline import SLICE
 from slicewatch.params import Params
 
 
-def event_pieces(events: DataFrame, bucket_seconds: int, carry: tuple[str, ...] = ()) -> DataFrame:
+UNMATCHED_KEYS = 4096     # keys that rows without an event spread over
+
+
+def event_pieces(events: DataFrame, bucket_seconds: int) -> DataFrame:
     ex = events.select(
         *SLICE,
         F.explode(buckets_covering("window_start", "window_end", bucket_seconds)).alias("bucket"),
-        F.struct("event_id", "window_start", "window_end",
-                 *[c for c in carry if c not in ("event_id", "window_start", "window_end")]).alias("ev"),
+        F.struct("event_id", "window_start", "window_end").alias("ev"),
     )
     return ex.groupBy(*SLICE, "bucket").agg(F.array_sort(F.collect_list("ev")).alias("candidates"))
 
 
 def maybe_broadcast(small: DataFrame, max_rows: int, max_bytes: int = 64 << 20) -> DataFrame:
-    """Broadcast ``small`` only if it provably has at most ``max_rows`` rows and about ``max_bytes``
-    bytes. One bounded job reads at most ``max_rows + 1`` rows and measures them (JSON-encoded
-    length, a close upper estimate of the row size); only the one-row summary reaches the driver."""
-    st = small.limit(max_rows + 1).agg(
+    """Broadcast ``small`` only if it has at most ``max_rows`` rows and about ``max_bytes`` bytes. One
+    aggregate, partial per task, measures it (JSON-encoded length, a close upper estimate of the row
+    size); only the one-row summary reaches the driver."""
+    st = small.agg(
         F.count(F.lit(1)).alias("n"),
         F.coalesce(F.sum(F.length(F.to_json(F.struct(*small.columns)))), F.lit(0)).alias("bytes"),
     ).first()
@@ -48,20 +51,24 @@ def link(txns: DataFrame, events: DataFrame, p: Params = Params(), carry: tuple[
          broadcast_check: bool = True) -> DataFrame:
     """Every transaction, plus ``event_id`` (null when unmatched), ``degradation_linked`` and the
     ``carry`` columns of the matched event (e.g. the root-cause statement, C12)."""
-    pieces = event_pieces(events, p.bucket_seconds, carry)
-    if broadcast_check:
-        pieces = maybe_broadcast(pieces, p.broadcast_max_rows, p.broadcast_max_bytes)
+    def bounded(df: DataFrame) -> DataFrame:
+        return maybe_broadcast(df, p.broadcast_max_rows, p.broadcast_max_bytes) if broadcast_check else df
+
+    pieces = bounded(event_pieces(events, p.bucket_seconds))
     t = txns.withColumn("bucket", bucket_of("ts", p.bucket_seconds))
     joined = t.join(pieces, [*SLICE, "bucket"], "left")
     hit = F.get(F.filter("candidates", lambda e: (F.col("ts") >= e["window_start"]) & (F.col("ts") < e["window_end"])), 0)
     out = joined.withColumn("_hit", hit)
-    extra = [out["_hit"][c].alias(c) for c in carry]
-    return out.select(
+    out = out.select(
         *[F.col(c) for c in txns.columns if c not in ("event_id", "degradation_linked", *carry)],
         out["_hit"]["event_id"].alias("event_id"),
         out["_hit"]["event_id"].isNotNull().alias("degradation_linked"),
-        *extra,
     )
+    if not carry:
+        return out
+    context = bounded(events.select(F.col("event_id").alias("_event"), *carry))
+    apart = -1 - F.pmod(F.xxhash64("transaction_id"), F.lit(UNMATCHED_KEYS))      # event ids are positive
+    return out.withColumn("_event", F.coalesce("event_id", apart)).join(context, "_event", "left").drop("_event")
 
 
 def link_single(txns: DataFrame, event: DataFrame, p: Params = Params()) -> DataFrame:

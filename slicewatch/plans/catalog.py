@@ -52,7 +52,18 @@ def query_params(sf_dir: str) -> Params:
 
 
 def _key(spark: SparkSession, sf_dir: str, what: str):
-    return (spark.sparkContext.applicationId, sf_dir.rstrip("/"), what)
+    """Cached results hold for one application and one state of the table folder (names, sizes and
+    change times of its entries): changed tables are diagnosed anew."""
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    state = tuple(sorted((e.getPath().getName(), e.getLen(), e.getModificationTime()) for e in fs.listStatus(hpath)))
+    return (spark.sparkContext.applicationId, sf_dir.rstrip("/"), state, what)
+
+
+def forget(spark: SparkSession) -> None:
+    """Drop the shared results of this application, so that the next query starts from its tables."""
+    for k in [k for k in _CACHE if k[0] == spark.sparkContext.applicationId]:
+        del _CACHE[k]
 
 
 def diagnosis(spark: SparkSession, sf_dir: str) -> Diagnosis:

@@ -80,9 +80,7 @@ def release_tables(spark: SparkSession) -> bool:
     """Delete every lineage-cut table this application wrote. DataFrames read from them must not
     be used afterwards (cached query results in ``plans.catalog`` are dropped too)."""
     from slicewatch.plans import catalog
-    app = spark.sparkContext.applicationId
-    for k in [k for k in catalog._CACHE if k[0] == app]:
-        del catalog._CACHE[k]
+    catalog.forget(spark)
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(_tables_dir(spark))
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

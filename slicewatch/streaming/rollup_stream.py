@@ -9,7 +9,6 @@ cells that the end of the input would close.
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,10 +24,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
 
 
-def as_stream_path(path: str) -> str:
+def as_stream_path(spark: SparkSession, path: str) -> str:
     """The file source lists a directory or a glob; a single file becomes a one-file glob."""
     head, _, name = path.rstrip("/").rpartition("/")
-    if name.endswith(".parquet") and not os.path.isdir(path):
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if name.endswith(".parquet") and fs.getFileStatus(hpath).isFile():
         return f"{head}/[{name[0]}]{name[1:]}"
     return path
 
@@ -38,7 +39,7 @@ def events_stream(spark: SparkSession, path: str, max_files_per_trigger: int | N
     r = spark.readStream.schema(schema)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.parquet(as_stream_path(path))
+    return r.parquet(as_stream_path(spark, path))
 
 
 def rollup_stream(attempts: DataFrame, grain_hours: int, delay: str | None = None) -> DataFrame:
