@@ -1,4 +1,4 @@
-"""Connected components of an edge table: minimum labels with pointer jumping, all on Spark."""
+"""Connected components of an edge table: roots hooked on smaller neighbours and contracted, all on Spark."""
 
 from __future__ import annotations
 
@@ -7,30 +7,45 @@ from pyspark.sql import functions as F
 
 from slicewatch.llm.common import cut_lineage
 
-MAX_ROUNDS = 64
-
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, label)`` for every node of ``edges``; label = the smallest node id it can reach.
 
-    Each round takes the smallest label among the neighbours (a partial minimum, so a hub ships one row
-    per task), then follows labels one step (pointer jumping), until nothing changes. Labels are cut to
-    a written table per round. Joins are plain equi-joins, so hubs are split by AQE.
+    Each round hooks every root on its smallest neighbour if that is smaller (a partial minimum, so a hub
+    ships one row per task), follows the hooks to their tops by pointer jumping, and contracts the edges to
+    edges between tops, until none is left. A root that neither hooks nor takes in all its neighbours has a
+    neighbour that went lower, so it hooks in the next round: two rounds at least halve the roots of a
+    component, whatever its shape. Tables are written per step. Joins are plain equi-joins, so hubs are
+    split by AQE.
     """
-    both = cut_lineage(
+    live = cut_lineage(
         edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
         .union(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).distinct(), "edges")
-    labels = cut_lineage(both.groupBy("u").agg(F.min("v").alias("m"))
-                         .select(F.col("u").alias("node"), F.least("u", "m").alias("label")), "labels")
-    for _ in range(MAX_ROUNDS):
-        near = (both.join(labels.select(F.col("node").alias("v"), F.col("label").alias("lv")), "v")
-                .groupBy(F.col("u").alias("node")).agg(F.min("lv").alias("near")))
-        step = labels.join(near, "node").select("node", F.col("label").alias("old"),
-                                                F.least("label", "near").alias("mid"))
-        up = labels.select(F.col("node").alias("mid"), F.col("label").alias("up"))
-        labels = cut_lineage(step.join(up, "mid").select("node", F.least("mid", "up").alias("label"), "old"), "labels")
-        moved = labels.filter(F.col("label") != F.col("old")).limit(1).count()
-        labels = labels.select("node", "label")
-        if not moved:
+    labels = None
+    while True:
+        tops = _tops(live)
+        if labels is None:  # the first round's roots are all nodes
+            labels = tops.select(F.col("root").alias("node"), F.col("top").alias("label"))
+        else:
+            labels = cut_lineage(labels.join(tops, labels["label"] == tops["root"], "left")
+                                 .select("node", F.coalesce("top", "label").alias("label")), "labels")
+        live = cut_lineage(
+            live.join(tops.select(F.col("root").alias("u"), F.col("top").alias("tu")), "u")
+            .join(tops.select(F.col("root").alias("v"), F.col("top").alias("tv")), "v")
+            .filter("tu <> tv").select(F.col("tu").alias("u"), F.col("tv").alias("v")).distinct(), "edges")
+        if not live.limit(1).count():
             return labels
-    raise RuntimeError("components did not settle")
+
+
+def _tops(live: DataFrame) -> DataFrame:
+    """``(root, top)``: where the hooks from each root end. Hooks lead to smaller ids, so jumping ends."""
+    tops = cut_lineage(live.groupBy(F.col("u").alias("root")).agg(F.min("v").alias("v"))
+                       .select("root", F.least("root", "v").alias("top")), "hooks")
+    while True:
+        up = tops.select(F.col("root").alias("top"), F.col("top").alias("up"))
+        step = cut_lineage(tops.join(up, "top").select("root", F.col("up").alias("top"),
+                                                       (F.col("up") != F.col("top")).alias("moved")), "hooks")
+        moved = step.filter("moved").limit(1).count()
+        tops = step.select("root", "top")
+        if not moved:
+            return tops
