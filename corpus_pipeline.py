@@ -27,19 +27,38 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.filter(quality.score_column(model, F.col("text"), spark) >= model.params.threshold)
 
 
+def _ids_missing_or_repeated(docs: DataFrame) -> bool:
+    odd = docs.groupBy("doc_id").count().filter("doc_id is null or count > 1")
+    return bool(odd.limit(1).count())
+
+
+def _with_row_keys(docs: DataFrame) -> tuple[str, DataFrame]:
+    """A key of its own for every row, written once so that all later reads see the same keys."""
+    row = free_name(docs.columns, "row_key")
+    return row, cut_lineage(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays (five-word shingles, similarity 0.8 or more). Of rows
-    that repeat a kept id one stays; rows without an id stay."""
-    found = near_duplicates(docs, NearDup(shingle=5))
-    other = free_name(docs.columns, "other_id")
-    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias(other)).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col(other), "left_anti")
-    again = cut_lineage(docs.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias(other)).count()
-                        .filter("count > 1").select(other), "repeated")
-    if not again.limit(1).count():
-        return kept
-    once = kept.join(again, F.col("doc_id") == F.col(other), "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, F.col("doc_id") == F.col(other), "left_anti").unionByName(once)
+    """One document of each near-duplicate group stays (five-word shingles, similarity 0.8 or more): the one
+    with the smallest id. Where ids are missing or repeat, every row is a document of its own: rows of one id
+    go for equal or linked texts alone, and rows without an id are compared like any other."""
+    if not _ids_missing_or_repeated(docs):
+        found = near_duplicates(docs, NearDup(shingle=5))
+        other = free_name(docs.columns, "other_id")
+        gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias(other)).distinct()
+        return docs.join(gone, F.col("doc_id") == F.col(other), "left_anti")
+    row, keyed = _with_row_keys(docs)
+    found = cut_lineage(near_duplicates(keyed, NearDup(shingle=5), doc_id=row).select(
+        F.col("doc_id").alias("key"), "n_shingles", "component_id"), "row_groups")
+    rows = keyed.select(F.col(row).alias("key"), "doc_id", "text").join(found, "key")
+    # smallest id of a group, ids before none; among rows of that id by text, so the choice is the tables' own
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "key"))
+    linked = rows.filter("n_shingles > 0").groupBy("component_id").agg(first.alias("top")).select("top.key")
+    wordless = rows.filter("n_shingles = 0")  # these link with nothing: one row per id and equal text, all without an id
+    same = wordless.filter("doc_id is not null").groupBy("doc_id", "text").agg(F.min("key").alias("key")).select("key")
+    stays = linked.unionByName(same).unionByName(wordless.filter("doc_id is null").select("key"))
+    other = free_name(keyed.columns, "other_id")
+    return keyed.join(stays.select(F.col("key").alias(other)), F.col(row) == F.col(other), "left_semi").drop(row)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
