@@ -62,11 +62,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold most of a benchmark item go."""
-    found = tiling.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    other = free_name(docs.columns, "other_id")
+    """Documents that hold most of a benchmark item go; where ids are missing or repeat, every row is judged
+    by its own text."""
+    row, keyed = _with_row_keys(docs) if _ids_missing_or_repeated(docs) else ("doc_id", docs)
+    found = tiling.decontaminate(keyed, table(spark, sf_dir, "benchmark"), doc_id=row)
+    other = free_name(keyed.columns, "other_id")
     gone = found.filter("contaminated").select(F.col("doc_id").alias(other)).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col(other), "left_anti")
+    kept = keyed.join(gone, F.col(row) == F.col(other), "left_anti")
+    return kept if row == "doc_id" else kept.drop(row)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

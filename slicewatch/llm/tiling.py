@@ -153,6 +153,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, p: Tiling = Tiling(), d
         (-F.col("top.minus")).alias("item_id"), F.coalesce("top.coverage", F.lit(0.0)).alias("coverage"))
 
 
+def decontaminate_rows(docs: DataFrame, benchmark: DataFrame, p: Tiling = Tiling(), doc_id: str = "doc_id",
+                       text: str = "text") -> DataFrame:
+    """``decontaminate`` with every row without an id judged by its own text: such rows get keys that are
+    written once, and the result shows their id as null."""
+    none = docs.filter(F.col(doc_id).isNull())
+    if not none.limit(1).count():
+        return decontaminate(docs, benchmark, p, doc_id, text)
+    keyed = cut_lineage(none.select(F.monotonically_increasing_id().alias("key"), F.col(text).alias("text")), "no_id")
+    judged = decontaminate(keyed, benchmark, p, doc_id="key").withColumn("doc_id", F.lit(None).cast("long"))
+    return decontaminate(docs.filter(F.col(doc_id).isNotNull()), benchmark, p, doc_id, text).unionByName(judged)
+
+
 def _item_rows(p: Tiling):
     def run(batches):
         for batch in batches:

@@ -33,3 +33,19 @@ def test_near_dedup_decides_per_row(spark, parts):
     rest = [x for x in got if x[0] is None and x[1]]
     assert len(rest) == 1 and rest[0][1] in (passage(9), near(passage(9)))
     assert sorted((x for x in got if x not in rest), key=str) == sorted(fixed, key=str)
+
+
+def test_decontamination_judges_rows_without_id(spark, tmp_path):
+    import corpus_pipeline as cp
+    from slicewatch.llm import queries
+    item, other = passage(20, 30), passage(21, 30)
+    rows = [(None, "see " + item), (None, other), (None, None), (3, "see " + item), (3, other), (4, other)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], SCHEMA)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(10, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = cp.decontaminate(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted([(None, other), (None, None), (3, other), (4, other)], key=str)
+    got = queries.op10_benchmark_decontamination(spark, str(tmp_path)).collect()
+    assert sorted(((r["doc_id"], r["contaminated"], r["items"]) for r in got), key=str) == sorted(
+        [(None, True, [10]), (None, False, []), (None, False, []), (3, True, [10]), (3, True, [10]), (4, False, [])], key=str)
