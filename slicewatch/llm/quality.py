@@ -40,6 +40,19 @@ class Model:
     params: Subwords
 
 
+def _code_points(buf: np.ndarray, lead: np.ndarray) -> np.ndarray:
+    """The character that begins at each place of ``lead`` in UTF-8 bytes."""
+    size = np.minimum(np.diff(np.append(lead, len(buf))), 4).astype(np.uint32)
+    ch = buf[lead].astype(np.uint32)
+    if len(lead) == len(buf):
+        return ch
+    ch = np.where(size > 1, ch & (np.uint32(0x7F) >> size), ch)
+    for j in range(1, 4):
+        more = np.flatnonzero(size > j)
+        ch[more] = (ch[more] << np.uint32(6)) | (buf[lead[more] + j] & 0x3F)
+    return ch
+
+
 def features(block: TextBlock, p: Subwords):
     """(bucket of every feature, its text index) of a block, repeats included, in groups."""
     buf, starts, ends, doc = W.spans(block, W.NON_SPACE, lower=False)
@@ -51,11 +64,12 @@ def features(block: TextBlock, p: Subwords):
         pair = np.where(h[same] == h[same + 1], np.uint64(12345), W.mix(h[same] * np.uint64(3) + h[same + 1]))
         yield (W.mix(pair) & mask).astype(np.int32), doc[same]
     # character n-grams: windows of one text whose inner characters are no white space
-    n = len(buf)
-    inside = W.NON_SPACE[buf]
-    ch = np.where(inside, buf, 32).astype(np.uint32)
-    gaps = np.concatenate([[0], np.cumsum(~inside)])
     owner = np.repeat(np.arange(len(block)), block.ends - block.starts)
+    lead = np.flatnonzero((buf & 0xC0) != 0x80)
+    inside, owner = W.NON_SPACE[buf[lead]], owner[lead]
+    ch = np.where(inside, _code_points(buf, lead), 32).astype(np.uint32)
+    gaps = np.concatenate([[0], np.cumsum(~inside)])
+    n = len(ch)
     for k in p.orders:
         if n < k:
             continue
