@@ -22,8 +22,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go; all stay if the labels hold one class or none, since
+    nothing was learned to reject by."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
+    if not model.learned:
+        return docs
     return docs.filter(quality.score_column(model, F.col("text"), spark) >= model.params.threshold)
 
 

@@ -38,6 +38,7 @@ class Model:
     weights: np.ndarray   # one number per bucket: its vector times the output layer (label 1 minus label 0)
     bias: float
     params: Subwords
+    learned: bool = True  # false without labelled rows of both classes
 
 
 def _code_points(buf: np.ndarray, lead: np.ndarray) -> np.ndarray:
@@ -122,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, p: Subwords = Subwords(), doc_id:
     y = bags.column("label").to_numpy()
     if len(set(y.tolist())) < 2:
         share = float(y.mean()) if len(y) else 0.5
-        return Model(np.zeros(p.buckets, np.float32), float(np.log((share + 1e-3) / (1 - share + 1e-3))), p)
+        return Model(np.zeros(p.buckets, np.float32), float(np.log((share + 1e-3) / (1 - share + 1e-3))), p, False)
     feats = [np.frombuffer(x.values.to_numpy().tobytes(), np.int32) for x in bags.column("feats")]
     counts = [x.values.to_numpy().astype(np.float32) for x in bags.column("counts")]
     order0 = sorted(range(len(y)), key=lambda i: (int(y[i]), len(feats[i]), feats[i][:16].tolist()))

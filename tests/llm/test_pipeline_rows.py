@@ -49,3 +49,11 @@ def test_decontamination_judges_rows_without_id(spark, tmp_path):
     got = queries.op10_benchmark_decontamination(spark, str(tmp_path)).collect()
     assert sorted(((r["doc_id"], r["contaminated"], r["items"]) for r in got), key=str) == sorted(
         [(None, True, [10]), (None, False, []), (None, False, []), (3, True, [10]), (3, True, [10]), (4, False, [])], key=str)
+
+
+@pytest.mark.parametrize("labels", [[(1, 0), (2, 0)], []])
+def test_quality_stage_keeps_all_without_both_classes(spark, tmp_path, labels):
+    import corpus_pipeline as cp
+    docs = spark.createDataFrame([(i, passage(i), "x") for i in range(5)], SCHEMA)
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert cp.drop_poor(spark, docs, str(tmp_path)).count() == 5
