@@ -133,6 +133,32 @@ class SuffixAutomaton:
             found.append((len(tokens) - size, size, state))
         return found
 
+    def template_matches(self, tokens: list[int], least: int):
+        """Matches (first token, length, sequence, place of the last token there) of at least ``least``
+        tokens that the sequence itself does not continue at that place, whatever other sequences do."""
+        state = size = 0
+        before: dict[tuple[int, int], int] = {}
+        found = []
+        for i, token in enumerate(tokens):
+            while state > 0 and token not in self.next[state]:
+                state = self.link[state]
+                size = self.length[state]
+            state, size = (self.next[state][token], size + 1) if token in self.next[state] else (0, 0)
+            now = self._places(state, size, least)
+            found += [(i - n, n, k, e) for (k, e), n in before.items() if (k, e + 1) not in now]
+            before = now
+        return found + [(len(tokens) - n, n, k, e) for (k, e), n in before.items()]
+
+    def _places(self, state: int, size: int, least: int) -> dict[tuple[int, int], int]:
+        """Longest suffix read so far, if of ``least`` tokens or more, that ends at each place."""
+        out: dict[tuple[int, int], int] = {}
+        while state > 0 and size >= least:
+            for place in self.ends[state]:
+                out.setdefault(place, size)
+            state = self.link[state]
+            size = self.length[state]
+        return out
+
 
 class Scanner:
     def __init__(self, p: Scan):
@@ -174,8 +200,8 @@ class Scanner:
             found: dict[int, list] = {}
             for lo, hi in zip(opens[long].tolist(), closes[long].tolist()):
                 d = int(doc[lo])
-                for begin, size, state in self.automaton.matches(h[lo:hi].tolist(), self.p.min_match):
-                    found.setdefault(d, []).append((lo - int(first[d]) + begin, size, state))
+                for begin, size, template, end in self.automaton.template_matches(h[lo:hi].tolist(), self.p.min_match):
+                    found.setdefault(d, []).append((lo - int(first[d]) + begin, size, template, end))
             for d, matches in found.items():
                 covers[d] = self._chain(matches)
         return counts, places, covers
@@ -184,9 +210,8 @@ class Scanner:
         """Best chain per template: matches in file order that advance in the template, with short gaps.
         Returns (label, template, first word, end word, share of the template covered)."""
         by_template: dict[int, list[tuple[int, int, int]]] = {}
-        for begin, size, state in matches:
-            for template, end in self.automaton.ends[state]:
-                by_template.setdefault(template, []).append((begin, end - size + 1, size))
+        for begin, size, template, end in matches:
+            by_template.setdefault(template, []).append((begin, end - size + 1, size))
         out = []
         for template, parts in sorted(by_template.items()):
             parts.sort()
