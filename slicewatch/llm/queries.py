@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slicewatch.llm import bpe, chat, licenses, maxscore, quality, tiling, toxicity, urls, warc
+from slicewatch.llm import bpe, chat, importance, licenses, maxscore, quality, sharding, tiling, toxicity, urls, warc
 from slicewatch.llm.common import fold_of, table
 from slicewatch.llm.neardup import NearDup, near_duplicates
 
@@ -106,6 +106,18 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return tiling.decontaminate_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract: all documents towards the benchmark's texts, single words, a tenth drawn."""
+    found = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract: 40 shards of near equal bytes; sharding by size has no grown shard."""
+    return sharding.shard(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES = {
     "op1_maxscore_top_k": op1_maxscore_top_k,
     "op3_chat_format": op3_chat_format,
@@ -117,7 +129,24 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_toxicity": op9_toxicity,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op13_sharding": op13_sharding,
 }
+
+#: DuckDB has no CRC-32: its table, and the fold of one string's bytes over it.
+CRC_TABLE = """crc_table AS MATERIALIZED (
+            SELECT list(v ORDER BY i) AS t FROM (
+                SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+                    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+                FROM range(256) r(i)))"""
+
+
+def crc_sql(text: str) -> str:
+    return f"""xor(list_reduce(list_concat([4294967295],
+                list_transform(regexp_extract_all(hex({text}), '..'), lambda x: CAST('0x' || x AS BIGINT))),
+                lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"""
+
+
 SQL: dict[str, str] = {
     "op1_maxscore_top_k": """
         WITH v AS (
@@ -153,4 +182,46 @@ SQL: dict[str, str] = {
                CASE WHEN payload_bytes >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 1000 AND page_id < top THEN top END AS refers_to
         FROM r""",
+    "op11_importance_resampling": f"""
+        WITH {CRC_TABLE},
+        d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+        texts AS (SELECT r, 'd' AS side, text FROM d UNION ALL SELECT 0, 'b', text FROM benchmark),
+        words AS (
+            SELECT r, side, unnest(regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS w FROM texts),
+        hashed AS (SELECT w, {crc_sql("w")} % 10000 AS bucket FROM (SELECT DISTINCT w FROM words), crc_table),
+        n AS (
+            SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t
+            FROM words JOIN hashed USING (w) GROUP BY bucket),
+        total AS (SELECT coalesce(sum(s), 0) AS s_all, coalesce(sum(t), 0) AS t_all FROM n),
+        gain AS (
+            SELECT bucket, CAST(floor(1000 * ln(CAST((t + 1) * (s_all + 10000) AS DOUBLE)
+                / CAST((s + 1) * (t_all + 10000) AS DOUBLE))) AS BIGINT) AS g FROM n, total),
+        per AS (
+            SELECT r, count(*) AS n_features, CAST(floor(sum(g) / count(*)) AS BIGINT) AS weight
+            FROM words JOIN hashed USING (w) JOIN gain USING (bucket) WHERE side = 'd' GROUP BY r),
+        scored AS (
+            SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+                   coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln(
+                       (CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5) / 4294967296.0))) AS BIGINT) AS score
+            FROM d LEFT JOIN per USING (r)),
+        may AS (SELECT *, n_features >= 20 AND score IS NOT NULL AS ok FROM scored),
+        placed AS (
+            SELECT *, row_number() OVER (PARTITION BY ok ORDER BY score DESC, doc_id, n_features, weight) AS place,
+                   count(*) FILTER (ok) OVER () AS ok_all FROM may)
+        SELECT doc_id, n_features, weight, score, CASE WHEN ok AND place <= 10 * ok_all // 100 THEN place END AS rank
+        FROM placed""",
+    "op13_sharding": f"""
+        WITH {CRC_TABLE},
+        d AS (
+            SELECT doc_id, CAST(strlen(coalesce(text, '')) + 16 AS BIGINT) AS size,
+                   CAST({crc_sql("coalesce(text, '')")} AS BIGINT) AS text_crc32 FROM documents, crc_table),
+        line AS (
+            SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32 ROWS UNBOUNDED PRECEDING) AS upto,
+                   row_number() OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32) AS place, sum(size) OVER () AS total FROM d),
+        cut AS (SELECT *, least(39, ((2 * upto - size) * 40) // (2 * total)) AS s FROM line)
+        SELECT doc_id, size, text_crc32, 'bytes' AS law, CAST(s AS INTEGER) AS shard,
+               row_number() OVER (PARTITION BY s ORDER BY place) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+        FROM cut""",
 }
