@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slicewatch.llm import bpe, chat, importance, licenses, maxscore, quality, sharding, tiling, toxicity, urls, warc
+from slicewatch.llm import bpe, chat, crosstok, importance, licenses, maxscore, quality, sharding, tiling, toxicity, urls, warc
 from slicewatch.llm.common import fold_of, table
 from slicewatch.llm.neardup import NearDup, near_duplicates
 
@@ -112,6 +112,12 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract: byte-level BPE against a sentencepiece model over all documents."""
+    return crosstok.CrossTokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"),
+                                tokenizer_path("piece_bpe_32k.model")).documents()
+
+
 def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract: 40 shards of near equal bytes; sharding by size has no grown shard."""
     return sharding.shard(table(spark, sf_dir, "documents")).select(
@@ -130,6 +136,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_cross_tokenizer_alignment": op12_cross_tokenizer_alignment,
     "op13_sharding": op13_sharding,
 }
 

@@ -50,8 +50,8 @@ def assign(thin: DataFrame, order: list[Column], p: Sharding = Sharding()) -> Da
     cut = F.call_function("div", middle, F.lit(max(2 * total, 1)).cast("long"))
     placed = line.withColumn("shard", F.least(cut.cast("int"), F.lit(p.shards - 1)))
     first = placed.groupBy("shard").agg(F.min("position").alias("first_position"))    # one row per shard
-    return (placed.join(F.broadcast(first), "shard").withColumn("slot", F.col("position") - F.col("first_position"))
-            .drop("position", "start", "first_position"))
+    return placed.join(F.broadcast(first), "shard").select(
+        *[F.col(f"`{c}`") for c in thin.columns], "shard", (F.col("position") - F.col("first_position")).alias("slot"))
 
 
 def shard(docs: DataFrame, p: Sharding = Sharding(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
