@@ -60,7 +60,12 @@ def _byte_of_char() -> dict[str, int]:
 
 
 class ByteLevel:
-    """A byte-level BPE file of the tokenizers library."""
+    """A byte-level BPE file of the tokenizers library, without special tokens.
+
+    Where the file says no more than the public byte-level scheme (its pattern, no normaliser, every merge ranked
+    by the id of what it makes), the same ids come four times faster from the tiktoken library with the file's
+    vocabulary as ranks; tests hold both against each other on every code point. Texts that this engine
+    refuses, and all texts under other files, go through the tokenizers library."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"    # Spark deals the texts to the cores
@@ -69,15 +74,41 @@ class ByteLevel:
         self.model.encode_special_tokens = True
         to_byte = _byte_of_char()
         with open(path, encoding="utf-8") as f:
-            special = {t["id"] for t in json.load(f)["added_tokens"]}
+            spec = json.load(f)
+        special = {t["id"] for t in spec["added_tokens"]}
         vocab = self.model.get_vocab()
         pieces = [b""] * (max(vocab.values()) + 1)
         for piece, i in vocab.items():
             pieces[i] = piece.encode("utf-8") if i in special else bytes(to_byte[c] for c in piece)
         self.pieces = pa.array(pieces, pa.binary())
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.model.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        self.fast = self._ranked(spec, {p: i for i, p in enumerate(pieces) if i not in special and p})
+
+    @staticmethod
+    def _ranked(spec: dict, ranks: dict[bytes, int]):
+        model, before = spec["model"], spec["pre_tokenizer"] or {}
+        made = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+        first = 256
+        plain = (spec["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex")
+                 and not before.get("add_prefix_space") and model["type"] == "BPE" and not model.get("dropout")
+                 and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix")
+                 and all(model["vocab"].get(m) == first + i for i, m in enumerate(made)) and len(ranks) == first + len(made))
+        if not plain:
+            return None
+        import tiktoken
+        from public_tokenizers import PATTERN
+        return tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, texts: list[str]) -> list:
+        out = []
+        for t in texts:
+            try:
+                ids = self.fast and self.fast.encode_ordinary(" " + t)
+            except BaseException as e:      # the engine's own panic is no Exception
+                if isinstance(e, (KeyboardInterrupt, SystemExit, GeneratorExit, MemoryError)):
+                    raise
+                ids = None
+            out.append(ids if ids is not None else self.model.encode(" " + t, add_special_tokens=False).ids)
+        return out
 
 
 class Pieces:
@@ -91,7 +122,7 @@ class Pieces:
             [bytes([int(self.model.id_to_piece(i)[3:-1], 16)]) if self.model.is_byte(i)
              else self.model.id_to_piece(i).replace("▁", " ").encode("utf-8") for i in range(n)], pa.binary())
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list:
         return self.model.encode(texts, num_threads=1)
 
 

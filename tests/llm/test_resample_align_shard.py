@@ -280,3 +280,19 @@ def test_written_shards_hold_whole_rows_in_slot_order(spark, tmp_path):
     for s, slot in rows_of(back.select("_shard", "slot")):
         slots[s].append(slot)
     assert {s: sorted(x) for s, x in slots.items()} == {r["shard"]: list(range(r["rows"])) for r in made.collect()}
+
+
+def test_both_byte_level_engines_give_the_same_ids(tokenizer_files):
+    """Every code point beside letters, digits, contractions and white space; tokens of the vocabulary at random."""
+    one = crosstok.ByteLevel(tokenizer_files[0])
+    assert one.fast is not None
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [f"a{c}'ve{c}1 {c}{c} {c}'ve.{c}\n{c}" for c in chars]
+    rng = random.Random(0)
+    pieces = [p for p in one.pieces.to_pylist() if len(p) > 1]
+    texts += [b"".join(rng.choice(pieces)[:rng.randrange(1, 6)] for _ in range(rng.randrange(2, 8))).decode("utf-8", "ignore")
+              for _ in range(20_000)]
+    for lo in range(0, len(texts), 50_000):
+        part = [" " + t for t in texts[lo:lo + 50_000]]
+        slow = [e.ids for e in one.model.encode_batch_fast(part, add_special_tokens=False)]
+        assert [one.fast.encode_ordinary(t) for t in part] == slow
