@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slicewatch.operators.views import transaction_day
 from slicewatch.params import ALLOWED_DECISIONS
 from slicewatch.session import cut_lineage
 
@@ -105,19 +104,11 @@ def parse_decisions(raw: DataFrame, raw_col: str = "raw") -> DataFrame:
 
 
 def mark_done(d: DataFrame, prior_outcomes: DataFrame | None) -> DataFrame:
-    """``_done`` = the (transaction, policy) pair already holds a stored outcome (else null).
-
-    When the outcomes carry the transaction ``date`` (a partition column of the stored table) and
-    ``d`` has ``ts``, the date joins too: a transaction's date never changes, so the result is the
-    same, and with day bounds on the outcomes (``store.prior_outcomes``) only the days of ``d`` are read
-    instead of the whole outcome history."""
+    """``_done`` = the (transaction_id, policy) pair already holds a stored outcome (else null), on whatever
+    day it was stored. ``prior_outcomes`` may be whole outcomes or the pairs that ``store.prior_outcomes`` found."""
     keys = ["transaction_id", "policy"]
     if prior_outcomes is None:
         return d.withColumn("_done", F.lit(None).cast("boolean"))
-    if "date" in prior_outcomes.columns and "ts" in d.columns:
-        done = (prior_outcomes.select(*keys, F.col("date").alias("_date")).distinct()
-                .withColumn("_done", F.lit(True)))
-        return d.withColumn("_date", transaction_day("ts")).join(done, [*keys, "_date"], "left").drop("_date")
     done = prior_outcomes.select(*keys).distinct().withColumn("_done", F.lit(True))
     return d.join(done, keys, "left")
 

@@ -18,7 +18,7 @@ from slicewatch.operators.root_cause import root_cause
 from slicewatch.operators.rollup import health_rollup
 from slicewatch.params import Params
 from slicewatch.session import cut_lineage
-from slicewatch.sources.payments import attempts, transactions, unique_transactions
+from slicewatch.sources.payments import attempts, refused_transactions, transactions, unique_transactions
 
 # context of the matched event carried onto each linked transaction
 RC_CARRY = ("root_cause_statement", "classification", "best_peer", "best_peer_rate")
@@ -28,6 +28,7 @@ class Diagnosis:
     health: DataFrame
     events: DataFrame      # one row per event, with root cause columns
     linked: DataFrame      # every transaction, with event_id / degradation_linked / context
+    refused: DataFrame | None = None    # what was left out before linkage, with reason and count
 
 
 def health_from_tables(spark: SparkSession, sf_dir: str, p: Params, cut: bool = True) -> DataFrame:
@@ -40,13 +41,17 @@ def diagnose(health: DataFrame, txns: DataFrame, p: Params = Params(), cut: bool
     rc = root_cause(events, health, p, cut=cut)
     if cut:
         rc = cut_lineage(rc, "events")
+    refused = None
     if p.unique_transactions:
+        refused = refused_transactions(txns)
+        if cut:
+            refused = cut_lineage(refused, "refused")
         txns = unique_transactions(txns)
     linked = link(txns, rc, p, carry=RC_CARRY + ("window_end",))
     linked = with_after_recovery_probability(linked.withColumnRenamed("window_end", "event_window_end"))
     if cut:
         linked = cut_lineage(linked, "transactions")
-    return Diagnosis(health, rc, linked)
+    return Diagnosis(health, rc, linked, refused)
 
 
 def diagnose_tables(spark: SparkSession, sf_dir: str, p: Params | None = None, cut: bool = True) -> Diagnosis:

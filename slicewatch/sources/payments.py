@@ -83,6 +83,10 @@ def unique_transactions(txns: DataFrame) -> DataFrame:
     return keyed.join(repeated, "transaction_id", "left_anti").select(*txns.columns).unionByName(first)
 
 
+#: Columns of the quarantine.
+REFUSED = "transaction_id string, reason string, n long"
+
+
 def refused_transactions(txns: DataFrame) -> DataFrame:
     """B13 quarantine: what ``unique_transactions`` leaves out, as ``transaction_id, reason, n`` (rows refused)."""
     again = duplicate_transaction_ids(txns).select("transaction_id", F.lit("repeated id").alias("reason"),

@@ -17,7 +17,8 @@ NOISE = (0.004, -0.003, 0.002, -0.005, 0.001, 0.003, -0.002, 0.0, -0.004, 0.005,
 @pytest.fixture(scope="session")
 def spark():
     from slicewatch.session import build_session
-    s = build_session("local[2]", app="slicewatch-tests", shuffle_partitions=4)
+    # plan texts are compared: nothing in them may be cut
+    s = build_session("local[2]", app="slicewatch-tests", shuffle_partitions=4, extra={"spark.sql.maxMetadataStringLength": "4000"})
     yield s
     s.stop()
 

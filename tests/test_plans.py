@@ -108,24 +108,23 @@ def test_audit_keyset_pages_equal_offset_pages(spark):
             before = tuple(by_offset[-1][k] for k in key)
 
 
-def test_rerun_prunes_stored_outcomes_to_the_batch_days(spark, txn_df, tmp_path):
-    from slicewatch.sources import store
+def test_rerun_opens_only_the_buckets_that_may_hold_its_keys(spark, txn_df, tmp_path):
+    from slicewatch.sources import outcome_index, store
+    from slicewatch.sources.snapshots import Snapshots
     rows = [(f"t{i}", "upi", "gw_a", dt.datetime(2026, 1, 1 + i % 5, 10), 50.0, "c", "new", 0, "otp_timeout",
-             False, 0.5, 0.5) for i in range(10)]
+             False, 0.5, 0.5) for i in range(200)]
     txns = txn_df(rows).withColumn("event_id", F.lit(None).cast("bigint"))
     root = str(tmp_path / "store")
     store.run_and_store(spark, txns, root, "r1", P)
-    prior = store.read_table(spark, root, "outcomes")
-    day = txns.where(F.to_date("ts") == F.lit("2026-01-02").cast("date"))
-    again = run_all(day, P, prior_outcomes=prior)
-    assert "dynamicpruningexpression" in _plan(again).lower()
-    assert {r.status for r in again.collect()} == {"skipped_duplicate"}
-    # an unfiltered batch brings its day bounds as literals; transactions without a time have a day too
-    timeless = txn_df([("t0", *rows[0][1:3], None, *rows[0][4:])]).withColumn("event_id", F.lit(None).cast("bigint"))
-    store.run_and_store(spark, timeless, root, "r2", P)
-    batch = store.cut_lineage(day.unionByName(timeless), "batch")
-    bounded = store.prior_outcomes(spark, root, "r3", batch)
-    filters = [x for x in _plan(bounded).splitlines() if "PartitionFilters" in x]
-    assert filters and all("2026-01-02" in x for x in filters)
-    assert {r.date.isoformat() for r in bounded.select("date").distinct().collect()} == {"2026-01-02", "0001-01-01"}
-    assert {r.status for r in run_all(batch, P, prior_outcomes=bounded).collect()} == {"skipped_duplicate"}
+    folders = Snapshots(spark, root).state().tables[outcome_index.KEYS].folders
+
+    def opened(batch):
+        known = store.prior_outcomes(spark, root, "r2", batch, ("baseline", "agent"))
+        keys = {f.split("bucket=")[1].split("/")[0] for f in known.inputFiles() if "/outcome_keys/" in f}
+        return known, keys
+    again, keys = opened(txns.where("transaction_id = 't7'"))
+    assert {(r.transaction_id, r.policy) for r in again.collect()} == {("t7", "baseline"), ("t7", "agent")}
+    assert 0 < len(keys) <= 2 and len({f.split("/")[0] for f in folders}) > 20      # two keys, two buckets of 32
+    new = txn_df([(f"n{i}", *rows[0][1:]) for i in range(100)]).withColumn("event_id", F.lit(None).cast("bigint"))
+    unknown, keys = opened(new)
+    assert unknown.count() == 0 and len(keys) <= 4                                 # filters answer nearly all

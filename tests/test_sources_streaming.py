@@ -71,12 +71,13 @@ def test_store_round_trip_and_append_only_touches_new_days(spark, txn_df, tmp_pa
     assert tx.where("event_id IS NOT NULL").count() == 1        # the transaction sits inside the event
 
     health_dir = os.path.join(root, "health")
-    before = {p: os.path.getmtime(os.path.join(health_dir, p)) for p in os.listdir(health_dir) if p.startswith("date=")}
+    before = {os.path.join(d, f) for d, _, files in os.walk(health_dir) for f in files if f.endswith(".parquet")}
     new = spark.createDataFrame(health_rows("upi", "gw_a", start="2026-01-10 00:00:00", hours=3), HEALTH_SCHEMA)
     store.append_health(new, root)
-    after = {p for p in os.listdir(health_dir) if p.startswith("date=")}
-    assert after - set(before) == {"date=2026-01-10"}
-    assert all(os.path.getmtime(os.path.join(health_dir, p)) == m for p, m in before.items())
+    after = {os.path.join(d, f) for d, _, files in os.walk(health_dir) for f in files if f.endswith(".parquet")}
+    assert before < after and all("date=2026-01-10" in f for f in after - before)
+    used = {f.removeprefix("file://") for f in store.read_table(spark, root, "health").inputFiles()}
+    assert used == after                                         # the other days are read from the files they had
     assert store.read_table(spark, root, "health").count() == h.count() + 3
 
 
