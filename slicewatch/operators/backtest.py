@@ -1,21 +1,20 @@
 """Detection backtest — labelled outage windows against detected events.
 
 A label is hit when an event of the same slice overlaps it (``ds < le AND de > ls``); among
-several, the one whose start is nearest the label's start wins (ties: lower event id). Both sides
-are cut into day buckets so the range join is an equi-join on (slice, bucket) with an overlap
-residual; pairs seen in several buckets are de-duplicated before ranking.
+several, the one whose start is nearest the label's start wins (ties: lower event id). Two windows overlap
+when one's start lies in the other, so the pairs are two point-in-interval joins over hierarchical pieces: every
+pair is found once, by equality, and a window of years costs some dozens of rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slicewatch.functions.timeutil import add_hours, buckets_covering, epoch_seconds
+from slicewatch.functions.intervals import block_of, with_pieces
+from slicewatch.functions.timeutil import add_hours, epoch_micros
 from slicewatch.operators.baseline import SLICE
 
-DAY = 86400
-
 
 def labels_from_slices(health: DataFrame, first_start: str = "2024-01-03 06:00:00", days: int = 7) -> DataFrame:
     """Test-data labels: one window per slice, start = first_start + (m·6 + g) days, ``days`` long."""
@@ -26,30 +25,39 @@ def labels_from_slices(health: DataFrame, first_start: str = "2024-01-03 06:00:0
     return s.select(*SLICE, start.alias("label_start"), add_hours(start, 24 * days).alias("label_end"))
 
 
-def backtest(labels: DataFrame, events: DataFrame, bucket_seconds: int = DAY) -> DataFrame:
-    lb = labels.select(*SLICE, "label_start", "label_end",
-                       F.explode(buckets_covering("label_start", "label_end", bucket_seconds)).alias("bucket"))
-    eb = events.select(*SLICE, "event_id", "window_start", "window_end",
-                       F.explode(buckets_covering("window_start", "window_end", bucket_seconds)).alias("bucket"))
-    pairs = (lb.join(eb, [*SLICE, "bucket"])
-             .where((F.col("window_start") < F.col("label_end")) & (F.col("window_end") > F.col("label_start")))
-             .select(*SLICE, "label_start", "event_id", "window_start").dropDuplicates([*SLICE, "label_start", "event_id"]))
-    dist = F.abs(epoch_seconds("window_start") - epoch_seconds("label_start"))
-    w = Window.partitionBy(*SLICE, "label_start").orderBy(dist, "event_id")
-    best = pairs.withColumn("rn", F.row_number().over(w)).where(F.col("rn") == 1).select(
-        *SLICE, "label_start", F.col("event_id").alias("matched_event_id"), F.col("window_start").alias("matched_start"))
+def _holding(intervals: DataFrame, points: DataFrame) -> DataFrame:
+    """Pairs of the same slice with ``lo <= at < hi``: each point is spread over the levels that the pieces use."""
+    pieces = with_pieces(intervals, "lo", "hi")
+    used = sorted(r[0] for r in pieces.select("level").distinct().collect())         # at most 13
+    if not used:
+        used = [0]
+    spread = points.withColumn("level", F.explode(F.array(*[F.lit(x) for x in used])))
+    spread = spread.withColumn("block", block_of(F.col("at"), F.col("level")))
+    return spread.join(pieces.drop("lo", "hi"), [*SLICE, "level", "block"]).drop("level", "block")
+
+
+def overlapping(labels: DataFrame, events: DataFrame) -> DataFrame:
+    """(slice, label_start, event_id, window_start) of every overlapping pair, once each."""
+    lb = labels.select(*SLICE, "label_start", epoch_micros("label_start").alias("lo"), epoch_micros("label_end").alias("hi")).distinct()
+    ev = events.select(*SLICE, "event_id", "window_start", epoch_micros("window_start").alias("lo"), epoch_micros("window_end").alias("hi"))
+    columns = [*SLICE, "label_start", "event_id", "window_start"]
+    event_in_label = _holding(lb, ev.where("lo < hi").withColumnRenamed("lo", "at").drop("hi")).select(*columns)
+    label_in_event = _holding(ev, lb.where("lo < hi").withColumnRenamed("lo", "at").drop("hi")).where(
+        F.col("window_start") < F.col("label_start")).select(*columns)
+    return event_in_label.unionByName(label_in_event)
+
+
+def backtest(labels: DataFrame, events: DataFrame) -> DataFrame:
+    away = F.abs(epoch_micros("window_start") - epoch_micros("label_start")).alias("away")
+    near = F.min(F.struct(away, F.col("event_id"), F.col("window_start")))
+    best = overlapping(labels, events).groupBy(*SLICE, "label_start").agg(near.alias("_n")).select(
+        *SLICE, "label_start", F.col("_n.event_id").alias("matched_event_id"), F.col("_n.window_start").alias("matched_start"))
     return labels.join(best, [*SLICE, "label_start"], "left").withColumn("hit", F.col("matched_event_id").isNotNull())
 
 
-def backtest_summary(result: DataFrame, events: DataFrame, labels: DataFrame, bucket_seconds: int = DAY) -> DataFrame:
+def backtest_summary(result: DataFrame, events: DataFrame, labels: DataFrame) -> DataFrame:
     """Labels, hits, misses, recall; precision = events overlapping any label / events."""
-    lb = labels.select(*SLICE, "label_start", "label_end",
-                       F.explode(buckets_covering("label_start", "label_end", bucket_seconds)).alias("bucket"))
-    eb = events.select(*SLICE, "event_id", "window_start", "window_end",
-                       F.explode(buckets_covering("window_start", "window_end", bucket_seconds)).alias("bucket"))
-    matched_events = (lb.join(eb, [*SLICE, "bucket"])
-                      .where((F.col("window_start") < F.col("label_end")) & (F.col("window_end") > F.col("label_start")))
-                      .select("event_id").distinct())
+    matched_events = overlapping(labels, events).select("event_id").distinct()
     r = result.agg(F.count(F.lit(1)).alias("labels"), F.count_if("hit").alias("hits"))
     e = events.agg(F.count(F.lit(1)).alias("events"))
     me = matched_events.agg(F.count(F.lit(1)).alias("events_on_labels"))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slicewatch.functions.exprs import severity_expr
-from slicewatch.functions.numeric import VALUE_DEC, round_half_up
+from slicewatch.functions.numeric import VALUE_DEC, round_double
 from slicewatch.functions.timeutil import add_hours, epoch_seconds
 from slicewatch.operators.baseline import SLICE, chunk_of, chunk_offsets, slice_window, with_baseline, with_breach
 from slicewatch.params import Params
@@ -82,10 +82,10 @@ def event_rows(r: DataFrame, p: Params = Params()) -> DataFrame:
         *SLICE,
         "window_start",
         "window_end",
-        round_half_up("mean_base", 4).alias("baseline_rate"),
-        round_half_up("mean_rate", 4).alias("current_rate"),
+        round_double("mean_base", 4).alias("baseline_rate"),
+        round_double("mean_rate", 4).alias("current_rate"),
         severity_expr(F.col("mean_base") - F.col("mean_rate"), p).alias("severity"),
-        round_half_up("mean_z", 2).alias("z_score"),
+        round_double("mean_z", 2).alias("z_score"),
         "n_rows",
     )
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slicewatch.functions.numeric import round_half_up
+from slicewatch.functions.numeric import round_double
 
 SEGMENTS = ("overall", "degradation_linked", "non_degradation_linked")
 METRIC_COLUMNS = (
@@ -50,11 +50,11 @@ def policy_metrics(outcomes: DataFrame, policies: tuple[str, ...] = ("agent", "b
         "segment",
         total.cast("bigint").alias("total_transactions"),
         succ.cast("bigint").alias("successes"),
-        F.when(total > 0, round_half_up(succ * F.lit(100.0) / total, 2)).otherwise(0.0).alias("recovery_rate_pct"),
+        F.when(total > 0, round_double(succ * F.lit(100.0) / total, 2)).otherwise(0.0).alias("recovery_rate_pct"),
         (gross / F.lit(100.0)).alias("total_revenue_recovered_rs"),
         (F.coalesce(F.col("net_p"), F.lit(0)) / F.lit(100.0)).alias("net_revenue_recovered_rs"),
         (cost / F.lit(100.0)).alias("total_cost_rs"),
-        F.when(gross > 0, round_half_up(cost * F.lit(100.0) / gross, 2)).otherwise(0.0).alias("cost_to_recover_per_100"),
+        F.when(gross > 0, round_double(cost * F.lit(100.0) / gross, 2)).otherwise(0.0).alias("cost_to_recover_per_100"),
         F.coalesce(F.col("escalation_count"), F.lit(0)).cast("bigint").alias("escalation_count"),
     )
 
@@ -78,10 +78,10 @@ def policy_comparison(metrics: DataFrame, a: str = "agent", b: str = "baseline")
     )
     has_run = (F.col("a_n") > 0) & (F.col("b_n") > 0)
     return m.select(
-        F.when(has_run, round_half_up(F.col("a_net") - F.col("b_net"), 2)).alias("net_revenue_delta_rs"),
-        F.when(has_run, round_half_up(F.col("a_rate") - F.col("b_rate"), 2)).alias("recovery_rate_delta_pct_points"),
-        F.when(has_run, round_half_up(F.col("a_lrate") - F.col("b_lrate"), 2)).alias("degradation_linked_recovery_rate_delta_pct_points"),
-        F.when(has_run, round_half_up(F.col("a_lnet") - F.col("b_lnet"), 2)).alias("degradation_linked_net_revenue_delta_rs"),
+        F.when(has_run, round_double(F.col("a_net") - F.col("b_net"), 2)).alias("net_revenue_delta_rs"),
+        F.when(has_run, round_double(F.col("a_rate") - F.col("b_rate"), 2)).alias("recovery_rate_delta_pct_points"),
+        F.when(has_run, round_double(F.col("a_lrate") - F.col("b_lrate"), 2)).alias("degradation_linked_recovery_rate_delta_pct_points"),
+        F.when(has_run, round_double(F.col("a_lnet") - F.col("b_lnet"), 2)).alias("degradation_linked_net_revenue_delta_rs"),
     )
 
 

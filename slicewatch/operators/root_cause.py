@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slicewatch.functions.exprs import classification_expr, statement_expr
-from slicewatch.functions.numeric import RATE_DEC, round_half_up, safe_div
+from slicewatch.functions.numeric import RATE_DEC, round_double, safe_div
 from slicewatch.functions.timeutil import bucket_of, buckets_covering, epoch_seconds
 from slicewatch.operators.baseline import SLICE
 from slicewatch.params import Params
@@ -127,7 +127,7 @@ def _rated(totals: DataFrame) -> DataFrame:
     peer = ~F.col("_all") & (F.col("n_rows") > 0)
     same_method, same_gateway = F.col("payment_method") == F.col("e_method"), F.col("bank_gateway") == F.col("e_gateway")
     return totals.select("event_id", "e_method", "e_gateway", "_all", *SLICE, "n_rows", "n_rate", "s_rate",
-                         mean.alias("mean_rate"), round_half_up(mean, 4).alias("rate"),
+                         mean.alias("mean_rate"), round_double(mean, 4).alias("rate"),
                          (peer & same_method & ~same_gateway).alias("is_peer_gateway"),
                          (peer & same_gateway & ~same_method).alias("is_peer_method"),
                          (~F.col("_all") & same_method & same_gateway).alias("is_own"))
@@ -183,4 +183,4 @@ def root_cause(events: DataFrame, health: DataFrame, p: Params = Params(), cut:
         "root_cause_statement",
         statement_expr("classification", "payment_method", "bank_gateway", "baseline_rate", "current_rate",
                        "window_start", "window_end", "best_peer", "best_peer_rate", "global_other_rate"),
-    ).withColumn("global_other_slices_avg_rate", round_half_up("global_other_rate", 4))
+    ).withColumn("global_other_slices_avg_rate", round_double("global_other_rate", 4))
