@@ -11,8 +11,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from slicewatch.functions.numeric import clip, round_half_up
+from slicewatch.functions.numeric import clip, round_double
 from slicewatch.functions.timeutil import epoch_seconds
 from slicewatch.operators import audit as audit_ops
 from slicewatch.operators import views
@@ -345,8 +346,8 @@ def q_unit_checks(spark, sf_dir):
     t = diagnosis(spark, sf_dir).linked
     return t.select(
         "transaction_id",
-        round_half_up(F.col("amount") / F.lit(3.0), 2).alias("third_amount_2dp"),
-        round_half_up(F.col("ground_truth_recovery_probability") * F.lit(1.37), 4).alias("scaled_p_4dp"),
+        round_double(F.col("amount") / F.lit(3.0), 2).alias("third_amount_2dp"),
+        round_double(F.col("ground_truth_recovery_probability") * F.lit(1.37), 4).alias("scaled_p_4dp"),
         clip(F.col("ground_truth_recovery_probability") + F.lit(0.3), 0.0, 0.97).alias("clipped_p"),
         F.coalesce(F.col("event_id"), F.lit(0)).alias("event_id_or_zero"),
     )
@@ -375,6 +376,169 @@ def q_csv_round_trip(spark, sf_dir):
     return read_health(spark, path, "csv")
 
 
+#: Columns of the raw transactions that ``raw_round_trip`` writes.
+RAW_COLUMNS = ["transaction_id", "payment_method", "ts", "amount", "retry_count_so_far"]
+
+
+def q_raw_round_trip(spark, sf_dir):
+    """Transactions as raw text lines (quoted names with commas and quotes; of every ten one has a field too many, one
+    no number as its amount, one ``NaN``), written as they are, read, written back and read again."""
+    from slicewatch.sources import raw, schemas
+    from slicewatch.streaming.rollup_stream import scratch
+    i = F.col("transaction_id").cast("bigint") % 10
+    amount = F.when(i == 4, "n/a").when(i == 5, "NaN").otherwise(F.col("amount").cast("decimal(30,6)").cast("string"))
+    name = F.concat(F.lit('"'), F.col("payment_method"), F.lit(', ""card"""'))
+    line = F.concat_ws(",", "transaction_id", name, F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), amount, "retry_count_so_far",
+                       F.when(i == 3, F.lit("more")))
+    first, second = scratch(spark, "raw"), scratch(spark, "raw-again")
+    diagnosis(spark, sf_dir).linked.select(line.alias("value")).write.text(first)
+    raw.write_back(raw.read_raw(spark, first), second)
+    fields = [f for f in schemas.TRANSACTIONS.fields if f.name in RAW_COLUMNS]
+    back = raw.parse_raw(raw.read_raw(spark, second), T.StructType(sorted(fields, key=lambda f: RAW_COLUMNS.index(f.name))), header=False)
+    good = F.size("problems") == 0
+    value = F.col("fields.amount").try_cast("double")
+    return back.select("raw", F.array_join("problems", ",").alias("problems"), F.when(good, F.col("fields.payment_method")).alias("payment_method"),
+                       F.when(good & ~F.isnan(value), value).alias("amount"))
+
+
+def q_csv_transactions(spark, sf_dir):
+    """The transactions written as CSV, read by name, linked to one event alone (the longest, first of equals)."""
+    from slicewatch.operators.linkage import link_single
+    from slicewatch.sources.payments import read_transactions
+    from slicewatch.streaming.rollup_stream import scratch
+    d, path = diagnosis(spark, sf_dir), scratch(spark, "transactions-csv")
+    t = d.linked.select(*views.transactions_table(d.linked).columns)
+    t.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")).write.option("header", True).csv(path)
+    away = epoch_seconds("window_start") - epoch_seconds("window_end")
+    event = d.events.select(*EVENT_COLUMNS).orderBy(away, "event_id").limit(1)
+    return link_single(read_transactions(spark, path), event, query_params(sf_dir)).select(
+        "transaction_id", "ts", "amount", "failure_type", "event_id", "degradation_linked", "seed_linked")
+
+
+def q_event_list_top(spark, sf_dir):
+    """The first ten events of one method (a top-k)."""
+    return views.event_list(diagnosis(spark, sf_dir).events.select(*EVENT_COLUMNS), payment_method="m1", limit=10)
+
+
+def q_long_window_linkage(spark, sf_dir):
+    """Every detected event stretched to a year and more, so that hundreds of windows of a slice overlap; the lowest id wins."""
+    from slicewatch.operators.linkage import link
+    d = diagnosis(spark, sf_dir)
+    start = F.col("window_start") - F.expr("INTERVAL 10 MINUTES") * (F.col("event_id") % 7)
+    end = F.col("window_end") + F.expr("INTERVAL 37 HOURS") * (F.col("event_id") % 300)
+    long = d.events.select("payment_method", "bank_gateway", (-F.col("event_id") + 1_000_000).alias("event_id"),
+                           start.alias("window_start"), end.alias("window_end"))
+    return link(d.linked.select("transaction_id", "payment_method", "bank_gateway", "ts"), long, query_params(sf_dir)).select(
+        "transaction_id", "event_id", "degradation_linked")
+
+
+def q_incremental_rollup(spark, sf_dir):
+    """The attempts added in three parts, the second of them twice, and compacted after two."""
+    from slicewatch.sources import store
+    from slicewatch.sources.payments import attempts
+    from slicewatch.streaming.rollup_stream import scratch
+    root, p = scratch(spark, "sums"), query_params(sf_dir)
+    for part in (0, 1, 1, 2):
+        store.add_attempts(attempts(spark, sf_dir).where(F.pmod("attempt_id", F.lit(3)) == part), root, f"part-{part}", p.grain_hours)
+        if part == 2:
+            store.compact_rollup(spark, root)
+    return store.stored_rollup(spark, root)
+
+
+def q_append_merge(spark, sf_dir):
+    """A4: a stored series that lacks a third of its cells and holds another third wrong; both thirds are appended."""
+    from slicewatch.sources import store
+    from slicewatch.streaming.rollup_stream import scratch
+    d, root = diagnosis(spark, sf_dir), scratch(spark, "append")
+    third = F.pmod(F.xxhash64("payment_method", "bank_gateway", "ts"), F.lit(3))
+    wrong = F.when(third == 1, 0.0).otherwise(F.col("success_rate"))
+    store.write_diagnosis(d.health.where(third != 0).withColumn("success_rate", wrong), d.events, d.linked, root)
+    store.append_health(d.health.where(third != 2), root)
+    return store.read_table(spark, root, "health").drop("date")
+
+
+def q_rebuild_atomic(spark, sf_dir):
+    """The stored series as a reader sees it while a rebuild is under way and after the rebuild has failed."""
+    from slicewatch.sources import store
+    from slicewatch.sources.snapshots import Snapshots
+    from slicewatch.streaming.rollup_stream import scratch
+    d, root = diagnosis(spark, sf_dir), scratch(spark, "atomic")
+    store.write_diagnosis(d.health, d.events, d.linked, root)
+    other = d.health.withColumn("ts", F.col("ts") - F.expr("INTERVAL 400 DAYS"))
+    snapshots = Snapshots(spark, root)
+    state = snapshots.state()
+    snapshots.stage("health", other.withColumn("date", F.to_date("ts")), snapshots.version(state), ("date",))
+    during = store.read_table(spark, root, "health").withColumn("moment", F.lit("during"))
+    try:
+        store.write_diagnosis(other, d.events.withColumn("severity", F.raise_error(F.lit("the rebuild fails")).cast("string")), d.linked, root)
+    except Exception as e:      # the failure that the query stages, and no other
+        if "the rebuild fails" not in str(e):
+            raise
+    after = store.read_table(spark, root, "health").withColumn("moment", F.lit("after"))
+    events = store.read_table(spark, root, "degradation_events").agg(F.count(F.lit(1)).alias("events_stored"))
+    return during.unionByName(after).drop("date").crossJoin(F.broadcast(events))
+
+
+def q_refused_transactions(spark, sf_dir):
+    """What the diagnosis left out, read from its stored quarantine: every tenth attempt comes three times (twice on later days),
+    every eleventh once more without an id."""
+    from slicewatch.operators.linkage import link
+    from slicewatch.sources import store
+    from slicewatch.sources.payments import refused_transactions, transactions, unique_transactions
+    from slicewatch.streaming.rollup_stream import scratch
+    d, root, t = diagnosis(spark, sf_dir), scratch(spark, "refused"), transactions(spark, sf_dir)
+    i = F.col("transaction_id").cast("bigint")
+    again = t.where(i % 10 == 0)
+    for days in (1, 2):
+        t = t.unionByName(again.withColumn("ts", F.col("ts") + F.expr(f"INTERVAL {days} DAYS")))
+    t = t.unionByName(transactions(spark, sf_dir).where(i % 11 == 0).withColumn("transaction_id", F.lit(None).cast("string")))
+    from slicewatch.operators.linkage import with_after_recovery_probability
+    linked = with_after_recovery_probability(link(unique_transactions(t), d.events, query_params(sf_dir)))
+    store.write_diagnosis(d.health, d.events, linked, root, refused_transactions(t))
+    return store.read_table(spark, root, "refused_transactions")
+
+
+def _stored_run(spark, sf_dir):
+    """One run of both policies in a store."""
+    from slicewatch.sources import store
+    from slicewatch.streaming.rollup_stream import scratch
+    k = _key(spark, sf_dir, "stored-run")
+    if k not in _CACHE:
+        d, root = diagnosis(spark, sf_dir), scratch(spark, "stored-run")
+        store.run_and_store(spark, d.linked, root, "first", query_params(sf_dir))
+        _CACHE[k] = root
+    return _CACHE[k]
+
+
+def q_stored_run(spark, sf_dir):
+    """Decisions, actions and outcomes as they are stored, joined by their ids."""
+    from slicewatch.sources import store
+    root = _stored_run(spark, sf_dir)
+    d, a, o = (store.read_table(spark, root, name).drop("run_id") for name in ("decisions", "actions_taken", "outcomes"))
+    return (d.join(a.drop("transaction_id", "policy"), "decision_id").join(o.drop("transaction_id", "policy"), "action_id")
+            .select("decision_id", "action_id", "outcome_id", "transaction_id", "policy", "decision", "confidence", "delay_hours",
+                    "discount_pct", "degradation_linked", "event_id", "action_type", "allowed", "block_reason", "success", "net_recovered"))
+
+
+def q_redelivered_outcomes(spark, sf_dir):
+    """Transactions that come again — on another day in a second run, and, after the index was compacted, as the
+    micro-batches of a stream — keep one outcome per policy."""
+    from slicewatch.sources import outcome_index, store
+    from slicewatch.sources.snapshots import Snapshots
+    from slicewatch.streaming.link_stream import run_decision_stream
+    from slicewatch.streaming.rollup_stream import scratch
+    p, d, root = query_params(sf_dir), diagnosis(spark, sf_dir), scratch(spark, "redelivered")
+    i = F.col("transaction_id").cast("bigint") % 4
+    store.run_and_store(spark, d.linked.where(i != 0), root, "first", p)
+    later = F.when(i == 1, F.col("ts") + F.expr("INTERVAL 3 DAYS")).otherwise(F.col("ts"))
+    store.run_and_store(spark, d.linked.where(i.isin(1, 2)).withColumn("ts", later), root, "second", p)
+    outcome_index.compact(Snapshots(spark, root))
+    run_decision_stream(spark, f"{sf_dir.rstrip('/')}/events.parquet", _events_table(spark, sf_dir), root, p)
+    return store.read_table(spark, root, "outcomes").groupBy("transaction_id", "policy").agg(
+        F.count(F.lit(1)).alias("outcomes"), F.max("net_recovered").alias("net_recovered"),
+        F.max(F.when(F.col("run_id") == "first", 1).otherwise(0)).alias("of_first_run"))
+
+
 def _stored(spark, sf_dir):
     """A store that held another diagnosis before the present one."""
     from slicewatch.sources import store
@@ -492,11 +656,29 @@ def q_stream_linkage(spark, sf_dir):
     """S3: failed payments linked per micro-batch against the stored events table."""
     from slicewatch.streaming.link_stream import run_link_stream
     sink = run_link_stream(spark, f"{sf_dir.rstrip('/')}/events.parquet", _events_table(spark, sf_dir), query_params(sf_dir))
-    return spark.read.parquet(sink).select(
+    return _read_links(spark, sink)
+
+
+def _read_links(spark, sink):
+    from slicewatch.streaming.link_stream import read_linked
+    return read_linked(spark, sink).select(
         "transaction_id", "payment_method", "bank_gateway", "ts", "event_id", "degradation_linked",
         "ground_truth_recovery_probability_after_recovery")
 
 
+def q_stream_late_linkage(spark, sf_dir):
+    """S3: no event is known while the transactions arrive; a third of the events appear, then the rest."""
+    from slicewatch.streaming.link_stream import link_waiting, run_link_stream
+    from slicewatch.streaming.rollup_stream import scratch
+    p, events, table = query_params(sf_dir), diagnosis(spark, sf_dir).events, scratch(spark, "late-events")
+    events.where("false").write.parquet(table)
+    sink = run_link_stream(spark, f"{sf_dir.rstrip('/')}/events.parquet", table, p)
+    for known in (F.col("event_id") % 3 == 0, F.lit(True)):
+        events.where(known).write.mode("overwrite").parquet(table)
+        link_waiting(spark, table, sink, p)
+    return _read_links(spark, sink)
+
+
 def q_stream_decisions(spark, sf_dir):
     """Outcomes written exactly once by the streaming decision sink."""
     from slicewatch.sources import store

@@ -22,8 +22,8 @@ def _in(vals) -> str:
 
 
 def r(x: str, d: int) -> str:
-    """Half-up rounding through DECIMAL (same as functions.numeric.round_half_up)."""
-    return f"CAST(ROUND(CAST({x} AS DECIMAL(38,12)), {d}) AS DOUBLE)"
+    """printf writes the digits of the exact binary value, half to even."""
+    return f"CAST(printf('%.{d}f', CAST({x} AS DOUBLE)) AS DOUBLE)"
 
 
 def clip(x: str) -> str:
@@ -644,3 +644,38 @@ SELECT 'skipped_unknown_transaction' AS status, 2 * u + total AS n FROM c
 UNION ALL SELECT 'skipped_invalid_decision_schema', 2 * i FROM c
 UNION ALL SELECT 'execute', e FROM c
 UNION ALL SELECT 'skipped_duplicate', e + 2 * d FROM c"""
+
+# A3: the lines as text; a field too many makes a line bad, text that is no number names its column
+SQL["raw_round_trip"] = _with("lnk") + '''SELECT transaction_id || ',"' || payment_method || ', ""card""",' || strftime(ts, '%Y-%m-%d %H:%M:%S') || ',' ||
+    CASE i % 10 WHEN 4 THEN 'n/a' WHEN 5 THEN 'NaN' ELSE CAST(CAST(amount AS DECIMAL(30,6)) AS VARCHAR) END || ',' || retry_count_so_far
+    || CASE WHEN i % 10 = 3 THEN ',more' ELSE '' END AS raw,
+  CASE i % 10 WHEN 3 THEN 'ragged' WHEN 4 THEN 'amount' ELSE '' END AS problems,
+  CASE WHEN i % 10 NOT IN (3, 4) THEN payment_method || ', "card"' END AS payment_method,
+  CASE WHEN i % 10 NOT IN (3, 4, 5) THEN CAST(CAST(amount AS DECIMAL(30,6)) AS DOUBLE) END AS amount
+FROM (SELECT *, CAST(transaction_id AS BIGINT) AS i FROM lnk)'''
+SQL["csv_transactions"] = _with("lnk") + """, one AS (SELECT * FROM dev ORDER BY window_start - window_end, event_id LIMIT 1)
+SELECT t.transaction_id, t.ts, t.amount, t.failure_type, o.event_id, o.event_id IS NOT NULL AS degradation_linked,
+  t.degradation_linked AS seed_linked
+FROM lnk t LEFT JOIN one o ON t.payment_method = o.payment_method AND t.bank_gateway = o.bank_gateway
+  AND t.ts >= o.window_start AND t.ts < o.window_end"""
+SQL["event_list_top"] = _with("dev") + f"""SELECT {EV_COLS} FROM dev WHERE payment_method = 'm1' ORDER BY window_start, event_id LIMIT 10"""
+SQL["long_window_linkage"] = _with("lnk") + """, long AS (
+  SELECT payment_method, bank_gateway, 1000000 - event_id AS event_id,
+    window_start - INTERVAL '10 minutes' * (event_id % 7) AS lo, window_end + INTERVAL '37 hours' * (event_id % 300) AS hi FROM dev)
+SELECT t.transaction_id, min(e.event_id) AS event_id, min(e.event_id) IS NOT NULL AS degradation_linked
+FROM lnk t LEFT JOIN long e ON t.payment_method = e.payment_method AND t.bank_gateway = e.bank_gateway AND t.ts >= e.lo AND t.ts < e.hi
+GROUP BY t.transaction_id"""
+SQL["incremental_rollup"] = SQL["hourly_rollup"]
+SQL["append_merge"] = SQL["csv_round_trip"]
+SQL["rebuild_atomic"] = _with("dev") + """SELECT h.*, moment, (SELECT count(*) FROM dev) AS events_stored
+FROM health h, (VALUES ('during'), ('after')) AS m(moment)"""
+SQL["refused_transactions"] = _with("lnk") + """SELECT transaction_id, 'repeated id' AS reason, 2 AS n FROM lnk
+WHERE CAST(transaction_id AS BIGINT) % 10 = 0
+UNION ALL SELECT NULL, 'no id', count(*) FROM lnk WHERE CAST(transaction_id AS BIGINT) % 11 = 0 HAVING count(*) > 0"""
+SQL["stored_run"] = _with("wide") + """SELECT policy || ':' || transaction_id AS decision_id, policy || ':' || transaction_id AS action_id,
+  policy || ':' || transaction_id AS outcome_id, transaction_id, policy, decision, confidence, delay_hours, discount_pct,
+  coalesce(degradation_linked, false) AS degradation_linked, event_id, allowed_action AS action_type, allowed, block_reason, success, net_recovered
+FROM wide WHERE status = 'execute'"""
+SQL["redelivered_outcomes"] = _with("wide") + """SELECT transaction_id, policy, 1 AS outcomes, net_recovered,
+  CASE WHEN CAST(transaction_id AS BIGINT) % 4 <> 0 THEN 1 ELSE 0 END AS of_first_run FROM wide"""
+SQL["stream_late_linkage"] = SQL["linked_transactions"]
