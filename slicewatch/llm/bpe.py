@@ -13,7 +13,6 @@ import base64
 import functools
 import heapq
 import struct
-import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -76,19 +75,20 @@ def _automaton():
     return nxt.ravel(), cut.ravel(), compose, apply, letter
 
 
+def _members(pattern: str) -> np.ndarray:
+    """All code points that the tokenizer library's pattern engine counts to a class of one character: an encoder over
+    single bytes gives back the bytes that its pattern matches, and skips the others."""
+    import tiktoken
+    engine = tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+    chars = np.concatenate([np.arange(0xD800, dtype="<u4"), np.arange(0xE000, 0x110000, dtype="<u4")]).tobytes().decode("utf-32-le")
+    return np.frombuffer(bytes(engine.encode_ordinary(chars)).decode("utf-8").encode("utf-32-le"), "<u4")
+
+
 @functools.cache
 def _class_table() -> np.ndarray:
     table = np.full(0x110000, OTHER, np.uint8)
-    for cp in range(0x110000):
-        kind = unicodedata.category(chr(cp))[0]
-        if kind == "L":
-            table[cp] = LETTER
-        elif kind == "N":
-            table[cp] = NUMBER
-    # code points with the White_Space property (fixed values)
-    for lo, hi in ((0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A),
-                   (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)):
-        table[lo:hi + 1] = SPACE
+    for pattern, kind in ((r"\p{L}", LETTER), (r"\p{N}", NUMBER), (r"\s", SPACE)):
+        table[_members(pattern)] = kind
     return table
 
 
