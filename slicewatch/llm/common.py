@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from slicewatch.session import cut_lineage, ensure_checkpoint_dir, ship_package
 
-__all__ = ["bounded_sample", "cut_lineage", "ensure_checkpoint_dir", "fold_of", "free_name", "ship_package", "table",
+__all__ = ["bounded_rows", "bounded_sample", "cut_lineage", "ensure_checkpoint_dir", "fold_of", "free_name", "ship_package", "table",
            "text_blocks", "TextBlock"]
 
 #: Bytes of text that one numpy pass handles at a time (a longer text is a block of its own).
@@ -42,6 +42,18 @@ def bounded_sample(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.orderBy(F.xxhash64(key), F.col(key)).limit(n)
 
 
+def bounded_rows(docs: DataFrame, sample: DataFrame, n: int) -> DataFrame:
+    """``label, text`` of at most ``n`` rows per class: the rows of ``docs`` (doc_id, text) whose id is in ``sample`` (doc_id,
+    label; bounded). Equal rows of an id count once. An id that repeats with other texts adds rows, so the bound is drawn again
+    over (id, text), by their hash; where ids are unique nothing is dropped by that."""
+    rows = cut_lineage(docs.join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text", F.xxhash64("text").alias("key")), "labelled")
+    thin = rows.select("doc_id", "label", "key").distinct()
+    order = [F.xxhash64("doc_id", "key"), F.col("doc_id"), F.col("key")]
+    chosen = [thin.filter(F.col("label") == x).orderBy(*order).limit(n) for x in (0, 1)]
+    kept = rows.join(F.broadcast(chosen[0].unionByName(chosen[1])), ["doc_id", "label", "key"], "left_semi")
+    return kept.dropDuplicates(["doc_id", "label", "key"]).select("label", "text")
+
+
 class TextBlock:
     """Consecutive texts of an Arrow batch as one byte buffer without copying.
 

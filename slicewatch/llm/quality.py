@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slicewatch.llm import words as W
-from slicewatch.llm.common import TextBlock, bounded_sample, ship_package, text_blocks
+from slicewatch.llm.common import TextBlock, bounded_rows, bounded_sample, ship_package, text_blocks
 
 
 @dataclass(frozen=True)
@@ -109,7 +109,7 @@ def train(docs: DataFrame, labels: DataFrame, p: Subwords = Subwords(), doc_id:
           label: str = "quality") -> Model:
     """Fit on at most ``max_rows_per_class`` rows per class of ``labels`` (id, 0/1), chosen by id hash.
 
-    Labels other than 0 and 1, null ids and labels without a document are left out. Without both classes
+    Rows that repeat an id count once per different text, inside the same bound. Labels other than 0 and 1, null ids and labels without a document are left out. Without both classes
     the model has no weights and scores the share of label 1 (0.5 without any label).
     """
     ship_package(docs.sparkSession)
@@ -117,8 +117,7 @@ def train(docs: DataFrame, labels: DataFrame, p: Subwords = Subwords(), doc_id:
         "doc_id is not null and label in (0, 1)")
     sample = bounded_sample(known.filter("label = 0"), "doc_id", p.max_rows_per_class).unionByName(
         bounded_sample(known.filter("label = 1"), "doc_id", p.max_rows_per_class))
-    text_rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(
-        F.broadcast(sample), "doc_id").select("label", "text")  # the sample is bounded by its parameter
+    text_rows = bounded_rows(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), sample, p.max_rows_per_class)
     bags = text_rows.mapInArrow(_bag_rows(p), "label int, feats array<int>, counts array<int>").toArrow()
     y = bags.column("label").to_numpy()
     if len(set(y.tolist())) < 2:
