@@ -1,6 +1,6 @@
 """Toxicity by a weighted lexicon, matched with Aho-Corasick after folding disguises.
 
-Texts are folded first: case, homoglyphs, full-width and mathematical letters, digits and signs that
+Texts are folded first: case, accents of Latin letters, homoglyphs, full-width and mathematical letters, digits and signs that
 stand for letters, invisible characters. The lexicon holds whole words and word stems with a weight; it
 is learned from a bounded sample of labelled rows: the lower confidence bound of a term's log odds. All terms
 are found in one automaton pass; matches inside an exception phrase don't count; a word counts once with
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slicewatch.llm.common import TextBlock, bounded_sample, ship_package, text_blocks
+from slicewatch.llm.common import TextBlock, bounded_rows, bounded_sample, ship_package, text_blocks
 
 # Letters of other scripts that look like Latin ones, signs used in place of letters,
 # characters without a shape.
@@ -49,7 +49,6 @@ class Learning:
     min_share: float = 0.005         # and their share of the toxic sample
     min_weight: float = 1.5
     caution: float = 1.64            # standard errors taken off a term's log odds
-    max_terms: int = 5000
     threshold: float = 0.7
 
 
@@ -59,8 +58,11 @@ def _fold_table() -> np.ndarray:
     table = np.zeros(0x110000, np.uint32)
     for cp in range(0x110000):
         ch = chr(cp)
-        if unicodedata.category(ch)[0] in "LM":
-            low = ch.lower()
+        if 0x300 <= cp <= 0x36F:
+            table[cp] = 0            # accents of their own
+        elif unicodedata.category(ch)[0] in "LM":
+            plain = unicodedata.normalize("NFD", ch)[0]      # accented Latin letters lose the accent
+            low = (plain if plain.isascii() else ch).lower()
             table[cp] = ord(low) if len(low) == 1 else cp
         else:
             table[cp] = 0x20
@@ -157,7 +159,7 @@ def learn(docs: DataFrame, labels: DataFrame, p: Learning = Learning(), doc_id:
           label: str = "toxic", exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """Lexicon and curve from at most ``max_rows_per_class`` rows per class of ``labels`` (id, 0/1).
 
-    Equal texts count once. Labels other than 0 and 1, null ids and labels without a document are left
+    Equal texts count once, and an id that repeats counts once per different text, inside the same bound. Labels other than 0 and 1, null ids and labels without a document are left
     out. Without both classes the lexicon is empty and every score is that of the default curve.
     """
     spark = docs.sparkSession
@@ -166,8 +168,8 @@ def learn(docs: DataFrame, labels: DataFrame, p: Learning = Learning(), doc_id:
         "doc_id is not null and label in (0, 1)")
     sample = bounded_sample(known.filter("label = 0"), "doc_id", p.max_rows_per_class).unionByName(
         bounded_sample(known.filter("label = 1"), "doc_id", p.max_rows_per_class))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(
-        F.broadcast(sample), "doc_id").select("label", "text").dropDuplicates(["label", "text"]).persist()
+    rows = bounded_rows(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), sample,
+                        p.max_rows_per_class).dropDuplicates(["label", "text"]).persist()
     try:
         size = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
         if not size.get(0) or not size.get(1):
@@ -178,7 +180,7 @@ def learn(docs: DataFrame, labels: DataFrame, p: Learning = Learning(), doc_id:
                   .filter(F.col("t") >= max(p.min_docs, p.min_share * size[1]))
                   .withColumn("weight", F.log((F.col("t") + 0.5) / (size[1] + 1.0)) - F.log((F.col("c") + 0.5) / (size[0] + 1.0))
                               - p.caution * F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5)))
-                  .filter(F.col("weight") >= p.min_weight).orderBy(F.desc(F.col("t") * F.col("weight")), "term").limit(p.max_terms))
+                  .filter(F.col("weight") >= p.min_weight).orderBy("term"))   # bounded by the sample's words
         terms = tuple((r["term"], round(float(r["weight"]), 4)) for r in counts.collect())
         lexicon = Lexicon(terms, exceptions)
         measured = _measured(rows, lexicon).select("label", "total", "words").toPandas()  # bounded by the sample
@@ -219,7 +221,7 @@ def _measured(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
 def score_column(lexicon: Lexicon, text: Column, spark) -> Column:
     """Toxicity (0 to 1) of each text; null and empty texts get the curve's value at no match."""
     ship_package(spark)
-    shared = spark.sparkContext.broadcast(lexicon)  # bounded by max_terms
+    shared = spark.sparkContext.broadcast(lexicon)  # bounded by the labelled sample
     held: list = []
 
     def run(texts: pa.Array) -> pa.Array:
