@@ -60,6 +60,35 @@ def windows(tokens: np.ndarray, k: int) -> np.ndarray:
     return W.mix((run[k:] - run[:-k]) * down[:n] + _U(k))
 
 
+#: Seed places that are laid out at a time: a text and an item that repeat one word meet in their product of places.
+PLACES = 1 << 20
+
+
+def _merge(t: np.ndarray, p: np.ndarray, n: np.ndarray):
+    """Runs of seeds that follow one another on a diagonal as one run (text start, pattern start, seeds)."""
+    by = np.lexsort((p, t - p))
+    t, p, n = t[by], p[by], n[by]
+    new = np.ones(len(t), bool)
+    new[1:] = (np.diff(t - p) != 0) | (p[1:] != p[:-1] + n[:-1])
+    start = np.flatnonzero(new)
+    return t[start], p[start], np.add.reduceat(n, start)
+
+
+def _runs(hits: np.ndarray, first: np.ndarray, times: np.ndarray, order: np.ndarray):
+    """Maximal runs of shared seeds. The places (text window, equal pattern windows) are laid out slice by slice of the
+    text and merged at once, so memory holds a slice and the runs."""
+    upto = np.cumsum(times)
+    found, lo = [], 0
+    while lo < len(hits):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + PLACES, side="right")))
+        k = times[lo:hi]
+        t = np.repeat(hits[lo:hi], k)
+        p = order[np.repeat(first[lo:hi], k) + np.arange(len(t)) - np.repeat(np.cumsum(k) - k, k)]
+        found.append(_merge(t, p, np.ones(len(t), np.int64)))
+        lo = hi
+    return _merge(*(np.concatenate(x) for x in zip(*found)))
+
+
 def tiles(text: np.ndarray, pattern: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Greedy string tiles (pattern start, text start, length), longest first."""
     least = max(1, min(least, len(pattern)))
@@ -71,30 +100,23 @@ def tiles(text: np.ndarray, pattern: np.ndarray, least: int) -> list[tuple[int,
     hits = np.flatnonzero(hi > lo)
     if not len(hits):
         return []
-    times = hi[hits] - lo[hits]
-    t = np.repeat(hits, times)
-    p = order[np.repeat(lo[hits], times) + np.arange(len(t)) - np.repeat(np.cumsum(times) - times, times)]
-    # seeds that follow one another on a diagonal are one maximal match
-    by = np.lexsort((p, t - p))
-    t, p = t[by], p[by]
-    new = np.ones(len(t), bool)
-    new[1:] = (np.diff(t - p) != 0) | (np.diff(p) != 1)
-    start = np.flatnonzero(new)
-    size = np.diff(np.append(start, len(t))) + least - 1
+    t, p, size = _runs(hits, lo[hits], hi[hits] - lo[hits], order)
+    size = size + least - 1
     heap = []
-    for i, n in zip(start.tolist(), size.tolist()):
+    for i, n in enumerate(size.tolist()):
         n_equal = int(np.argmin(np.append(text[t[i]:t[i] + n] == pattern[p[i]:p[i] + n], False)))  # no reliance on the hash
         if n_equal >= least:
             heap.append((-n_equal, int(p[i]), int(t[i])))
     heapq.heapify(heap)
-    used_p, used_t, found = np.zeros(len(pattern), bool), np.zeros(len(text), bool), []
-    while heap:
+    used_p, used_t, found, left = np.zeros(len(pattern), bool), np.zeros(len(text), bool), [], len(pattern)
+    while heap and left >= least:
         n, ps, ts = heapq.heappop(heap)
         n = -n
         busy = used_p[ps:ps + n] | used_t[ts:ts + n]
         if not busy.any():
             used_p[ps:ps + n] = used_t[ts:ts + n] = True
             found.append((ps, ts, n))
+            left -= n
             continue
         edges = np.flatnonzero(np.diff(np.concatenate([[1], busy.astype(np.int8), [1]])))
         for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
@@ -118,51 +140,52 @@ def _filter_slots(seed: np.ndarray, bits: int):
     return [(W.mix(seed + _U(j)) % _U(bits)).astype(np.int64) for j in (1, 2, 3)]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, p: Tiling = Tiling(), doc_id: str = "doc_id",
-                  text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row per document id: ``doc_id, contaminated, items`` (ids over the threshold, ascending),
-    ``item_id`` (best covered item, smallest id on ties; null without a shared seed), ``coverage``.
-
-    Words are lower-cased runs of letters, digits and non-ASCII characters. An item shorter than
-    ``min_tile`` words must stand whole. Null, empty and word-less texts or items match nothing. Rows that
-    repeat an id count as one document: its best coverage holds. Null document ids give one clean row
-    each; null item ids are not tested. Empty tables give no or only clean rows. Other columns are not read.
-    """
+def _by_id(docs: DataFrame, benchmark: DataFrame, p: Tiling, doc_id: str, text: str, item_id: str, item_text: str) -> DataFrame:
+    """``decontaminate`` over documents that have an id."""
     spark = docs.sparkSession
     ship_package(spark)
     items = cut_lineage(benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text"))
-                        .filter(F.col("item_id").isNotNull()).mapInArrow(_item_rows(p), "item_id long, n int, words binary, k int, seeds array<long>"), "items")
-    seeds = items.select("item_id", F.explode("seeds").alias("seed"))
+                        .mapInArrow(_item_rows(p), "item_id long, n int, words binary, k int, seeds array<long>")
+                        .withColumn("item", F.monotonically_increasing_id()), "items")     # a key of its own for every item
+    seeds = items.select("item", F.explode("seeds").alias("seed"))
     lengths = sorted({r["k"] for r in items.select("k").filter("k > 0").distinct().collect()})  # at most min_tile values
     bitmap = spark.sparkContext.broadcast(_bitmap(seeds, p))
 
-    marked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter(
-        F.col("doc_id").isNotNull()).mapInArrow(_seeded_rows(p, lengths, bitmap), "doc_id long, words binary, seeds array<long>")
+    marked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_seeded_rows(p, lengths, bitmap), "doc_id long, words binary, seeds array<long>")
     marked = cut_lineage(marked.withColumn("row", F.xxhash64("doc_id", "words")), "seeded")
     pairs = (marked.select("doc_id", "row", F.explode("seeds").alias("seed")).join(seeds, "seed")
-             .select("doc_id", "row", "item_id").distinct())
+             .select("doc_id", "row", "item").distinct())
     tested = (pairs.join(marked.select("doc_id", "row", "words").distinct(), ["doc_id", "row"])
-              .join(items.select("item_id", F.col("words").alias("item_words")), "item_id")
+              .join(items.select("item", "item_id", F.col("words").alias("item_words")), "item")
               .select("doc_id", "item_id", "words", "item_words").mapInArrow(_cover(p), "doc_id long, item_id long, coverage double"))
     best = (tested.groupBy("doc_id", "item_id").agg(F.max("coverage").alias("coverage")).groupBy("doc_id")
             .agg(F.max(F.struct("coverage", (-F.col("item_id")).alias("minus"))).alias("top"),
+                 F.max("coverage").alias("coverage"),
                  F.sort_array(F.collect_list(F.when(F.col("coverage") >= p.min_cover, F.col("item_id")))).alias("items")))
     return docs.select(F.col(doc_id).cast("long").alias("doc_id")).join(best, "doc_id", "left").select(
-        "doc_id", F.coalesce(F.size("items") > 0, F.lit(False)).alias("contaminated"),
+        "doc_id", F.coalesce(F.col("coverage") >= p.min_cover, F.lit(False)).alias("contaminated"),
         F.coalesce("items", F.array().cast("array<bigint>")).alias("items"),
-        (-F.col("top.minus")).alias("item_id"), F.coalesce("top.coverage", F.lit(0.0)).alias("coverage"))
+        (-F.col("top.minus")).alias("item_id"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"))
 
 
-def decontaminate_rows(docs: DataFrame, benchmark: DataFrame, p: Tiling = Tiling(), doc_id: str = "doc_id",
-                       text: str = "text") -> DataFrame:
-    """``decontaminate`` with every row without an id judged by its own text: such rows get keys that are
-    written once, and the result shows their id as null."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, p: Tiling = Tiling(), doc_id: str = "doc_id",
+                  text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """One row per input row: ``doc_id, contaminated, items`` (ids over the threshold, ascending),
+    ``item_id`` (best covered item, smallest id on ties; null without a shared seed), ``coverage``.
+
+    Words are lower-cased runs of letters, digits and non-ASCII characters. An item shorter than
+    ``min_tile`` words must stand whole. Null, empty and word-less texts or items match nothing. Rows that
+    repeat an id count as one document: its best coverage holds. Rows without an id are judged by their own
+    text each. Items without an id are tested like any other: they decide ``contaminated`` and ``coverage``
+    and have no id to show. Empty tables give no or only clean rows. Other columns are not read.
+    """
+    named = _by_id(docs.filter(F.col(doc_id).isNotNull()), benchmark, p, doc_id, text, item_id, item_text)
     none = docs.filter(F.col(doc_id).isNull())
     if not none.limit(1).count():
-        return decontaminate(docs, benchmark, p, doc_id, text)
+        return named
     keyed = cut_lineage(none.select(F.monotonically_increasing_id().alias("key"), F.col(text).alias("text")), "no_id")
-    judged = decontaminate(keyed, benchmark, p, doc_id="key").withColumn("doc_id", F.lit(None).cast("long"))
-    return decontaminate(docs.filter(F.col(doc_id).isNotNull()), benchmark, p, doc_id, text).unionByName(judged)
+    judged = _by_id(keyed, benchmark, p, "key", "text", item_id, item_text).withColumn("doc_id", F.lit(None).cast("long"))
+    return named.unionByName(judged)
 
 
 def _item_rows(p: Tiling):
