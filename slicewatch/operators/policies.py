@@ -57,12 +57,15 @@ def rule_policy(linked: DataFrame, p: Params = Params(), policy: str = "agent",
     """Deterministic degradation-aware policy from the written recovery guidance.
 
     Needs ``degradation_linked``, ``best_peer_rate`` and ``event_window_end`` of the matched event
-    (null when unlinked). Linked: reroute when a healthy peer gateway exists, else wait out the
+    (null when unlinked). A table without ``event_id`` and ``degradation_linked`` has not been linked and is refused; the other
+    context may be left out by a linkage that carries none. Linked: reroute when a healthy peer gateway exists, else wait out the
     outage. Unlinked: by failure type, customer tier and retry count. Never asks for a retry past
     the cap.
     """
-    for name, typ in (("best_peer", "string"), ("best_peer_rate", "double"), ("event_window_end", "timestamp_ntz"),
-                      ("degradation_linked", "boolean")):
+    lacks = [c for c in ("event_id", "degradation_linked") if c not in linked.columns]
+    if lacks:
+        raise ValueError(f"the transactions are not linked: no column {', '.join(lacks)}")
+    for name, typ in (("best_peer", "string"), ("best_peer_rate", "double"), ("event_window_end", "timestamp_ntz")):
         if name not in linked.columns:
             linked = linked.withColumn(name, F.lit(None).cast(typ))
     rc = F.col("retry_count_so_far")

@@ -6,7 +6,7 @@ outcomes, escalations, audit — as projections; persist or write it once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slicewatch.functions.timeutil import epoch_micros
@@ -15,6 +15,7 @@ from slicewatch.operators.policies import baseline_policy, rule_policy
 from slicewatch.operators.rules import enforce
 from slicewatch.operators.validate import mark_done, route
 from slicewatch.params import ALLOWED_DECISIONS, Params
+from slicewatch.session import cut_lineage
 
 TXN_COLUMNS = (
     "transaction_id", "payment_method", "bank_gateway", "ts", "amount", "customer_id", "customer_history",
@@ -71,13 +72,16 @@ def run_builtin(policy: str, linked: DataFrame, p: Params = Params(),
 
 def mark_repeats(linked: DataFrame) -> DataFrame:
     """``_again`` = a row that repeats a transaction id of the same batch (all but the first by time, then
-    content). Only rows of repeated ids are ranked; a batch of unique ids costs one thin aggregate."""
+    content). Only rows of repeated ids are written with a row number; the first of an id is a partial minimum, so a hot id
+    spreads over tasks. A batch of unique ids costs one thin aggregate."""
     repeated = linked.groupBy("transaction_id").agg(F.count(F.lit(1)).alias("_n")).where(
         F.col("transaction_id").isNotNull() & (F.col("_n") > 1)).select("transaction_id")
     if not repeated.limit(1).count():
         return linked
-    order = Window.partitionBy("transaction_id").orderBy("ts", F.xxhash64(*[c for c in linked.columns]))
-    ranked = linked.join(repeated, "transaction_id", "left_semi").withColumn("_again", F.row_number().over(order) > 1)
+    rows = cut_lineage(linked.join(repeated, "transaction_id", "left_semi").withColumn("_row", F.monotonically_increasing_id()), "repeats")
+    place = F.struct("ts", F.xxhash64(*linked.columns).alias("content"), "_row")
+    firsts = rows.groupBy("transaction_id").agg(F.min(place).alias("_min")).select(F.col("_min._row").alias("_row"), F.lit(False).alias("_again"))
+    ranked = rows.join(firsts, "_row", "left").select(*linked.columns, F.coalesce("_again", F.lit(True)).alias("_again"))
     alone = linked.join(repeated, "transaction_id", "left_anti").withColumn("_again", F.lit(False))
     return alone.unionByName(ranked)
 

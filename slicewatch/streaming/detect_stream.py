@@ -8,9 +8,11 @@ A run is emitted when a later cell of its slice ends it; ``open_events`` reports
 would close. Cells at or before the last processed cell of their slice, and cells without time or slice, are
 refused and kept in a table of their own.
 
-The kept tables are written below the stream's folder in three slots: batch ``k`` reads slot ``k - 1`` and
-writes slot ``k`` (modulo 3), so a batch that is run again starts from the same state, and its events replace
-the partition of its first attempt.
+State, events and refused cells are tables of a versioned store; a batch commits all of them together with its
+number, so a batch that is run again after its commit changes nothing, and one that failed starts from the same state.
+The state lies in buckets of slices. A batch reads and writes the buckets of the slices it brings cells for
+and those whose first waiting cell the watermark has passed (noted per bucket in the manifest); the folders
+of all others stay as they are.
 """
 
 from __future__ import annotations
@@ -22,10 +24,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from slicewatch.functions.numeric import VALUE_DEC
-from slicewatch.functions.timeutil import add_hours, epoch_seconds
+from slicewatch.functions.timeutil import epoch_micros, epoch_seconds
 from slicewatch.operators.baseline import SLICE, with_baseline, with_breach
 from slicewatch.operators.events import event_rows, run_means, with_island
 from slicewatch.params import Params
+from slicewatch.sources.snapshots import Snapshots, Table
 
 SUM_DEC = "decimal(38,12)"
 CELL = ("payment_method", "bank_gateway", "ts", "success_rate")
@@ -35,7 +38,8 @@ OPEN_SCHEMA = ("payment_method string, bank_gateway string, n_rows long, window_
                f"s_base {SUM_DEC}, s_rate {SUM_DEC}, s_z {SUM_DEC}")
 EVENT_SCHEMA = ("payment_method string, bank_gateway string, window_start timestamp_ntz, window_end timestamp_ntz, "
                 "baseline_rate double, current_rate double, severity string, z_score double, n_rows long")
-SLOTS = 3
+BUCKETS = 16         # of slices, fixed when a stream begins
+HOUR = 3_600_000_000
 
 
 @dataclass(frozen=True)
@@ -51,18 +55,19 @@ class Step:
     state: State
 
 
-def step(new: DataFrame, state: State, p: Params, delay_hours: int, keep: Callable[[DataFrame, str], DataFrame],
+def _missing():
+    return F.col("ts").isNull() | F.col("payment_method").isNull() | F.col("bank_gateway").isNull()
+
+
+def step(new: DataFrame, state: State, p: Params, mark: int | None, keep: Callable[[DataFrame, str], DataFrame],
          final: bool = False) -> Step:
-    """One batch: ``final`` processes the waiting cells and closes every run."""
+    """One batch up to the watermark ``mark`` (epoch microseconds): ``final`` processes the waiting cells and closes
+    every run."""
     done = state.cells.where(~F.col("waiting")).groupBy(*SLICE).agg(F.max("ts").alias("_done"))
-    missing = F.col("ts").isNull() | F.col("payment_method").isNull() | F.col("bank_gateway").isNull()
     come = keep(new.select(*CELL).join(done, [*SLICE], "left").select(
-        *CELL, (missing | F.coalesce(F.col("ts") <= F.col("_done"), F.lit(False))).alias("refused")), "come")
-    cells = keep(state.cells.unionByName(come.where(~F.col("refused")).select(*CELL, F.lit(True).alias("waiting"))), "cells")
-    ready = F.lit(True)
-    if not final:
-        mark = cells.agg(add_hours(F.max("ts"), -int(delay_hours)).cast("string")).first()[0]
-        ready = F.coalesce(F.col("ts") <= F.lit(mark).cast("timestamp_ntz"), F.lit(False))
+        *CELL, (_missing() | F.coalesce(F.col("ts") <= F.col("_done"), F.lit(False))).alias("refused")), "come")
+    cells = state.cells.unionByName(come.where(~F.col("refused")).select(*CELL, F.lit(True).alias("waiting")))
+    ready = F.lit(True) if final else F.lit(False) if mark is None else epoch_micros("ts") <= F.lit(mark)
     passed = cells.where(~F.col("waiting") | ready)
 
     series = passed.select(*CELL, F.lit(None).cast("double").alias("avg_latency_ms"),
@@ -106,13 +111,52 @@ def _keeper(spark: SparkSession, folder: str) -> Callable[[DataFrame, str], Data
     return keep
 
 
-def _state(spark: SparkSession, root: str, batch_id: int) -> State:
-    """The tables that batch ``batch_id`` left (none before the first batch)."""
-    cells, open_runs = f"{CELL_SCHEMA}, waiting boolean", OPEN_SCHEMA
-    if batch_id < 0:
-        return State(spark.createDataFrame([], cells), spark.createDataFrame([], open_runs))
-    slot = f"{root}/state/{batch_id % SLOTS}"
-    return State(spark.read.schema(cells).parquet(f"{slot}/cells"), spark.read.schema(open_runs).parquet(f"{slot}/open"))
+def _bucket():
+    return F.pmod(F.xxhash64(*SLICE), F.lit(BUCKETS)).cast("int")
+
+
+def _tables(spark: SparkSession, root: str) -> Snapshots:
+    return Snapshots(spark, f"{root.rstrip('/')}/tables")
+
+
+def _of(folder: str) -> str:
+    """The bucket of a state folder, as the notes name it."""
+    return folder.split("/")[0].split("=")[1]
+
+
+def _kept(store: Snapshots, state, buckets: set[str] | None = None) -> State:
+    """The kept cells and runs of the given buckets (all by default)."""
+    only = None if buckets is None else lambda f: _of(f) in buckets
+    cells, open_runs = store.read("cells", state, only), store.read("open", state, only)
+    none = store.spark.createDataFrame
+    return State(none([], f"{CELL_SCHEMA}, waiting boolean") if cells is None else cells.drop("bucket"),
+                 none([], OPEN_SCHEMA) if open_runs is None else open_runs.drop("bucket"))
+
+
+def _process(store: Snapshots, df: DataFrame, batch_id: int, p: Params, delay_hours: int, keep) -> None:
+    state = store.state()
+    if state.notes.get("batch", -1) >= batch_id:          # committed before the stream noted it
+        return
+    come = keep(df.select(*CELL).withColumn("bucket", _bucket()), "batch")
+    seen = come.where(~_missing()).agg(F.max(epoch_micros("ts")).alias("newest"), F.collect_set("bucket").alias("buckets")).first()
+    newest = max((x for x in (state.notes.get("newest"), seen["newest"]) if x is not None), default=None)
+    mark = None if newest is None else newest - int(delay_hours) * HOUR
+    waiting = dict(state.notes.get("waiting", {}))
+    touched = {str(b) for b in seen["buckets"]} | {b for b, first in waiting.items() if mark is not None and first <= mark}
+    done = step(come.drop("bucket"), _kept(store, state, touched), p, mark, keep)
+
+    version, tables = store.version(state), {}
+    for name, rows in (("cells", done.state.cells), ("open", done.state.open_runs)):
+        new = store.stage(name, rows.withColumn("bucket", _bucket()), version, ("bucket",))
+        others = [f for f in state.tables[name].folders if _of(f) not in touched] if name in state.tables else []
+        tables[name] = Table(tuple(sorted([*others, *new.folders])), new.schema)
+    for name, rows in (("events", done.events), ("refused", done.refused)):
+        new = store.stage(name, rows.withColumn("batch_id", F.lit(batch_id).cast("long")), version, ("batch_id",))
+        tables[name] = Table((*(state.tables[name].folders if name in state.tables else ()), *new.folders), new.schema)
+    fresh = store.read("cells", type(state)(tables={"cells": tables["cells"]}), lambda f: f.endswith(version))
+    firsts = fresh.where("waiting").groupBy("bucket").agg(F.min(epoch_micros("ts")).alias("first")).collect()    # one row per bucket
+    waiting = {**{b: x for b, x in waiting.items() if b not in touched}, **{str(r["bucket"]): r["first"] for r in firsts}}
+    store.commit(state, tables, {"batch": batch_id, "newest": newest, "waiting": waiting})
 
 
 def run_detect_stream(spark: SparkSession, health_path: str, root: str, p: Params = Params(), delay_hours: int = 24,
@@ -123,19 +167,10 @@ def run_detect_stream(spark: SparkSession, health_path: str, root: str, p: Param
     reader = spark.readStream.schema(spark.read.parquet(health_path).schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-
-    def put(df: DataFrame, table: str, batch_id: int) -> None:
-        (df.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{root}/{table}"))
+    store, keep = _tables(spark, root), _keeper(spark, f"{root}/work")
 
     def on_batch(df: DataFrame, batch_id: int) -> None:
-        done = step(df, _state(spark, root, batch_id - 1), p, delay_hours, _keeper(spark, f"{root}/work"))
-        put(done.events, "events", batch_id)
-        put(done.refused, "refused", batch_id)
-        save = _keeper(spark, f"{root}/state/{batch_id % SLOTS}")
-        save(done.state.cells, "cells")
-        save(done.state.open_runs, "open")
-        _keeper(spark, f"{root}/state")(spark.createDataFrame([(batch_id,)], "batch_id long"), "last")
+        _process(store, df, batch_id, p, delay_hours, keep)
 
     q = (reader.parquet(health_path).writeStream.foreachBatch(on_batch).option("checkpointLocation", f"{root}/checkpoint")
          .trigger(availableNow=True).start())
@@ -145,19 +180,19 @@ def run_detect_stream(spark: SparkSession, health_path: str, root: str, p: Param
 
 def emitted(spark: SparkSession, root: str) -> DataFrame:
     """Events the stream has closed."""
-    return spark.read.schema(f"{EVENT_SCHEMA}, batch_id long").parquet(f"{root.rstrip('/')}/events").drop("batch_id")
+    found = _tables(spark, root).read("events")
+    return spark.createDataFrame([], EVENT_SCHEMA) if found is None else found.drop("batch_id")
 
 
 def refused(spark: SparkSession, root: str) -> DataFrame:
     """Cells that came too late, or without time or slice."""
-    return spark.read.schema(f"{CELL_SCHEMA}, batch_id long").parquet(f"{root.rstrip('/')}/refused").drop("batch_id")
+    found = _tables(spark, root).read("refused")
+    return spark.createDataFrame([], CELL_SCHEMA) if found is None else found.drop("batch_id")
 
 
 def open_events(spark: SparkSession, root: str, p: Params = Params()) -> DataFrame:
     """Events that would close if the input ended now: the waiting cells are processed and every open run
     counts, as in the batch job. The stream's own state stays as it is."""
-    root = root.rstrip("/")
-    last = spark.read.schema("batch_id long").parquet(f"{root}/state/last").first()
-    state = _state(spark, root, last[0])
+    store = _tables(spark, root)
     none = spark.createDataFrame([], CELL_SCHEMA)
-    return step(none, state, p, 0, _keeper(spark, f"{root}/report"), final=True).events
+    return step(none, _kept(store, store.state()), p, None, _keeper(spark, f"{root.rstrip('/')}/report"), final=True).events

@@ -19,6 +19,7 @@ from slicewatch.operators.backtest import backtest, overlapping
 from slicewatch.operators.linkage import event_pieces, link, linkage_summary, stretches
 from slicewatch.operators.rollup import health_rollup
 from slicewatch.params import Params
+from slicewatch.plans.run import run_all
 from slicewatch.sources import outcome_index, raw, store
 from slicewatch.sources.snapshots import Conflict, Snapshots
 from slicewatch.streaming.link_stream import link_waiting, read_linked, run_decision_stream, run_link_stream
@@ -207,6 +208,30 @@ def test_stream_executes_a_redelivered_transaction_once(spark, tmp_path):
     assert len(got) == 12 and set(got.values()) == {1}
 
 
+def test_detection_writes_only_the_buckets_it_touches(spark, tmp_path):
+    from slicewatch.operators.events import detect_events
+    from slicewatch.streaming.detect_stream import _tables, emitted, open_events, run_detect_stream
+    p, src, root = Params(), str(tmp_path / "cells"), str(tmp_path / "stream")
+    slices = [(f"m{i}", "g") for i in range(12)]
+    first = [r for i, (m, g) in enumerate(slices) for r in health_rows(m, g, hours=60, drop_start=40 if i % 2 else None, drop_len=6)]
+    spark.createDataFrame(first, HEALTH_SCHEMA).coalesce(1).write.parquet(src)
+    run_detect_stream(spark, src, root, p, delay_hours=0)
+    before = set(_tables(spark, root).state().tables["cells"].folders)
+    more = health_rows("m1", "g", start="2026-01-03 12:00:00", hours=30, drop_start=2, drop_len=9)
+    spark.createDataFrame(more, HEALTH_SCHEMA).coalesce(1).write.mode("append").parquet(src)
+    run_detect_stream(spark, src, root, p, delay_hours=0)
+    after = set(_tables(spark, root).state().tables["cells"].folders)
+    assert len(before) > 4 and len(after - before) == len(before - after) == 1      # one slice, one bucket
+    whole = detect_events(spark.createDataFrame(first + more, HEALTH_SCHEMA), p).drop("event_id")
+    got = emitted(spark, root).unionByName(open_events(spark, root, p)).select(*whole.columns)
+    assert sorted(rows_of(got), key=str) == sorted(rows_of(whole), key=str)
+
+
+def test_unlinked_transactions_are_refused(spark, txn_df):
+    with pytest.raises(ValueError, match="not linked"):
+        run_all(txn_df([("a", "upi", "gw_a", T0, 1.0, "c", "new", 0, "otp_timeout", True, 0.5, 0.5)]))
+
+
 # --- intervals ---------------------------------------------------------------------------------------
 
 def test_pieces_cover_their_interval_exactly(spark):
