@@ -189,6 +189,23 @@ SQL: dict[str, str] = {
                CASE WHEN payload_bytes >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 1000 AND page_id < top THEN top END AS refers_to
         FROM r""",
+    "op7_minhash_near_dedup": """
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        s AS (
+            SELECT doc_id, CASE WHEN len(w) < 2 THEN w
+                ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS sh FROM d),
+        n AS MATERIALIZED (SELECT doc_id, sh, len(sh) AS n FROM s),
+        pair AS (
+            SELECT a.doc_id AS x, b.doc_id AS y, len(list_intersect(a.sh, b.sh)) AS shared, a.n + b.n AS total
+            FROM n a JOIN n b ON a.doc_id < b.doc_id AND a.n > 0 AND b.n > 0 AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+        link AS MATERIALIZED (SELECT x, y FROM pair WHERE 100 * shared >= 80 * (total - shared)),
+        way AS MATERIALIZED (SELECT x, y FROM link UNION SELECT y, x FROM link),
+        reach(doc_id, root) AS (SELECT doc_id, doc_id FROM n UNION SELECT way.y, reach.root FROM reach JOIN way ON way.x = reach.doc_id)
+        SELECT doc_id, any_value(n) AS n_shingles, min(root) AS component_id, doc_id = min(root) AS kept
+        FROM n JOIN reach USING (doc_id) GROUP BY doc_id""",
     "op11_importance_resampling": f"""
         WITH {CRC_TABLE},
         d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
