@@ -629,9 +629,8 @@ def _events_table(spark, sf_dir):
 def q_stream_rollup(spark, sf_dir):
     """Closed cells of the streaming rollup (watermark = one grain) and those the end of the input closes."""
     from slicewatch.streaming.rollup_stream import open_cells
-    from slicewatch.sources.payments import attempts
-    return spark.read.parquet(_health_sink(spark, sf_dir)).unionByName(
-        open_cells(attempts(spark, sf_dir), query_params(sf_dir).grain_hours))
+    sink = _health_sink(spark, sf_dir)
+    return spark.read.parquet(sink).unionByName(open_cells(spark, sink))
 
 
 def q_stream_events(spark, sf_dir):

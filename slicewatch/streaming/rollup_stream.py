@@ -4,7 +4,7 @@ The watermark needs a zoned TIMESTAMP, so ``ts`` (TIMESTAMP_NTZ) becomes the ins
 clock it is, and cell starts are turned back the same way: results do not depend on the session
 time zone. Append mode emits a cell once the watermark passes its end;
 rows later than the watermark are dropped, so every emitted cell is final. ``open_cells`` gives the
-cells that the end of the input would close.
+cells that the end of the input would close, out of the stream's own state.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slicewatch.functions.timeutil import epoch_micros, from_epoch_micros
-from slicewatch.operators.rollup import health_rollup
+from slicewatch.operators.rollup import SUM_DEC, SUMS, health_of
 from slicewatch.session import ensure_checkpoint_dir
 from slicewatch.sources.payments import attempts_from_events
 
@@ -50,25 +50,29 @@ def rollup_stream(attempts: DataFrame, grain_hours: int, delay: str | None = Non
         F.count(F.lit(1)).alias("transaction_volume"),
         F.sum(F.col("ok").cast("int")).alias("n_ok"),
         F.count("ok").alias("n_known"),
-        F.sum(F.col("latency_ms").cast("decimal(30,6)")).alias("lat_sum"),
+        F.sum(F.col("latency_ms").cast("decimal(30,6)")).cast(SUM_DEC).alias("lat_sum"),
         F.count("latency_ms").alias("n_lat"),
     )
-    return agg.select(
-        from_epoch_micros(F.unix_micros(F.col("cell.start"))).alias("ts"),
-        "payment_method",
-        "bank_gateway",
-        F.when(F.col("n_known") > 0, F.col("n_ok").cast("double") / F.col("n_known").cast("double")).alias("success_rate"),
-        F.when(F.col("n_lat") > 0, F.col("lat_sum").cast("double") / F.col("n_lat").cast("double")).alias("avg_latency_ms"),
-        F.col("transaction_volume"),
-    )
-
-
-def open_cells(attempts: DataFrame, grain_hours: int, delay: str | None = None) -> DataFrame:
-    """Cells that a stream over all of ``attempts`` still holds back: those that end after its watermark.
-    No row of such a cell was late, so the rollup of the attempts at hand is exact."""
-    mark = attempts.agg((F.max("ts") - F.expr(f"INTERVAL {delay or f'{int(grain_hours)} hours'}")).cast("string")).first()[0]
-    end = F.window("ts", f"{int(grain_hours)} hours").end
-    return health_rollup(attempts.where(end > F.lit(mark).cast("timestamp_ntz")), grain_hours)
+    return health_of(agg.select("payment_method", "bank_gateway", from_epoch_micros(F.unix_micros(F.col("cell.start"))).alias("ts"), *SUMS))
+
+
+#: The state's buffers, in the order of the aggregates above (a decimal sum keeps a flag beside it).
+STATE = "struct<transaction_volume:bigint,n_ok:bigint,n_known:bigint,lat_sum:decimal(38,6),no_lat:boolean,n_lat:bigint>"
+
+
+def open_cells(spark: SparkSession, sink: str) -> DataFrame:
+    """Cells that the stream into ``sink`` still holds back, as its last batch left them in the state store; the attempts
+    are not read again. Without a batch there are none."""
+    path = f"{sink}-ckpt"
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/state/0")
+    if not hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hpath):
+        return health_of(spark.createDataFrame([], "payment_method string, bank_gateway string, ts timestamp_ntz, transaction_volume long, "
+                                               f"n_ok long, n_known long, lat_sum {SUM_DEC}, n_lat long"))
+    state = spark.read.format("statestore").load(path).withColumn("sums", F.col("value").cast(STATE))
+    known = F.when(~F.col("sums.no_lat"), F.col("sums.lat_sum"))
+    sums = [known.alias(c) if c == "lat_sum" else F.col(f"sums.{c}").alias(c) for c in SUMS]
+    start = from_epoch_micros(F.unix_micros(F.col("key.window.start")))
+    return health_of(state.select("key.payment_method", "key.bank_gateway", start.alias("ts"), *sums))
 
 
 def run_rollup(spark: SparkSession, events_path: str, grain_hours: int, sink: str | None = None,

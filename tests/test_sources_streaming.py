@@ -19,7 +19,7 @@ from slicewatch.plans.diagnose import diagnose
 from slicewatch.sources import store
 from slicewatch.sources.order_lines import order_line_health_tables
 from slicewatch.sources.payments import read_health, read_transactions
-from slicewatch.streaming.rollup_stream import run_rollup
+from slicewatch.streaming.rollup_stream import open_cells, run_rollup
 
 SF = "/root/testdata/sf0.001"
 
@@ -159,6 +159,9 @@ def test_stream_rollup_emits_closed_cells_once_and_drops_late_rows(spark, tmp_pa
     assert counts[t0] == [3]                                         # late row dropped, cell not re-emitted
     assert all(len(v) == 1 for v in counts.values())
     assert t0 + dt.timedelta(hours=9) in counts                      # 09:00 closed by the later data
+    held = {r.ts: (r.transaction_volume, r.avg_latency_ms is not None) for r in open_cells(spark, sink).collect()}
+    assert held == {t0 + dt.timedelta(hours=h): (3, True) for h in (11, 12)}       # watermark 11:40, end of the input 12:40
+    assert open_cells(spark, str(tmp_path / "never")).count() == 0
 
 
 def test_package_reaches_python_workers_outside_the_repo(tmp_path):
