@@ -100,3 +100,21 @@ def test_every_code_point_encodes_as_the_library_does():
         texts = [f"a{c}'ve{c}1 {c}{c}  {c}'s." for c in chars[lo:lo + 40_000]]
         got = np.concatenate([mine.encode_block(b)[0] for b in text_blocks(pa.array(texts))])
         assert got.tolist() == [i for t in texts for i in library.encode_ordinary(t)]
+
+
+def test_url_regression_on_hosts_it_has_not_seen(spark):
+    from slicewatch.llm import urls
+    table = urls.labelled_urls()
+    companions = [c for words in (urls.JUNK_TRADES, urls.PLAIN_SUBJECTS) for _ in words for c in urls.COMPANIONS]
+    right = [(score >= 0.5) == bool(label) for label, score in urls.held_out(table, companions)]
+    assert len(right) == len(table) and sum(right) >= 0.95 * len(right)
+    # windows are over characters, and scores equal a plain reading of the model
+    model = urls.train(table)
+    import zlib
+    for url in ("https://www.my-casino.io/é漢字/x", "https://" + "a" * 50_000 + ".org/", "", "no url"):
+        host, path = urls.split(url)
+        slots = [zlib.crc32(part[i:i + n].encode(), zlib.crc32(mark)) % len(model.weights)
+                 for mark, part in ((b"h", f"^{host}$"), (b"p", f"^{path}$")) for n in model.orders for i in range(len(part) - n + 1)]
+        z = model.bias + (sum(float(model.weights[s]) for s in slots) / len(slots) ** 0.5 if slots else 0)
+        df = spark.createDataFrame([(None, url)], "page_id long, url string")
+        assert urls.judge(df, model=model).first()["score"] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-5)
