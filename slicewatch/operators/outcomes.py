@@ -10,10 +10,11 @@ or a retried task reproduces the same outcome.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slicewatch.functions.numeric import clip
+from slicewatch.functions.timeutil import epoch_micros
 from slicewatch.params import Params
 
 
@@ -44,8 +45,9 @@ def draw_expr(seed: str, id_col: str = "transaction_id", policy_col: str = "poli
 def with_outcome(enforced: DataFrame, p: Params = Params(), mode: str = "draw") -> DataFrame:
     """Adds probability_used, success, paise columns and rupee columns.
 
-    ``mode="draw"`` decides success with the hash draw; ``mode="expected"`` leaves ``success`` null
-    and reports the expected recovered amount (probability × amount) instead.
+    ``mode="draw"`` decides success with the hash draw; ``mode="observed"`` reads it from the column
+    ``observed_success`` (unknown counts as not recovered; giving up recovers nothing); ``mode="expected"`` leaves
+    ``success`` null and reports the expected recovered amount (probability × amount) instead.
     """
     a = F.col("allowed_action")
     prob = probability_expr(p)
@@ -60,8 +62,11 @@ def with_outcome(enforced: DataFrame, p: Params = Params(), mode: str = "draw")
             "expected_recovered": exp,
             "action_cost": cost_paise / F.lit(100.0),
         })
-    df = df.withColumn("u", draw_expr(p.draw_seed))
-    success = (a != "give_up") & (F.col("u") < F.col("probability_used"))
+    if mode == "observed":
+        success = (a != "give_up") & F.coalesce(F.col("observed_success"), F.lit(False))
+    else:
+        df = df.withColumn("u", draw_expr(p.draw_seed))
+        success = (a != "give_up") & (F.col("u") < F.col("probability_used"))
     df = df.withColumn("success", success)
     rec = F.when(F.col("success"), amount_paise).otherwise(F.lit(0)).cast("bigint")
     # half-up rounding of amount * pct / 100 in integer arithmetic
@@ -76,5 +81,25 @@ def with_outcome(enforced: DataFrame, p: Params = Params(), mode: str = "draw")
     })
 
 
+def observed_recoveries(attempts: DataFrame, within_hours: int = 24) -> DataFrame:
+    """``transaction_id, observed_success``: whether the user of a failed attempt paid successfully later, within
+    ``within_hours``. Read from the attempts themselves.
+
+    Times are cut into chunks of that length, so the success lies in the attempt's chunk or the next one: a running
+    minimum per (user, chunk) in falling time, and one row per (user, chunk) for the next. A busy user
+    spreads over their chunks."""
+    size = int(within_hours) * 3_600_000_000
+    at = epoch_micros("ts")
+    a = attempts.select("attempt_id", "user_id", "ok", at.alias("at"), F.call_function("div", at - F.pmod(at, F.lit(size)), F.lit(size)).alias("chunk"))
+    good = F.when(F.col("ok"), F.col("at"))
+    later = Window.partitionBy("user_id", "chunk").orderBy(-F.col("at")).rangeBetween(Window.unboundedPreceding, -1)
+    here = a.withColumn("_next", F.min(good).over(later)).where(~F.col("ok"))
+    first = a.where("ok").groupBy("user_id", (F.col("chunk") - 1).alias("chunk")).agg(F.min("at").alias("_first"))
+    next_ok = F.coalesce("_next", "_first")
+    return here.join(first, ["user_id", "chunk"], "left").select(
+        F.col("attempt_id").cast("string").alias("transaction_id"),
+        F.coalesce(next_ok - F.col("at") <= F.lit(size), F.lit(False)).alias("observed_success"))
+
+
 def expected_outcomes(enforced: DataFrame, p: Params = Params()) -> DataFrame:
     return with_outcome(enforced, p, mode="expected")

@@ -247,6 +247,17 @@ def q_outcome_drawn(spark, sf_dir):
         "amount_recovered", "discount_cost", "action_cost", "net_recovered")
 
 
+def q_outcome_observed(spark, sf_dir):
+    """I11 with successes read from the attempts: the user paid within 24 hours after the failure."""
+    from slicewatch.operators.outcomes import observed_recoveries, with_outcome
+    from slicewatch.sources.payments import attempts
+    p, linked = query_params(sf_dir), diagnosis(spark, sf_dir).linked
+    seen = linked.join(observed_recoveries(attempts(spark, sf_dir)), "transaction_id", "left")
+    d = policy_decisions("agent", seen, p, keep_input=True)
+    return with_outcome(enforce(d, p), p, mode="observed").select(
+        "transaction_id", "allowed_action", "success", "amount_recovered", "discount_cost", "action_cost", "net_recovered")
+
+
 def q_policy_metrics(spark, sf_dir):
     d, _t, a, o = _tables(spark, sf_dir)
     return policy_metrics(views.metrics_base(o, a, d))

@@ -679,3 +679,14 @@ FROM wide WHERE status = 'execute'"""
 SQL["redelivered_outcomes"] = _with("wide") + """SELECT transaction_id, policy, 1 AS outcomes, net_recovered,
   CASE WHEN CAST(transaction_id AS BIGINT) % 4 <> 0 THEN 1 ELSE 0 END AS of_first_run FROM wide"""
 SQL["stream_late_linkage"] = SQL["linked_transactions"]
+# I11 with observed successes: the money follows from the amount, the discount and the action
+SQL["outcome_observed"] = _with("wide") + """, seen AS (
+  SELECT w.*, allowed_action <> 'give_up' AND EXISTS (SELECT 1 FROM att a WHERE a.ok AND 'cust_' || a.user_id = w.customer_id
+    AND a.ts > w.ts AND a.ts <= w.ts + INTERVAL '24 hours') AS won FROM wide w WHERE policy = 'agent'),
+money AS (
+  SELECT *, CASE WHEN won THEN CAST(round(amount * 100.0::DOUBLE) AS BIGINT) ELSE 0 END AS rec,
+    CASE WHEN allowed_action = 'give_up' THEN 0 ELSE 200 END AS cost FROM seen),
+cut AS (
+  SELECT *, CASE WHEN won AND allowed_action = 'send_discount' THEN (rec * coalesce(final_discount_pct, 0) + 50) // 100 ELSE 0 END AS disc FROM money)
+SELECT transaction_id, allowed_action, won AS success, rec / 100.0::DOUBLE AS amount_recovered, disc / 100.0::DOUBLE AS discount_cost,
+  cost / 100.0::DOUBLE AS action_cost, (rec - disc - cost) / 100.0::DOUBLE AS net_recovered FROM cut"""

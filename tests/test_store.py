@@ -334,3 +334,14 @@ def test_raw_files_round_trip_byte_for_byte(spark, tmp_path):
     assert back == text
     assert bad == {"ragged": 5, "amount": 1}                       # too many, too few, both halves of the open quote, empty
     assert good == text.count(b"\n") - 1 - 6
+
+
+def test_observed_recoveries_equal_brute_force(spark):
+    from slicewatch.operators.outcomes import observed_recoveries
+    rng = random.Random(9)
+    rows = [(i, rng.choice([1, 1, 2]), T0 + dt.timedelta(minutes=rng.randrange(8000)), rng.random() < 0.2) for i in range(400)]
+    rows += [(900, 5, T0, False), (901, 5, T0 + dt.timedelta(hours=24), True), (902, 5, T0, True), (903, 6, T0, False)]
+    df = spark.createDataFrame(rows, "attempt_id long, user_id long, ts timestamp_ntz, ok boolean")
+    got = {r.transaction_id: r.observed_success for r in observed_recoveries(df).collect()}
+    want = {str(i): any(o and v == u and t < s <= t + dt.timedelta(hours=24) for _, v, s, o in rows) for i, u, t, ok in rows if not ok}
+    assert got == want and want["900"] and not want["903"]
