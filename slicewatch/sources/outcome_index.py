@@ -51,7 +51,7 @@ def _filter_rows(hashed: DataFrame, words: int) -> DataFrame:
 
 
 def _bucket(folder: str) -> int:
-    return int(folder.split("/")[0].split("=")[1])
+    return int(folder.split("/")[-1].split("=")[1])
 
 
 def stage(store: Snapshots, state: State, version: str, pairs: DataFrame, run_id: str) -> tuple[dict[str, Table], dict]:

@@ -59,7 +59,7 @@ def append_health(new_rows: DataFrame, root: str) -> State:
     fresh = cut_lineage(new_rows.where(F.col("ts").isNotNull()).select(*CELL, *rest), "new-cells")
     days = {f"date={r[0]}" for r in fresh.select(F.to_date("ts")).distinct().collect()}
     rows = fresh.withColumn("_late", F.lit(1))
-    touched = lambda folder: folder.split("/")[0] in days
+    touched = lambda folder: folder.split("/")[-1] in days
     stored = store.read("health", state, touched)
     if stored is not None:
         rows = rows.unionByName(stored.select(*CELL, *rest).withColumn("_late", F.lit(0)))
@@ -84,8 +84,8 @@ def add_attempts(attempts: DataFrame, root: str, part: str, grain_hours: int) ->
     sums = cell_sums(attempts, grain_hours).withColumn("date", F.to_date("ts"))
     new = store.stage("cell_sums", sums, version, ("date",))
     old = state.tables["cell_sums"].folders if "cell_sums" in state.tables else ()
-    again = f"/v={parts.get(part)}"
-    return store.commit(state, {"cell_sums": Table(tuple(sorted([*(f for f in old if not f.endswith(again)), *new.folders])), new.schema)},
+    again = f"v={parts.get(part)}/"
+    return store.commit(state, {"cell_sums": Table(tuple(sorted([*(f for f in old if not f.startswith(again)), *new.folders])), new.schema)},
                         {"rollup_parts": {**parts, part: version}})
 
 
@@ -111,14 +111,14 @@ def compact_rollup(spark: SparkSession, root: str) -> State:
     if "cell_sums" not in state.tables:
         return state
     folders = state.tables["cell_sums"].folders
-    days = [f.split("/")[0] for f in folders]
+    days = [f.split("/")[-1] for f in folders]
     many = {d for d in days if days.count(d) > 1}
     if not many:
         return state
-    sums = store.read("cell_sums", state, lambda f: f.split("/")[0] in many)
+    sums = store.read("cell_sums", state, lambda f: f.split("/")[-1] in many)
     merged = merge_sums(sums).withColumn("date", F.to_date("ts")).repartition("date").sortWithinPartitions("date", *CELL)
     new = store.stage("cell_sums", merged, store.version(state), ("date",))
-    kept = [f for f in folders if f.split("/")[0] not in many]
+    kept = [f for f in folders if f.split("/")[-1] not in many]
     parts = {k: COMPACTED for k in state.notes.get("rollup_parts", {})}
     return store.commit(state, {"cell_sums": Table(tuple(sorted([*kept, *new.folders])), new.schema)}, {"rollup_parts": parts})
 
@@ -144,11 +144,11 @@ def write_run(wide: DataFrame, root: str, run_id: str, events: DataFrame | None
     store = Snapshots(w.sparkSession, root)
     state = store.state()
     escape = w.sparkSession.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
-    version, mine, tables = store.version(state), f"run_id={escape(run_id)}/", {}
+    version, mine, tables = store.version(state), f"run_id={escape(run_id)}", {}
     for name, df in out.items():
         rows = df.withColumn("policy", F.coalesce(F.col("policy"), F.lit("none"))).withColumn("run_id", F.lit(run_id))
         new = store.stage(name, rows, version, ("run_id", "policy"))
-        before = [f for f in state.tables[name].folders if not f.startswith(mine)] if name in state.tables else []
+        before = [f for f in state.tables[name].folders if f.split("/")[1] != mine] if name in state.tables else []
         tables[name] = Table((*before, *new.folders), new.schema)
     keys, notes = outcome_index.stage(store, state, version, out["outcomes"], run_id)
     store.commit(state, {**tables, **keys}, notes)

@@ -121,7 +121,7 @@ def _tables(spark: SparkSession, root: str) -> Snapshots:
 
 def _of(folder: str) -> str:
     """The bucket of a state folder, as the notes name it."""
-    return folder.split("/")[0].split("=")[1]
+    return folder.split("/")[-1].split("=")[1]
 
 
 def _kept(store: Snapshots, state, buckets: set[str] | None = None) -> State:
@@ -153,7 +153,7 @@ def _process(store: Snapshots, df: DataFrame, batch_id: int, p: Params, delay_ho
     for name, rows in (("events", done.events), ("refused", done.refused)):
         new = store.stage(name, rows.withColumn("batch_id", F.lit(batch_id).cast("long")), version, ("batch_id",))
         tables[name] = Table((*(state.tables[name].folders if name in state.tables else ()), *new.folders), new.schema)
-    fresh = store.read("cells", type(state)(tables={"cells": tables["cells"]}), lambda f: f.endswith(version))
+    fresh = store.read("cells", type(state)(tables={"cells": tables["cells"]}), lambda f: f.startswith(f"v={version}/"))
     firsts = fresh.where("waiting").groupBy("bucket").agg(F.min(epoch_micros("ts")).alias("first")).collect()    # one row per bucket
     waiting = {**{b: x for b, x in waiting.items() if b not in touched}, **{str(r["bucket"]): r["first"] for r in firsts}}
     store.commit(state, tables, {"batch": batch_id, "newest": newest, "waiting": waiting})

@@ -54,7 +54,7 @@ def _keep(store: Snapshots, state: State, fresh: DataFrame | None, events: DataF
     added = cut_lineage(_new_events(store, state, events), "new-events")
     days = {f"date={r[0]}" for r in added.where("window_start < window_end").select(F.explode(F.sequence(
         F.to_date("window_start"), F.to_date(F.col("window_end") - F.expr("INTERVAL 1 MICROSECOND")))).alias("d")).distinct().collect()}
-    touched = lambda f: f.split("/")[0] in days
+    touched = lambda f: f.split("/")[-1] in days
     folders = {name: list(state.tables[name].folders) if name in state.tables else [] for name in ("linked", "waiting", "events_seen")}
     found = [] if fresh is None else [_match(fresh, events, p, "fresh")]
     if any(map(touched, folders["waiting"])):
