@@ -32,7 +32,7 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _ids_missing_or_repeated(docs: DataFrame) -> bool:
     odd = docs.groupBy("doc_id").count().filter("doc_id is null or count > 1")
-    return bool(odd.limit(1).count())
+    return not odd.isEmpty()
 
 
 def _with_row_keys(docs: DataFrame) -> tuple[str, DataFrame]:
@@ -46,12 +46,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     with the smallest id. Where ids are missing or repeat, every row is a document of its own: rows of one id
     go for equal or linked texts alone, and rows without an id are compared like any other."""
     if not _ids_missing_or_repeated(docs):
-        found = near_duplicates(docs, NearDup(shingle=5))
+        found = near_duplicates(docs, NearDup(shingle=5), unique_ids=True)
         other = free_name(docs.columns, "other_id")
-        gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias(other)).distinct()
+        gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias(other))
         return docs.join(gone, F.col("doc_id") == F.col(other), "left_anti")
     row, keyed = _with_row_keys(docs)
-    found = cut_lineage(near_duplicates(keyed, NearDup(shingle=5), doc_id=row).select(
+    found = cut_lineage(near_duplicates(keyed, NearDup(shingle=5), doc_id=row, unique_ids=True).select(
         F.col("doc_id").alias("key"), "n_shingles", "component_id"), "row_groups")
     rows = keyed.select(F.col(row).alias("key"), "doc_id", "text").join(found, "key")
     # smallest id of a group, ids before none; among rows of that id by text, so the choice is the tables' own

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from slicewatch.llm import words as W
@@ -226,9 +226,8 @@ def sketches(docs: DataFrame, p: NearDup, doc_id: str = "doc_id", text: str = "t
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_sketch(p), SKETCH_SCHEMA)
 
 
-def _shingle_sets(docs: DataFrame, ids: DataFrame, p: NearDup, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, set) of the documents in ``ids``. The id list is broadcast only up to a checked count."""
-    few = ids.limit(p.broadcast_max_rows + 1).count() <= p.broadcast_max_rows
+def _shingle_sets(docs: DataFrame, ids: DataFrame, few: bool, p: NearDup, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, set) of the documents in ``ids``. The id list is broadcast only if its checked count is ``few``."""
     wanted = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(
         F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
@@ -241,7 +240,8 @@ def _shingle_sets(docs: DataFrame, ids: DataFrame, p: NearDup, doc_id: str, text
     return wanted.mapInArrow(run, "doc_id long, set binary")
 
 
-def near_duplicates(docs: DataFrame, p: NearDup = NearDup(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, p: NearDup = NearDup(), doc_id: str = "doc_id", text: str = "text",
+                    unique_ids: bool = False) -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id, kept``.
 
     ``component_id`` is the smallest id reachable over links (itself included), ``kept`` marks that
@@ -249,7 +249,8 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup(), doc_id: str = "doc_
     than a shingle is one shingle of its whole sequence. Null, empty and word-less texts have no
     shingles and link with nothing. Rows that repeat an id are one document: a link of any of them
     counts for the id. Rows with a null id are never linked: component null, kept true. An empty table
-    gives an empty result; columns other than the two named are not read.
+    gives an empty result; columns other than the two named are not read. ``unique_ids``: the caller has
+    checked that no id repeats, so rows of one id need no search.
     """
     sk = cut_lineage(sketches(docs, p, doc_id, text), "sketches")
     usable = sk.filter(F.col("doc_id").isNotNull() & F.col("set_hash").isNotNull())
@@ -261,52 +262,56 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup(), doc_id: str = "doc_
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("node"))
     reps = usable.join(copies, "set_hash", "left").filter(F.col("rep").isNull() | (F.col("rep") == F.col("doc_id")))
 
-    # an id whose rows fall into several classes joins them
-    split = node.filter("node is not null").groupBy("doc_id").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
-    same_id = node.join(split.select("doc_id"), "doc_id").filter("node <> doc_id").select(
-        F.col("node").alias("a"), F.col("doc_id").alias("b"))
-
     # band buckets of two or more representatives, each member with its bucket's centre
     banded = reps.select("doc_id", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last"),
                                           F.count("*").alias("m")).filter("centre < last")
     member = cut_lineage(banded.join(shared.drop("last"), "bucket").select("bucket", "doc_id", "centre", "m"), "buckets")
-    ids = cut_lineage(member.select("doc_id").distinct(), "candidates")
-    sets = _shingle_sets(docs, ids, p, doc_id, text)
+    listed = Observation()
+    ids = cut_lineage(member.select("doc_id").distinct().observe(listed, F.count(F.lit(1)).alias("n")), "candidates")
+    sets = _shingle_sets(docs, ids, listed.get["n"] <= p.broadcast_max_rows, p, doc_id, text)
     rows = cut_lineage(sets.join(reps.select("doc_id", "sig"), "doc_id").select("doc_id", "sig", "set"), "members")
 
     # round 1: every member against one centre
     stars = (member.filter("doc_id <> centre").groupBy(F.col("doc_id").alias("b")).agg(F.min("centre").alias("a"))
              .select("a", "b"))
-    links = _verified(stars, rows, p).unionByName(cut_lineage(same_id, "same_id"))
+    links = _verified(stars, rows, p)
+    if not unique_ids:
+        links = links.unionByName(cut_lineage(_same_id(node), "same_id"))
     comp = components(links)
 
     # round 2: only what still lies in different components of one bucket
     placed = member.join(comp.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").select(
-        "bucket", "doc_id", "m", F.coalesce("label", "doc_id").alias("comp"))
+        "bucket", "doc_id", "centre", "m", F.coalesce("label", "doc_id").alias("comp"))
     open_buckets = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
-    still = cut_lineage(placed.join(open_buckets.select("bucket"), "bucket"), "open")
+    large = Observation()
+    still = cut_lineage(placed.join(open_buckets.select("bucket"), "bucket").observe(
+        large, F.count(F.when(F.col("m") > p.small_bucket, 1)).alias("n")), "open")
     few = still.filter(F.col("m") <= p.small_bucket)
     left = few.select("bucket", F.col("doc_id").alias("a"), F.col("comp").alias("ca"))
     right = few.select("bucket", F.col("doc_id").alias("b"), F.col("comp").alias("cb"))
     pairs = left.join(right, "bucket").filter("a < b and ca <> cb").select("a", "b").distinct()
-    links = links.unionByName(_verified(pairs.join(stars, ["a", "b"], "left_anti"), rows, p))
-
-    many = still.filter(F.col("m") > p.small_bucket)
-    if many.limit(1).count():
-        links = links.unionByName(_large_buckets(many, rows, p))
-    comp = components(links)
+    links = _verified(pairs.join(stars, ["a", "b"], "left_anti"), rows, p)
+    if large.get["n"]:
+        links = links.unionByName(_large_buckets(still.filter(F.col("m") > p.small_bucket), rows, p))
+    comp = components(links, start=comp)
     return (node.join(comp.withColumnRenamed("label", "found"), "node", "left")
             .withColumn("component_id", F.coalesce("found", "node"))
             .select("doc_id", "n_shingles", "component_id",
                     F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")))
 
 
+def _same_id(node: DataFrame) -> DataFrame:
+    """Links of ids whose rows fall into several classes: such an id joins them."""
+    split = node.filter("node is not null").groupBy("doc_id").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
+    return node.join(split.select("doc_id"), "doc_id").filter("node <> doc_id").select(
+        F.col("node").alias("a"), F.col("doc_id").alias("b"))
+
+
 def _large_buckets(many: DataFrame, rows: DataFrame, p: NearDup) -> DataFrame:
     """Links found in buckets too large for pair rows: members of overlapping buckets form a group, its
     rows are dealt into blocks, and every two blocks meet in one task."""
-    group = components(many.groupBy("bucket").agg(F.min("doc_id").alias("b"))
-                       .join(many.select("bucket", F.col("doc_id").alias("a")), "bucket").select("a", "b").distinct())
+    group = components(many, "doc_id", "centre")
     group = group.select(F.col("node").alias("doc_id"), F.col("label").alias("gid"))
     blocks = group.groupBy("gid").agg(F.ceil(F.count("*") / p.block).alias("nb"))
     dealt = (many.select("doc_id", "comp").distinct().join(group, "doc_id").join(blocks, "gid")

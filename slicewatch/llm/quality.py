@@ -105,6 +105,15 @@ def _bag_rows(p: Subwords):
     return run
 
 
+def _views(lists: pa.ChunkedArray) -> list[np.ndarray]:
+    """Every list as a view of the Arrow buffers: the training rows are held once in the driver."""
+    out = []
+    for chunk in lists.chunks:
+        at, values = chunk.offsets.to_numpy(), chunk.values.to_numpy()
+        out += [values[lo:hi] for lo, hi in zip(at[:-1], at[1:])]
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, p: Subwords = Subwords(), doc_id: str = "doc_id", text: str = "text",
           label: str = "quality") -> Model:
     """Fit on at most ``max_rows_per_class`` rows per class of ``labels`` (id, 0/1), chosen by id hash.
@@ -123,8 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, p: Subwords = Subwords(), doc_id:
     if len(set(y.tolist())) < 2:
         share = float(y.mean()) if len(y) else 0.5
         return Model(np.zeros(p.buckets, np.float32), float(np.log((share + 1e-3) / (1 - share + 1e-3))), p, False)
-    feats = [np.frombuffer(x.values.to_numpy().tobytes(), np.int32) for x in bags.column("feats")]
-    counts = [x.values.to_numpy().astype(np.float32) for x in bags.column("counts")]
+    feats, counts = _views(bags.column("feats")), _views(bags.column("counts"))
     order0 = sorted(range(len(y)), key=lambda i: (int(y[i]), len(feats[i]), feats[i][:16].tolist()))
     rng = np.random.default_rng(p.seed)
     vectors = rng.uniform(-1 / p.dim, 1 / p.dim, (p.buckets, p.dim)).astype(np.float32)
@@ -133,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, p: Subwords = Subwords(), doc_id:
     steps, done = p.epochs * len(y), 0
     for _ in range(p.epochs):
         for i in rng.permutation(order0):
-            f, c = feats[i], counts[i]
+            f, c = feats[i], counts[i].astype(np.float32)
             rate = p.rate * (1 - done / steps)
             done += 1
             if not len(f):
